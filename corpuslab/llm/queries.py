@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import ByteBPE, bpe_decode, bpe_encode
+from .chat import chat_format, loss_text, parse, rows_to_events
 from .common import hex_sha256
 from .exact_dedup import exact_dedup
+from .language_id import language_id
 from .line_dedup import line_dedup
+from .mixing import mix_sources
+from .token_counts import WordBPE, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,7 +29,88 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup)}
+#: Production parameters of the mix. The domain of a source is a rule, and the weights are whole numbers.
+MIX_WEIGHTS = {"web": 3, "books": 5, "code": 2} | {f"{d}/{k}": v for d in ("web", "books", "code") for k, v in (("en", 6), ("fr", 2), ("de", 2), ("es", 1))}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = (3, 5), 4, "mix"
+
+
+def mix_domain() -> Column:
+    return F.when(F.col("source") == "src0", "web").when(F.md5(F.col("source").cast("binary")) < "8", "books").otherwise("code")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents"), mix_domain(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_read(spark, sf_dir, "documents"))
+
+
+#: A conversation whose texts hold what looks like control strings.
+TRICKY_ID, TRICKY_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(F.lit(TRICKY_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY_TEXT).alias("text"))
+    out = chat_format(rows_to_events(rows.unionByName(tricky)))
+    turns, loss = parse(F.col("formatted")), loss_text(F.col("formatted"), F.col("loss_spans"))
+    out = out.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), hex_sha256(said).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        hex_sha256(F.col("loss")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), WordBPE.from_file(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bpe = ByteBPE.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = bpe_decode(bpe_encode(_read(spark, sf_dir, "documents"), bpe), bpe)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        hex_sha256(F.array_join("ids", ",")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op5_mixing, op6_token_counts, op7_language_id, op9_chat, op10_byte_bpe)}
+
+def _mix_sql() -> str:
+    weight = lambda depth: "CASE " + " ".join(f"WHEN path = '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items() if k.count("/") == depth) + " ELSE 1 END" if depth < 2 else "1"
+
+    def fill(name: str, source: str, parent: str, child: str, budget: str, weights: str) -> str:
+        return f"""
+{name}_w AS (SELECT *, ({weights})::BIGINT AS w FROM ({source})),
+{name}_o AS (
+  SELECT *, coalesce(sum(cap) OVER before, 0)::BIGINT AS cb, coalesce(sum(w) OVER before, 0)::BIGINT AS wb, (sum(w) OVER (PARTITION BY {parent}))::BIGINT AS wa
+  FROM {name}_w WINDOW before AS (PARTITION BY {parent} ORDER BY cap::DOUBLE / w, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{name}_f AS (SELECT *, cap * (wa - wb) <= ({budget} - cb) * w AS fits FROM {name}_o),
+{name} AS (
+  SELECT *, CASE WHEN fits THEN cap ELSE ({budget} - coalesce(sum(cap) FILTER (fits) OVER (PARTITION BY {parent}), 0)::BIGINT) * w
+         // (sum(w) FILTER (NOT fits) OVER (PARTITION BY {parent}))::BIGINT END AS {name}_budget FROM {name}_f)"""
+
+    return f"""
+WITH base AS (
+  SELECT doc_id, CASE WHEN source = 'src0' THEN 'web' WHEN md5(source) < '8' THEN 'books' ELSE 'code' END AS domain,
+         coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
+leaf AS (
+  SELECT domain, lang, source, sum(n_tokens)::BIGINT AS avail, (sum(n_tokens) * {MIX_EPOCHS})::BIGINT AS cap FROM base GROUP BY ALL),
+{fill("dom", f"SELECT domain, domain AS path, sum(cap)::BIGINT AS cap, 0 AS root, (SELECT sum(avail) * {MIX_SHARE[0]} // {MIX_SHARE[1]} FROM leaf)::BIGINT AS b FROM leaf GROUP BY domain", "root", "domain", "b", weight(0))},
+{fill("lng", "SELECT domain, lang, domain || '/' || lang AS path, sum(leaf.cap)::BIGINT AS cap, any_value(dom_budget) AS b FROM leaf JOIN (SELECT domain, dom_budget FROM dom) USING (domain) GROUP BY domain, lang", "domain", "lang", "b", weight(1))},
+{fill("src", "SELECT leaf.*, b FROM leaf JOIN (SELECT domain, lang, lng_budget AS b FROM lng) USING (domain, lang)", "domain, lang", "source", "b", weight(2))},
+picked AS (
+  SELECT base.*, src_budget // avail AS epochs, src_budget % avail AS rest,
+         md5('{MIX_SEED}:' || (src_budget // avail) || ':' || doc_id) AS key
+  FROM base JOIN src USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens,
+       epochs + (coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < rest)::BIGINT AS copies
+FROM picked"""
+
 
 ORACLE_SQL = {
     "op1_line_dedup": """
@@ -48,4 +135,19 @@ WITH t AS (
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g USING (norm)""",
+    "op5_mixing": _mix_sql(),
+    "op9_chat": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, role = 'assistant' AS own,
+         replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g') AS er,
+         replace(replace(replace(text, '\', '\b'), '<', '\l'), '>', '\g') AS et FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (own), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (own), '')) AS loss_sha256,
+       sum(length(er) + length(et) + 17)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""".replace("\\\\", "\\"),
 }
