@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from .bpe import ByteBPE, bpe_decode, bpe_encode
 from .chat import chat_format, loss_text, parse, rows_to_events
-from .common import hex_sha256
+from .common import hex_sha256, materialize
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .token_counts import WordBPE, token_counts
+from .topk_search import exact_top_k, quantize
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +30,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = materialize(quantize(_read(spark, sf_dir, "embeddings")))
+    return exact_top_k(items, items.filter("vec_id % 50 = 0"), 5)
+
+
 #: Production parameters of the mix. The domain of a source is a rule, and the weights are whole numbers.
 MIX_WEIGHTS = {"web": 3, "books": 5, "code": 2} | {f"{d}/{k}": v for d in ("web", "books", "code") for k, v in (("en", 6), ("fr", 2), ("de", 2), ("es", 1))}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = (3, 5), 4, "mix"
@@ -76,7 +82,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op5_mixing, op6_token_counts, op7_language_id, op9_chat, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_topk_search, op5_mixing, op6_token_counts, op7_language_id, op9_chat, op10_byte_bpe)}
 
 def _mix_sql() -> str:
     weight = lambda depth: "CASE " + " ".join(f"WHEN path = '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items() if k.count("/") == depth) + " ELSE 1 END" if depth < 2 else "1"
@@ -135,6 +141,15 @@ WITH t AS (
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g USING (norm)""",
+    "op3_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5""",
     "op5_mixing": _mix_sql(),
     "op9_chat": r"""
 WITH rows AS (
