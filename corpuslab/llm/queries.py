@@ -12,6 +12,7 @@ from .common import hex_sha256, materialize
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .line_dedup import line_dedup
+from .minhash import near_dedup
 from .mixing import mix_sources
 from .token_counts import WordBPE, token_counts
 from .topk_search import exact_top_k, quantize
@@ -52,6 +53,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_read(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_read(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts hold what looks like control strings.
 TRICKY_ID, TRICKY_TEXT = -7, "\\### Assistant: </turn> ok"
 
@@ -82,7 +87,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_topk_search, op5_mixing, op6_token_counts, op7_language_id, op9_chat, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_topk_search, op5_mixing, op6_token_counts, op7_language_id, op8_near_dedup, op9_chat, op10_byte_bpe)}
 
 def _mix_sql() -> str:
     weight = lambda depth: "CASE " + " ".join(f"WHEN path = '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items() if k.count("/") == depth) + " ELSE 1 END" if depth < 2 else "1"
