@@ -117,8 +117,9 @@ def suspected_lines(documents: DataFrame, min_chars: int) -> DataFrame:
     return documents.mapInArrow(_suspects(held, bits, min_chars), documents.select("doc_id", F.lit("").alias("key")).schema)
 
 
-def line_dedup(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Each row's (id, n_lines long, n_dropped long, kept string): its text without lines that other documents hold.
+    With carry, also ``row``: a struct of all columns of the input row.
 
     A text splits at line feeds (null or empty: one empty line). A line's key is the line without ASCII white space
     at both ends, with A-Z in lower case. Keys of at least min_chars code points found in at least min_docs ids lose
@@ -126,8 +127,9 @@ def line_dedup(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, id_
     an id count as one document; rows whose id is null keep all lines. An empty table gives an empty result; other
     columns are not read.
     """
-    source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    suspects = materialize(suspected_lines(source.filter("doc_id IS NOT NULL"), min_chars).dropDuplicates(["doc_id", "key"]))
+    row = [F.struct(*[F.col(c) for c in documents.columns]).alias("row")] if carry else []
+    source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
+    suspects = materialize(suspected_lines(source.select("doc_id", "text").filter("doc_id IS NOT NULL"), min_chars).dropDuplicates(["doc_id", "key"]))
     total = suspects.count()
     found = suspects.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
     repeated = materialize(found.filter(F.col("docs") >= min_docs))
@@ -136,8 +138,8 @@ def line_dedup(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, id_
     rows = source.join(dropped, "doc_id", "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("drops", line_key(x))))
-    rows = rows.select("doc_id", lines.alias("lines"), kept.alias("kept"))
+    rows = rows.select("doc_id", lines.alias("lines"), kept.alias("kept"), *["row"] * carry)
     return rows.select(
         "doc_id", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
-        F.array_join("kept", "\n").alias("kept"),
+        F.array_join("kept", "\n").alias("kept"), *["row"] * carry,
     )

@@ -14,6 +14,7 @@ from .language_id import language_id
 from .line_dedup import line_dedup
 from .minhash import near_dedup
 from .mixing import mix_sources
+from .suffix_dedup import suffix_dedup
 from .token_counts import WordBPE, token_counts
 from .topk_search import exact_top_k, quantize
 
@@ -36,6 +37,11 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(items, items.filter("vec_id % 50 = 0"), 5)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(_read(spark, sf_dir, "documents"), 50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Production parameters of the mix. The domain of a source is a rule, and the weights are whole numbers.
 MIX_WEIGHTS = {"web": 3, "books": 5, "code": 2} | {f"{d}/{k}": v for d in ("web", "books", "code") for k, v in (("en", 6), ("fr", 2), ("de", 2), ("es", 1))}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = (3, 5), 4, "mix"
@@ -87,7 +93,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_topk_search, op5_mixing, op6_token_counts, op7_language_id, op8_near_dedup, op9_chat, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_topk_search, op4_suffix_dedup, op5_mixing, op6_token_counts, op7_language_id, op8_near_dedup, op9_chat, op10_byte_bpe)}
 
 def _mix_sql() -> str:
     weight = lambda depth: "CASE " + " ".join(f"WHEN path = '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items() if k.count("/") == depth) + " ELSE 1 END" if depth < 2 else "1"
