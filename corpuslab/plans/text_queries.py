@@ -109,7 +109,10 @@ def strip_editorial(spark, d):
     return passages(spark, d).select("passage_id", T.drop_lines(F.col("text"), ("note:", "the", "released")).alias("stripped"))
 
 
-@q(f"SELECT passage_id, list_filter({_arr(LEAKS)}, lambda p: regexp_matches(text, '(?i)' || p)) AS leaks FROM ({PASSAGES})")
+_leak = lambda p: f"CASE WHEN len({_found('text', p[2:-2])}) > 0 THEN '{p}' END"
+
+
+@q(f"SELECT passage_id, list_filter([{', '.join(map(_leak, LEAKS))}], lambda p: p IS NOT NULL) AS leaks FROM ({PASSAGES})")
 def detect_leaks(spark, d):
     return P.detect_leaks(passages(spark, d), LEAKS).select("passage_id", "leaks")
 
@@ -180,7 +183,7 @@ def lexicon_hits(spark, d):
     return P.lexicon_hits(passages(spark, d), RARE + FREQUENT)
 
 
-@q(f"SELECT passage_id, round(({' + '.join(f'''regexp_matches(text, '(?i)\\b{w}\\b')::INT''' for w in WORDS)}) / greatest({_words.format('text')}, 1), 6) AS density FROM ({PASSAGES})")
+@q(f"SELECT passage_id, round(({' + '.join(f'''(len({_found('text', w)}) > 0)::INT''' for w in WORDS)}) / greatest({_words.format('text')}, 1), 6) AS density FROM ({PASSAGES})")
 def modernization_density(spark, d):
     return passages(spark, d).select("passage_id", F.round(P.density(F.col("text"), list(WORDS)), 6).alias("density"))
 
