@@ -6,8 +6,9 @@ needs log2(c) strips. A point goes to one random component of the signature, and
 Points come in order of time, and a text stops once they are later than all of its components. Each component is the
 earliest point that it got; two texts agree in it with the probability of their weighted Jaccard similarity.
 
-Signatures are banded. In each bucket all texts are first compared with one of them; texts that this leaves in
-different classes are then compared by signature, and the multisets of all pairs that may be similar decide.
+Signatures are banded. In each bucket all texts are first compared with one of them; texts that buckets connect and
+that this leaves in different classes are then compared by signature, and the multisets of pairs that may be similar
+decide.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
 #: Similar means 5 * overlap >= 4 * union, counted with multiplicity.
 THRESHOLD = (4, 5)
-#: Pairs of one bucket that agree in fewer components are not similar: 80 % agree in 100 +- 4.5, so 76 are 5.4 deviations less.
-LEAST_AGREEING = 76
-#: Texts of a bucket that are compared by signature in one task.
-TILE = 2048
+#: Pairs that agree in fewer components are not similar: 80 % agree in 100 +- 4.5, so 80 are 4.5 deviations less.
+LEAST_AGREEING = 80
+#: Rows that go through Python at a time.
+SLICE = 512
+#: Texts of a family in a tile; two tiles are what a task holds.
+TILE = 512
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STRIP = np.uint64(0xA0761D6478BD642F)
@@ -69,8 +72,14 @@ def signatures(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, rows: in
     return best.reshape(rows, COMPONENTS)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         for a, b, row, shingle, count in shingle_counts(batch.column(1).to_pylist()):
             n = b - a
             best = signatures(row, shingle, count, n)
@@ -103,7 +112,7 @@ def _multiset(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[int, tuple] = {}  # the multisets of the last few second texts, which repeat
-    for batch in batches:
+    for batch in _slices(batches):
         ids = batch.column("b").to_pylist()
         inter, union = [], []
         firsts = [None] * batch.num_rows
@@ -137,59 +146,82 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return out.filter(F.col("overlap") * THRESHOLD[1] >= F.col("union") * THRESHOLD[0]).select("a", "b")
 
 
-def _agreeing(table: pa.Table, other: pa.Table | None, best_only: bool) -> pa.Table:
-    """Pairs (a, b), a > b, of different labels that agree enough and meet in no earlier band."""
-
-    def arrays(t: pa.Table):
-        sig = np.array([np.frombuffer(x.as_buffer(), np.uint32) for x in t["signature"]]).reshape(-1, COMPONENTS)
-        bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        return t["doc_id"].to_numpy(), t["label"].to_numpy(), sig, bands
-
-    a = arrays(table)
-    b = arrays(other) if other is not None else a
-    k = table["k"][0].as_py()
-    out_a, out_b = [], []
-    for i in range(len(a[0])):
-        go = a[1][i] != b[1]
-        if other is None:
-            go[i:] = False
-        at = np.flatnonzero(go)
-        if not len(at):
+def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        for a, b, row, shingle, count in shingle_counts(batch.column("text").to_pylist()):
+            cut = np.searchsorted(row, np.arange(b - a + 1))
+            part = lambda x, cut=cut: [x[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(part(shingle)), pa.array(part(count.astype(np.uint32)))], ["doc_id", "shingles", "counts"])
+
+
+def _links_within(table: pa.Table) -> pa.Table:
+    """Links (a, b), a > b, that join different labels; of each two labels, as soon as one is found no more are sought.
+
+    The table is one tile, or two that meet: then only pairs across them count.
+    """
+    crossed = table["x"][0].as_py() != table["y"][0].as_py()
+    label = table["label"].to_numpy()
+    _, code, size = np.unique(label, return_inverse=True, return_counts=True)
+    order = np.lexsort((label, size[code]))  # small classes first: each of their texts meets the large ones in one pass
+    root = list(range(len(size)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    doc, tile, code = table["doc_id"].to_numpy()[order], table["tile"].to_numpy()[order], code[order]
+    pick = lambda name, kind: [np.frombuffer(table[name][i].as_buffer(), kind) for i in order.tolist()]
+    sig = np.array(pick("signature", np.uint32)).reshape(-1, COMPONENTS)
+    shingles, counts = pick("shingles", np.uint64), pick("counts", np.uint32)
+    total = np.array([int(c.sum()) for c in counts])
+    found = []
+    for i in range(len(doc)):
+        own = find(code[i])
+        rest = np.arange(i + 1, len(doc))
+        if crossed:
+            rest = rest[tile[rest] != tile[i]]
+        classes = {c: find(c) for c in set(code[rest].tolist())}
+        rest = rest[np.array([classes[c] != own for c in code[rest].tolist()], bool)] if len(rest) else rest
+        rest = rest[np.minimum(total[rest], total[i]) * THRESHOLD[1] >= np.maximum(total[rest], total[i]) * THRESHOLD[0]]
+        rest = rest[(sig[rest] == sig[i]).sum(1) >= LEAST_AGREEING]
+        if not len(rest):
             continue
-        agree = (b[2][at] == a[2][i]).sum(1)
-        good = agree >= LEAST_AGREEING
-        if not best_only:
-            good &= ~(b[3][at][:, :k] == a[3][i][:k]).any(1) if k else True
-        at, agree = at[good], agree[good]
-        if best_only and len(at):  # of each other class, the one that agrees most
-            order = np.lexsort((b[0][at], -agree, b[1][at]))
-            at = at[order][np.r_[True, np.diff(b[1][at][order]) != 0]]
-        out_a += [a[0][i]] * len(at)
-        out_b += b[0][at].tolist()
-    x, y = np.array(out_a, np.int64), np.array(out_b, np.int64)
-    return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
-
-
-def _open_pairs(members: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs to verify within buckets that hold texts of several classes.
-
-    members: (bucket, k, doc_id, label, bands, signature). A bucket is cut into tiles of TILE texts by a hash; two
-    tiles that differ meet in a group of their own, so that no task holds more.
+        all_s, all_c = np.concatenate([shingles[j] for j in rest]), np.concatenate([counts[j] for j in rest])
+        starts = np.cumsum([0] + [len(shingles[j]) for j in rest[:-1]])
+        at = np.minimum(np.searchsorted(shingles[i], all_s), len(shingles[i]) - 1)
+        both = np.where(shingles[i][at] == all_s, np.minimum(counts[i][at], all_c), 0).astype(np.int64)
+        overlap = np.add.reduceat(both, starts)
+        linked = rest[overlap * THRESHOLD[1] >= (total[rest] + total[i] - overlap) * THRESHOLD[0]]
+        for j in linked.tolist():
+            if (other := find(code[j])) != find(code[i]):
+                root[other] = find(code[i])
+                found.append((max(doc[i], doc[j]), min(doc[i], doc[j])))
+    x = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": x[:, 0], "b": x[:, 1]})
+
+
+def links_between_classes(members: DataFrame, links: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between texts that the given links leave in different classes.
+
+    members: (doc_id, b), texts and the first text of their buckets. What buckets connect is a family; only families
+    that hold several classes are searched. A family is cut into tiles of TILE texts by a hash; each two tiles meet
+    in a group of their own, so that no task holds more than two of them, and none of its pairs is a row.
     """
-    many = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    cut = many.select("bucket", F.expr(f"cast((n - 1) div {TILE} + 1 as int)").alias("tiles"))
-    rows = members.join(cut, "bucket").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    family = components(members.select(F.col("doc_id").alias("a"), "b")).select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
+    rows = family.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    rows = materialize(rows)
+    many = rows.groupBy("family").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    rows = materialize(join_hot(rows, many.select("family", "n"), ["family"], "n", rows.count()))
+    found = texts.join(rows.select("doc_id"), "doc_id", "left_semi")
+    sets = found.mapInArrow(_multisets, found.select("doc_id", F.lit(b"").alias("shingles"), F.lit(b"").alias("counts")).schema)
+    tiles = F.expr(f"cast((n - 1) div {TILE} + 1 as int)")
+    full = rows.join(reps.select("doc_id", "signature"), "doc_id").join(sets, "doc_id").withColumn("tiles", tiles)
+    full = full.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("x"), F.greatest("tile", o).alias("y"))))
-    rows = rows.select("*", pair.alias("p")).select("bucket", "k", "doc_id", "label", "bands", "signature", "tile", "p.x", "p.y")
-
-    def search(table: pa.Table) -> pa.Table:
-        x, y = table["x"][0].as_py(), table["y"][0].as_py()
-        if x == y:
-            return _agreeing(table, None, best_only)
-        side = table["tile"].to_numpy()
-        return _agreeing(table.filter(pa.array(side == x)), table.filter(pa.array(side == y)), best_only) if len(set(side)) == 2 else pa.table({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-
-    return rows.groupBy("bucket", "x", "y").applyInArrow(search, "a long, b long")
+    full = full.select("family", "doc_id", "label", "signature", "shingles", "counts", "tile", pair.alias("p")).select("*", "p.x", "p.y").drop("p")
+    return full.groupBy("family", "x", "y").applyInArrow(_links_within, "a long, b long")
 
 
 def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,9 +233,8 @@ def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows that share an id the greatest text stands; rows with a null id are left out. Ids are whole numbers. An empty
     table gives an empty result; other columns are not read.
 
-    Every bucket's texts are compared with its first text. Where a bucket then still holds several classes, the most
-    agreeing pair of each text and class is verified, and at last every pair of different classes that agrees in
-    LEAST_AGREEING components.
+    Every bucket's texts are compared with its first text. Where texts that buckets connect are then still in several
+    classes, all pairs of different classes that agree in LEAST_AGREEING components are compared.
     """
     source = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
     signed = materialize(sign(source).groupBy("doc_id").agg(F.max(F.struct("n_shingles", "m1", "m2", "bands", "signature")).alias("s")).select("doc_id", "s.*"))
@@ -213,18 +244,12 @@ def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = signed.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     texts = source.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
-    banded = reps.select("doc_id", F.posexplode("bands").alias("k", "bucket"))
+    banded = reps.select("doc_id", F.explode("bands").alias("bucket"))
     buckets = materialize(banded.groupBy("bucket").agg(F.count("*").alias("texts"), F.min("doc_id").alias("b")).filter("texts > 1"))
-    members = materialize(join_hot(banded, buckets, ["bucket"], "texts", buckets.agg(F.sum("texts")).first()[0] or 0))
-    links = materialize(verify(members.filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b"), texts))
-    held = members.select("bucket", "k", "doc_id").join(reps.select("doc_id", "bands", "signature"), "doc_id")
-    for best_only in (True, False):
-        labels = components(links)
-        labelled = held.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        pairs = materialize(_open_pairs(labelled, best_only))
-        if pairs.isEmpty():
-            break
-        links = materialize(links.unionByName(verify(pairs, texts)))
+    members = join_hot(banded, buckets, ["bucket"], "texts", buckets.agg(F.sum("texts")).first()[0] or 0)
+    members = materialize(members.filter("doc_id <> b").select("doc_id", "b").distinct())
+    links = materialize(verify(members.select(F.col("doc_id").alias("a"), "b"), texts))
+    links = materialize(links.unionByName(links_between_classes(members, links, reps, texts)))
     labels = components(links).withColumnRenamed("node", "rep")
     classes = groups.join(labels, "rep", "left").select("m1", "m2", "copies", F.coalesce("label", "rep").alias("class_id"))
     size = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
