@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -138,6 +139,21 @@ def predict(model: PipelineModel, rows: DataFrame, key: str) -> DataFrame:
     return model.transform(rows).select(key, F.col("label").alias("truth") if "label" in rows.columns else F.lit(None).alias("truth"), named.alias("predicted"))
 
 
+def decision_ranks(model: PipelineModel, rows: DataFrame, key: str) -> DataFrame:
+    """(key, truth, label, score, rank) of every class, by the model's decision scores; ties by label."""
+    names = F.array(*[F.lit(x) for x in model.stages[0].labels])
+    out = model.transform(rows).select(key, F.col("label").alias("truth"), F.posexplode(vector_to_array("rawPrediction")).alias("i", "score"))
+    out = out.select(key, "truth", F.element_at(names, F.col("i") + 1).alias("label"), "score")
+    return out.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "label")))
+
+
+def rank_summary(ranks: DataFrame) -> DataFrame:
+    """(n, mean_rank, top2, mean_margin): the truth's mean rank, its share in the first two, and first minus second."""
+    keys = [c for c in ranks.columns if c not in ("label", "score", "rank")]
+    own = ranks.groupBy(*keys).agg(F.max(F.when(F.col("label") == F.col("truth"), F.col("rank"))).alias("r"), (F.max(F.when(F.col("rank") == 1, F.col("score"))) - F.max(F.when(F.col("rank") == 2, F.col("score")))).alias("m"))
+    return own.agg(F.count("*").alias("n"), F.avg("r").alias("mean_rank"), F.avg((F.col("r") <= 2).cast("double")).alias("top2"), F.avg("m").alias("mean_margin"))
+
+
 def select_weights(parts: DataFrame, truth: DataFrame, grid: Sequence[tuple[float, float]]) -> DataFrame:
     """(w1, w2, mrr, n_empty, chosen) of (query, item, s1, s2): each weighting of the two parts, scored once.
 

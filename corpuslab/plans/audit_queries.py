@@ -6,16 +6,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.rng import draw
 from ..operators import audit as U
 from ..operators import passages as P
 from ..operators import score as X
 from ..operators import select as S
 from ..operators import stats as I
 from . import Registry
-from .score_queries import ANN, EXCLUSIVE, FP, QS, QUANTUM, CLASSICAL, annotations, fingerprints, qs, values
+from .score_queries import ANN, FP, QS, QUANTUM, CLASSICAL, annotations, fingerprints, qs, values
 from .score_queries import _r
-from .text_queries import FREQUENT, RARE, WORDS, _arr, _found, _subst, _words
+from .text_queries import FREQUENT, RARE, _arr, _found, _subst, _words
 from .views import PASSAGES, ROLES, passages, role_passages, roles, table
 
 q = Registry()

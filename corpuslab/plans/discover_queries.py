@@ -11,11 +11,10 @@ from ..operators import discover as D
 from ..operators import graph as G
 from ..operators import learn as L
 from ..operators import score as X
-from ..operators import segments as S
 from ..operators import select as Sel
 from ..operators import stats as I
 from . import Registry
-from .audit_queries import R, SPLIT, _d, _split
+from .audit_queries import SPLIT, _d, _split
 from .score_queries import ANN, FEATURES, SCORES, TOKENS, _r, annotations, scores, tfidf_sql, values
 from .views import PASSAGES, ROLES, passages, role_passages, roles, table
 
@@ -483,6 +482,13 @@ def svc_predict(spark, d):
     return _text_model(spark, d, "svc")
 
 
+@q()
+def svc_margins(spark, d):
+    rows = _labels(spark, d).join(passages(spark, d).select("passage_id", "text"), "passage_id")
+    model = L.text_classifier(rows.filter("split = 'train'").select("text", "label").cache(), "svc", False, 1 << 14)
+    return _r(L.rank_summary(L.decision_ranks(model, rows.filter("split <> 'train'"), "passage_id")), "mean_rank", "mean_margin", "top2")
+
+
 @q()
 def logreg_predict(spark, d):
     return _text_model(spark, d, "logreg")
