@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The same rows; from now on the session hands Python at most so many at a time, as texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, rows)
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -61,3 +71,10 @@ def collapse_space(text: Column) -> Column:
 
 def hex_sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def trim_memory() -> None:
+    """Give freed memory back to the system. A worker that takes group after group else keeps its allocators' peaks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
