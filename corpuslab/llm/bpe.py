@@ -21,8 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches, trim_memory
+
 #: Pre-tokens whose encoding a task remembers at most; then it forgets all and starts again.
-MEMO_SIZE = 1_000_000
+MEMO_SIZE = 400_000
 
 
 @functools.cache
@@ -161,7 +163,7 @@ class ByteBPE:
             if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None
         }
         self.bytes_of = dict(zip(self.ids, self.tokens, strict=True))
-        self.memo = _Memo(self.encode_piece)
+        self.memo = _Memo(self.encode_piece)  # bounded, and emptied after each task
 
     def __getstate__(self):
         return self.tokens, self.ids, self.pattern, self.hash
@@ -223,8 +225,10 @@ def bpe_encode(documents: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_
                 coded = [bpe.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
                 values = pa.array(np.frombuffer(b"".join(coded), np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(_offsets([len(x) // 4 for x in coded]), values)], ["doc_id", "ids"])
+        bpe.memo.clear()
+        trim_memory()
 
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bound_batches(documents).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = rows.select("doc_id", F.array(F.lit(0)).alias("ids")).schema
     return rows.mapInArrow(run, schema)
 

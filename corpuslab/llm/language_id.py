@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 SLOTS = 1 << 15
 #: Code points that are scored at a time, if one text alone does not have more.
 CHUNK = 1 << 20
@@ -109,7 +111,7 @@ class NaiveBayes:
 
 def train_language_id(labelled: DataFrame) -> NaiveBayes:
     """A model of all rows of (text, lang); rows with a null are left out. Only the sums reach the driver."""
-    rows = labelled.select("text", "lang").dropna()
+    rows = bound_batches(labelled).select("text", "lang").dropna()
     schema = "lang string, docs long, counts binary"
     found = rows.mapInArrow(_count, schema).groupBy("lang").applyInArrow(_sum, schema).limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
@@ -136,7 +138,7 @@ def predict_language(documents: DataFrame, model: NaiveBayes, id_col: str = "doc
                 lang[there], score[there] = model.score(_lowered(pa.array([texts[i] for i in there])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bound_batches(documents).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, rows.select("doc_id", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
 
 

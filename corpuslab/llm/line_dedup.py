@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, LOWER, UPPER, join_hot, materialize
+from .common import ASCII_SPACE, LOWER, UPPER, bound_batches, join_hot, materialize
 
 BLOCK_BITS = 1 << 16
 #: The broadcast filter has at most so many bits (32 MB). Beyond its capacity more lines are suspects; none is lost.
@@ -105,7 +105,7 @@ def _suspects(held, bits: int, min_chars: int):
 
 def suspected_lines(documents: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, key) of the lines that may stand in a second document; holds every line that does."""
-    spark = documents.sparkSession
+    spark = bound_batches(documents).sparkSession
     n = max(1, documents.count())
     bits = min(MAX_FILTER_BITS, max(1 << 20, 1 << (n * BITS_A_DOCUMENT - 1).bit_length()))
     filled = documents.mapInArrow(_fill(bits, min_chars), "block int, twice boolean, bits binary")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize
+from .common import bound_batches, join_hot, materialize
 from .components import components
 from .shingles import mix, shingle_counts
 
@@ -236,7 +236,7 @@ def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Every bucket's texts are compared with its first text. Where texts that buckets connect are then still in several
     classes, all pairs of different classes that agree in LEAST_AGREEING components are compared.
     """
-    source = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
+    source = bound_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
     signed = materialize(sign(source).groupBy("doc_id").agg(F.max(F.struct("n_shingles", "m1", "m2", "bands", "signature")).alias("s")).select("doc_id", "s.*"))
     # equal multisets are one text from here on
     groups = signed.filter("n_shingles > 0").groupBy("m1", "m2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))

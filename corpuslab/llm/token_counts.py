@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ROWS, Splitter, _Memo, heap_merge
+from .common import bound_batches, trim_memory
 
 
 def byte_alphabet() -> list[str]:
@@ -112,8 +113,10 @@ def token_counts(documents: DataFrame, bpe: WordBPE, limit: int = 2048, id_col:
                 batch = whole.slice(at, ROWS)
                 counts = [bpe.count(t) if t else 0 for t in batch.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        bpe.memo.clear()
+        trim_memory()
 
     text = F.col(text_col)
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
+    rows = bound_batches(documents).select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
     schema = rows.select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_tokens")).schema
     return rows.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
