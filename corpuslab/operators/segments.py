@@ -20,7 +20,9 @@ def propositions(passages: DataFrame) -> DataFrame:
     rows = rows.select("passage_id", none.alias("__whole"), F.posexplode(F.when(none, F.array(F.trim("text"))).otherwise(F.col("__s"))).alias("n", "sentence"))
     rows = rows.filter("__whole OR NOT endswith(sentence, '?')").filter("sentence <> ''")
     conf = F.when(F.col("__whole"), 0.5).when(T.word_count(F.col("sentence")) >= 5, 0.6).otherwise(0.4)
-    pid = F.concat(F.col("passage_id").cast("string"), F.lit("::P"), F.lpad((F.col("n") + 1).cast("string"), 3, "0"))
+    no = (F.col("n") + 1).cast("string")
+    # lpad also cuts, so longer numbers stay as they are
+    pid = F.concat(F.col("passage_id").cast("string"), F.lit("::P"), F.when(F.length(no) < 3, F.lpad(no, 3, "0")).otherwise(no))
     return rows.select("passage_id", pid.alias("proposition_id"), "sentence", conf.alias("confidence"))
 
 

@@ -147,6 +147,12 @@ def test_packs_against_a_loop(spark):
         assert got.get(i, []) == packs
 
 
+def test_propositions_have_ids_of_their_own(spark):
+    n = 1011
+    got = segments.propositions(texts(spark, " ".join(f"s{i} is said." for i in range(1, n + 1)))).collect()
+    assert {r.proposition_id: r.sentence for r in got} == {f"0::P{i:03d}": f"s{i} is said." for i in range(1, n + 1)}
+
+
 def test_overlaps_of_splits(spark):
     rows = spark.createDataFrame([("A", "train"), ("A", "development"), ("B", "train")], "work string, split string")
     assert one(audit.overlaps(rows, "work")).key_value == "A"
