@@ -66,10 +66,14 @@ def pack_sentences(passages: DataFrame, close_at: int, keep_tail: int, limit: in
     return passages.select("passage_id", F.posexplode(packs).alias("n", "pack"))
 
 
-def word_windows(passages: DataFrame, size: int, step: int, min_words: int, most: int) -> DataFrame:
-    """(passage_id, start, window): windows of ``size`` words; a text of no more than that is one window."""
+def word_windows(passages: DataFrame, size: int, step: int, min_words: int, most: int | None = None) -> DataFrame:
+    """(passage_id, start, window): windows of ``size`` words; a text of no more than that is one window.
+
+    Windows cover the whole text, or the first ``most`` of them are taken.
+    """
     rows = passages.select("passage_id", T.words(F.col("text")).alias("__w")).withColumn("__n", F.size("__w")).filter(F.col("__n") >= min_words)
-    last = F.when(F.col("__n") <= size, F.lit(0)).otherwise(F.least(F.col("__n") - min_words, F.lit(step * (most - 1))))
+    end = F.col("__n") - min_words
+    last = F.when(F.col("__n") <= size, F.lit(0)).otherwise(end if most is None else F.least(end, F.lit(step * (most - 1))))
     rows = rows.select("passage_id", "__w", F.explode(F.sequence(F.lit(0), last, F.lit(step))).alias("start"))
     return rows.select("passage_id", "start", F.array_join(F.slice("__w", F.col("start") + 1, F.lit(size)), " ").alias("window"))
 

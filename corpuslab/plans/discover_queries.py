@@ -200,6 +200,11 @@ def lexical_proxy_graph(spark, d):
     return G.lexical_proxy(passages(spark, d), spark.createDataFrame([(x,) for x in _LABELS], "label string"), 5)
 
 
+@q(f"WITH h AS (SELECT passage_id, label, row_number() OVER (PARTITION BY passage_id ORDER BY label) AS n FROM ({PASSAGES}), (VALUES {', '.join(f"('{x}')" for x in _LABELS)}) l(label) WHERE contains(lower(text), label)) SELECT passage_id, n::INT AS n, label, lead(label) OVER (PARTITION BY passage_id ORDER BY label) AS next_label FROM h WHERE n <= 20")
+def lexical_proxy_graph_whole(spark, d):
+    return G.lexical_proxy(passages(spark, d), spark.createDataFrame([(x,) for x in _LABELS], "label string"))
+
+
 _K2 = "k2 AS (SELECT [a.x, b.x] AS signature, count(*) AS support FROM (SELECT passage_id, unnest(signature) AS x FROM sg) a JOIN (SELECT passage_id, unnest(signature) AS x FROM sg) b ON a.passage_id = b.passage_id AND a.x < b.x GROUP BY ALL HAVING count(*) >= 3)"
 
 

@@ -277,6 +277,14 @@ def word_windows(spark, d):
     return S.word_windows(passages(spark, d), 120, 100, 40, 20)
 
 
+@q(f"""
+WITH w AS (SELECT passage_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM ({PASSAGES})),
+s AS (SELECT passage_id, ws, unnest(CASE WHEN len(ws) <= 120 THEN [0] ELSE range(0, len(ws) - 40 + 1, 100) END) AS start FROM w WHERE len(ws) >= 40)
+SELECT passage_id, start::INT AS start, array_to_string(ws[start + 1 : start + 120], ' ') AS "window" FROM s""")
+def word_windows_whole(spark, d):
+    return S.word_windows(passages(spark, d), 120, 100, 40)
+
+
 @q("""
 WITH a AS (SELECT doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id)),
 b AS (SELECT doc_id, lang, NULL::INT AS quality FROM documents WHERE source = 'src1')

@@ -153,6 +153,23 @@ def test_propositions_have_ids_of_their_own(spark):
     assert {r.proposition_id: r.sentence for r in got} == {f"0::P{i:03d}": f"s{i} is said." for i in range(1, n + 1)}
 
 
+def test_windows_reach_the_end_of_a_long_text(spark):
+    got = segments.word_windows(texts(spark, " ".join(f"w{i}" for i in range(5000))), 120, 100, 40).orderBy("start").collect()
+    assert [r.start for r in got] == list(range(0, 4961, 100))
+    assert [r.window.split() for r in got] == [[f"w{i}" for i in range(s, min(s + 120, 5000))] for s in range(0, 4961, 100)]
+
+
+def test_registered_whole_forms_lose_nothing(spark, tmp_path):
+    from corpuslab.plans import discover_queries, text_queries
+
+    text = " ".join(discover_queries._LABELS) + " w" * 4993
+    spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert text_queries.QUERIES["word_windows_whole"](spark, str(tmp_path)).agg(F.max("start")).first()[0] == 4900
+    got = discover_queries.QUERIES["lexical_proxy_graph_whole"](spark, str(tmp_path)).orderBy("n").collect()
+    labels = sorted(discover_queries._LABELS)
+    assert [(r.label, r.next_label) for r in got] == list(zip(labels, labels[1:] + [None], strict=True))
+
+
 def test_overlaps_of_splits(spark):
     rows = spark.createDataFrame([("A", "train"), ("A", "development"), ("B", "train")], "work string, split string")
     assert one(audit.overlaps(rows, "work")).key_value == "A"
