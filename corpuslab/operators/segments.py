@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +42,15 @@ def paragraphs(passages: DataFrame, min_words: int, separator: str = r"\n\s*\n+"
     return rows.filter((F.col("n_words") >= min_words) & ~F.col("paragraph").rlike(r"^[0-9ivxlc]+$"))
 
 
-def pack_sentences(passages: DataFrame, close_at: int, keep_tail: int, limit: int | None = None) -> DataFrame:
+#: What sentences left over from navigation and style sheets hold.
+NOISE = ("mw-parser-output", ".wst-", "login-button", "javascript")
+
+
+def pack_sentences(passages: DataFrame, close_at: int, keep_tail: int, limit: int | None = None, longer_than: int = 0, noise: Sequence[str] = (), most_words: int | None = None) -> DataFrame:
     """(passage_id, n, pack): sentences joined until a pack has close_at words; a tail of keep_tail words stays.
 
-    A fold within the row, linear in the sentences; rows are independent.
+    Sentences of at most longer_than characters, or with a term of noise, are left out; a pack of more than most_words
+    words is dropped. A fold within the row, linear in the sentences; rows are independent.
     """
     state = F.struct(F.array().cast("array<string>").alias("packs"), F.array().cast("array<string>").alias("buf"), F.lit(0).alias("n"))
 
@@ -51,15 +58,19 @@ def pack_sentences(passages: DataFrame, close_at: int, keep_tail: int, limit: in
         n = s.n + T.word_count(sentence)
         buf = F.array_append(s.buf, sentence)
         full = n >= close_at
+        fits = full if most_words is None else full & (n <= most_words)
         return F.struct(
-            F.when(full, F.array_append(s.packs, F.array_join(buf, " "))).otherwise(s.packs).alias("packs"),
+            F.when(fits, F.array_append(s.packs, F.array_join(buf, " "))).otherwise(s.packs).alias("packs"),
             F.when(full, F.array().cast("array<string>")).otherwise(buf).alias("buf"), F.when(full, F.lit(0)).otherwise(n).alias("n"),
         )
 
     def finish(s: Column) -> Column:
-        return F.when(s.n >= keep_tail, F.array_append(s.packs, F.array_join(s.buf, " "))).otherwise(s.packs)
+        keep = s.n >= keep_tail
+        return F.when(keep if most_words is None else keep & (s.n <= most_words), F.array_append(s.packs, F.array_join(s.buf, " "))).otherwise(s.packs)
 
-    said = F.filter(F.transform(T.sentences(F.col("text")), lambda s: F.trim(s)), lambda s: s != "")
+    said = F.filter(F.transform(T.sentences(F.col("text")), lambda s: F.btrim(s, F.lit(" \t\n\x0b\f\r"))), lambda s: F.length(s) > longer_than)
+    if noise:
+        said = F.filter(said, lambda s: F.size(T.containing(s, noise)) == 0)
     packs = F.aggregate(said, state, step, finish)
     if limit is not None:
         packs = F.slice(packs, 1, limit)

@@ -266,7 +266,7 @@ def pack_sentences(spark, d):
 
 @q()
 def carve_sentences(spark, d):
-    return S.pack_sentences(passages(spark, d), 60, 60, limit=8)
+    return S.pack_sentences(passages(spark, d), 60, 60, longer_than=40, noise=S.NOISE, most_words=220)
 
 
 @q(f"""

@@ -153,6 +153,34 @@ def test_propositions_have_ids_of_their_own(spark):
     assert {r.proposition_id: r.sentence for r in got} == {f"0::P{i:03d}": f"s{i} is said." for i in range(1, n + 1)}
 
 
+def test_carve_takes_whole_texts_by_the_rules(spark, tmp_path):
+    import re
+
+    from corpuslab.plans import text_queries
+
+    rng = random.Random(7)
+    tail = lambda: rng.choice([".", "!", "?", " JavaScript.", " mw-parser-output."])
+    said = [" ".join(" ".join(rng.choice(["word", "longer", "a"]) for _ in range(rng.choice([3, 9, 30, 55, 230]))) + tail() for _ in range(200)) for _ in range(6)]
+    said.append("\n\t" + " ".join(["word"] * 8) + "\n. " + " ".join(["word"] * 70) + ".")
+    rows = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(said)], "doc_id long, text string, lang string, source string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in text_queries.QUERIES["carve_sentences"](spark, str(tmp_path)).orderBy("passage_id", "n").collect():
+        got.setdefault(r.passage_id, []).append(r.pack)
+    for i, t in enumerate(said):
+        packs, buf, n = [], [], 0
+        for s in [x.strip() for x in re.split(r"(?<=[.!?])\s+", t) if len(x.strip()) > 40]:
+            if any(x in s.lower() for x in ("mw-parser-output", ".wst-", "login-button", "javascript")):
+                continue
+            buf.append(s)
+            n += len(s.split())
+            if n >= 60:
+                packs += [" ".join(buf)] if n <= 220 else []
+                buf, n = [], 0
+        assert got.get(i, []) == packs
+    assert max(map(len, got.values())) > 8
+
+
 def test_windows_reach_the_end_of_a_long_text(spark):
     got = segments.word_windows(texts(spark, " ".join(f"w{i}" for i in range(5000))), 120, 100, 40).orderBy("start").collect()
     assert [r.start for r in got] == list(range(0, 4961, 100))
