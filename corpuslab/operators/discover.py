@@ -10,9 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def frequent_sets(items: DataFrame, key: str, min_support: int, max_size: int) -> DataFrame:
+def frequent_sets(items: DataFrame, key: str, min_support: int, max_size: int, whole: bool = False) -> DataFrame:
     """(signature, support) of the item sets of size 2..max_size that at least min_support keys hold.
 
+    With whole, also of the longer signatures that at least min_support keys have as they are.
+
     items: (key, signature sorted array). Level by level: only sets all of whose items are frequent grow, each by an
     item that comes after its last one, so that no set is made twice; items are few, so level tables are small.
     """
@@ -28,6 +30,9 @@ def frequent_sets(items: DataFrame, key: str, min_support: int, max_size: int) -
         counts = grown.groupBy("signature").agg(F.count("*").alias("support")).filter(F.col("support") >= min_support)
         found.append(counts)
         level = grown.join(F.broadcast(counts.select("signature")), "signature", "left_semi")
+    if whole:
+        longer = items.filter(F.size("signature") > max_size).groupBy("signature").agg(F.count("*").alias("support"))
+        found.append(longer.filter(F.col("support") >= min_support))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -89,6 +89,20 @@ def test_frequent_sets_against_brute_force(spark):
     assert got == {c: n for c, n in want.items() if n >= 3}
 
 
+def test_whole_motifs_lose_no_frequent_set(spark, monkeypatch):
+    from corpuslab.plans import discover_queries as Q
+
+    long, data = list("abcdefgh"), [(i, list("abcdefgh")) for i in range(3)] + [(i, list("abcde")) for i in range(3, 7)]
+    want = {c: 7 if set(c) <= set("abcde") else 3 for k in range(2, 7) for c in itertools.combinations(long, k)} | {tuple(long): 3}
+    rows = spark.createDataFrame(data, "passage_id long, signature array<string>")
+    monkeypatch.setattr(Q, "_sig", lambda *_: rows)
+    assert {tuple(r.signature): r.support for r in Q.QUERIES["motif_mining_whole"](spark, "").collect()} == want
+    features = rows.withColumnRenamed("signature", "f").select("passage_id", F.explode("f").alias("feature_id"))
+    monkeypatch.setattr(Q, "_pos", lambda *_: features)
+    got = {tuple(r.signature): r.support for r in Q.QUERIES["feature_combos_whole"](spark, "").collect()}
+    assert got == {c: n for c, n in want.items() if len(c) <= 4}
+
+
 def test_feature_graph(spark):
     pos = spark.createDataFrame([(1, "F01", "it pervades all"), (1, "O01", "")], "passage_id long, feature_id string, evidence string")
     assert {r.node_type for r in graph.feature_nodes(pos).collect()} == {"substrate", "space"}
