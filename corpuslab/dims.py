@@ -115,3 +115,85 @@ RELATION_PHRASES = (
     (r"\s+carries?\s+", "CARRIES", 0.75),
     (r"\s+pervades?\s+", "PERVADES", 0.8),
 )
+
+# Cues of the base pack, for each of the 36 features.
+BASE_CUES = (
+    ("O01", r"underlying (reality|entity|substrate|level)"),
+    ("O02", r"composed of|aggregates of|made of (more )?elementary"),
+    ("O03", r"indivisible|cannot be further divided|discrete (atoms|units)"),
+    ("O04", r"continuous (medium|entity|substrate|field)"),
+    ("O05", r"localized manifestations|local forms appear"),
+    ("O06", r"arise from lower-level|emerge from"),
+    ("D01", r"configuration|distinguishable (states|configurations)"),
+    ("D02", r"evolves according|change according to|transformation law"),
+    ("D03", r"oscillat|periodically|cyclic"),
+    ("D04", r"propagat|travels through"),
+    ("D05", r"conserved|remains unchanged|invariant quantity"),
+    ("D06", r"invariant under"),
+    ("D07", r"reversed|inverse process|reversible"),
+    ("Q01", r"only (certain|discrete) (energy )?levels|allowed (states|values)"),
+    ("Q02", r"superposition|simultaneously represented|jointly represents mutually exclusive"),
+    ("Q03", r"probabilities are basic|inherent probability|irreducible probability"),
+    ("Q04", r"measurement interaction|outcome is produced in association with a measurement"),
+    ("Q05", r"cannot both have definite|incompatible observables|non-commuting"),
+    ("Q06", r"cannot be (written|represented) as independent component|non-?factoriz|nonseparab"),
+    ("Q07", r"depend(s)? on (which|the) (compatible )?measurement context|contextuality"),
+    ("Q08", r"discrete excitations of (the )?(underlying )?field|quanta of the field"),
+    ("R01", r"local interactions|neighboring interactions"),
+    ("R02", r"distant (entities|systems).*(correlat|relation)"),
+    ("R03", r"not recoverable from independent part|irreducible whole"),
+    ("R04", r"defined relative to|relative to a reference"),
+    ("M01", r"distinguish (the )?measur|observer and (the )?observed|apparatus from the measured"),
+    ("M02", r"measurement interaction alters|observation (physically )?changes|alters the system's"),
+    ("M03", r"cannot know|ignorance of|unknown to us"),
+    ("M04", r"no definite value is predetermined|not predetermined prior"),
+    ("F01", r"throughout a spatial region|across (an )?extended|present throughout"),
+    ("F02", r"different values at different locations|spatially varying"),
+    ("F03", r"travels through space|propagat\w+ through"),
+    ("F04", r"manifestations of the (extended )?field|arise from that distributed"),
+    ("F05", r"mediated by the|mediates interactions"),
+    ("F06", r"dynamical disturbance of the medium|dynamically changed states of the underlying"),
+    ("F07", r"discrete excitation quanta|only discrete excitations"),
+)
+
+# Cues that deny a feature.
+NEGATIVE_CUES = (
+    ("Q06", r"everything is (one|interconnected)|all is one"),
+    ("Q03", r"probability only reflects our ignorance"),
+    ("M04", r"definite value exists but is unknown"),
+)
+
+# Cues of classical natural philosophy.
+CLASSICAL_CUES = (
+    ("O01", r"\b(first[- ]beginnings|primordial|underlying (nature|substance))\b"),
+    ("O01", r"\bthat from which (all )?(things|beings) (arise|come|spring)\b"),
+    ("O02", r"\b(atoms?|corpuscles?|seeds of things|first bodies)\b"),
+    ("O02", r"\bcomposed of|made up of|aggregat\w+\b"),
+    ("O03", r"\bindivisible\b|\bcannot be (cut|split|divided)\b|\bvoid and atoms\b"),
+    ("O03", r"\bsmallest (bodies|parts|particles)\b"),
+    ("O04", r"\b(void|vacuum|empty space)\b"),
+    ("O04", r"\bcontinuous (nature|substance|medium)\b"),
+    ("D02", r"\b(come into being|pass away|arise and perish|transformation)\b"),
+    ("D04", r"\b(motion through|travels? through|diffuse[sd]? through)\b"),
+    ("R01", r"\b(collision|blow|impact|contact) of (atoms|bodies)\b"),
+    ("F01", r"\bpervade[sd]?\b|\bfills? (all )?space\b|\bextended through\b"),
+    ("M03", r"\bbeyond (our )?ken\b|\bcannot (be )?perceive\b|\bhidden from (the )?senses\b"),
+)
+
+# Cues of metaphysics.
+METAPHYSICAL_CUES = (
+    ("O01", r"\b(brahman|atman|absolute|supreme (self|reality|being)|ultimate reality)\b"),
+    ("O01", r"\bthe (one|infinite|unchanging) (reality|self|ground)\b"),
+    ("O01", r"\bunderlying (self|reality|being|principle)\b"),
+    ("O02", r"\b(part and whole|whole and (its )?parts|higher self|lower self)\b"),
+    ("O02", r"\b(rooted above|branches downward|tree of creation)\b"),
+    ("O04", r"\b(all[- ]pervad\w+|omnipresent|fills? (all|the) (space|world))\b"),
+    ("O04", r"\b(ether|akasha|ākāśa|space itself)\b"),
+    ("O05", r"\b(manifests?|manifestation|appears? as|phenomenal world)\b"),
+    ("O05", r"\b(names? and forms?|nama[- ]rupa)\b"),
+    ("D02", r"\b(birth and death|mortal and immortal|becoming|samsara)\b"),
+    ("D02", r"\b(change|changing conditions|impermanent)\b"),
+    ("F01", r"\b(pervad\w+|all[- ]pervad\w+|present in all)\b"),
+    ("M03", r"\b(beyond (all )?human conception|ineffable|cannot be (defined|spoken))\b"),
+    ("M03", r"\b(unknown|unknowable) to (the )?senses\b"),
+)

@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..dims import BASE_CUES, CLASSICAL_CUES, METAPHYSICAL_CUES, NEGATIVE_CUES
 from ..functions import text as T
 
 
@@ -17,27 +18,38 @@ class Cue(NamedTuple):
     positive: bool = True
 
 
-def annotate(passages: DataFrame, cues: Sequence[Cue], features: Sequence[str] | None = None) -> DataFrame:
+def cue_packs(base: bool = True, classical: bool = True, metaphysical: bool = True) -> list[Cue]:
+    """The packaged cues of the packs that are on; the negative cues belong to the base."""
+    out = [Cue(f, p) for on, pack in ((base, BASE_CUES), (classical, CLASSICAL_CUES), (metaphysical, METAPHYSICAL_CUES)) if on for f, p in pack]
+    return out + [Cue(f, p, False) for f, p in NEGATIVE_CUES if base]
+
+
+def annotate(passages: DataFrame, cues: Sequence[Cue] | None = None, features: Sequence[str] | None = None) -> DataFrame:
     """(all columns, feature_id, label, evidence, confidence): one row for each passage and feature.
 
     A feature's negative cues come first (label 0), then its first matching positive cue, in order (label 1, with the
-    sentence around the match as evidence); without a match the label is NA. Cues are literals of one projection.
+    sentence around the match as evidence); without a match the label is NA. Cues are literals of one projection, all
+    packs if none are given; each is matched once, and the evidence is cut before the passage is repeated.
     """
+    cues = cue_packs() if cues is None else cues
     text = F.col("text")
     rows = []
     for feature in features or list(dict.fromkeys(c.feature_id for c in cues)):
         own = [c for c in cues if c.feature_id == feature]
         no = [F.when(text.rlike(f"(?iu){c.pattern}"), F.lit("0")) for c in own if not c.positive]
-        yes = [F.when(text.rlike(f"(?iu){c.pattern}"), F.regexp_extract(text, f"(?iu){c.pattern}", 0)) for c in own if c.positive]
+        yes = [F.nullif(F.regexp_extract(text, f"(?iu){c.pattern}", 0), F.lit("")) for c in own if c.positive]
         match = F.coalesce(*yes) if yes else F.lit(None).cast("string")
-        rows.append(F.struct(F.lit(feature).alias("feature_id"), F.coalesce(*no, F.when(match.isNotNull(), "1"), F.lit("NA")).alias("label"), match.alias("match")))
-    out = passages.withColumn("__a", F.explode(F.array(*rows)))
-    yes = F.col("__a.label") == "1"
-    return out.select(
-        *passages.columns, "__a.feature_id", "__a.label",
-        F.when(yes, T.enclosing_sentence(text, F.col("__a.match"))).otherwise("").alias("evidence"),
-        F.when(yes, 0.8).when(F.col("__a.label") == "0", 0.7).otherwise(0.3).alias("confidence"),
-    )
+        rows.append(F.struct(F.lit(feature).alias("feature_id"), F.coalesce(*no, F.lit("?")).alias("no"), match.alias("match")))
+
+    def decided(x: Column) -> Column:
+        yes = (x.no == "?") & x.match.isNotNull()
+        label = F.when(x.no == "0", "0").when(yes, "1").otherwise("NA")
+        evidence = F.when(yes, T.enclosing_sentence(text, x.match)).otherwise("")
+        confidence = F.when(yes, 0.8).when(x.no == "0", 0.7).otherwise(0.3)
+        return F.struct(x.feature_id.alias("feature_id"), label.alias("label"), evidence.alias("evidence"), confidence.alias("confidence"))
+
+    out = passages.withColumn("__a", F.explode(F.transform(F.array(*rows), decided)))
+    return out.select(*passages.columns, "__a.feature_id", "__a.label", "__a.evidence", "__a.confidence")
 
 
 def fuzzy_in(evidence: Column, text: Column) -> Column:

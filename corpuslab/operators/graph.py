@@ -44,6 +44,14 @@ def signatures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return items.groupBy("passage_id").agg(F.array_sort(F.collect_set("x")).alias("signature"))
 
 
+def feature_signatures(positives: DataFrame, mapping: Mapping = FEATURE_GRAPH) -> DataFrame:
+    """The signatures of the graphs of features, in one pass over the positive annotations."""
+    rows = _elements(positives, mapping)
+    named = F.transform("nodes", lambda n: F.concat(F.lit("N:"), n))
+    items = F.when(F.col("edge").isNull(), named).otherwise(F.concat(named, F.array(F.concat(F.lit("E:"), F.col("edge")[1]))))
+    return rows.select("passage_id", F.explode(items).alias("x")).groupBy("passage_id").agg(F.array_sort(F.collect_set("x")).alias("signature"))
+
+
 def node_id(surface: Column, role: Column) -> Column:
     return F.concat(F.lit("n_"), F.substring(F.sha1(F.concat_ws(":", role, F.lower(surface)).cast("binary")), 1, 10))
 

@@ -32,6 +32,30 @@ def classification_report(predictions: DataFrame) -> DataFrame:
     return rows.select("label", "precision", "recall", f1.alias("f1"), "support")
 
 
+def classification_summary(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, top1, macro_f1, weakest, weakest_f1) of (truth, predicted): F1 is averaged over all labels of either.
+
+    The weakest class is the one of least F1, ties by name.
+    """
+    c = predictions.groupBy(*by, "truth", "predicted").agg(F.count("*").alias("n"))
+    said = F.explode(F.array(
+        F.struct(F.col("truth").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("said"), F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0).alias("hit")),
+        F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("said"), F.lit(0).cast("long").alias("hit")),
+    ))
+    rows = c.select(*by, said.alias("x")).groupBy(*by, "x.label").agg(*[F.sum(f"x.{k}").alias(k) for k in ("support", "said", "hit")])
+    rows = rows.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("hit"), F.col("said") + F.col("support")), F.lit(0.0)))
+    return rows.groupBy(*by).agg(
+        F.sum("support").alias("n"), (F.sum("hit") / F.sum("support")).alias("top1"), F.avg("f1").alias("macro_f1"),
+        F.min_by("label", F.struct(F.round("f1", 9), "label")).alias("weakest"), F.min("f1").alias("weakest_f1"),
+    )
+
+
+def group_summary(predictions: DataFrame, group: str, least: int = 1) -> DataFrame:
+    """(n_groups, mean_top1, mean_macro_f1) over the groups of at least ``least`` predictions."""
+    own = classification_summary(predictions, [group]).filter(F.col("n") >= least)
+    return own.agg(F.count("*").alias("n_groups"), F.avg("top1").alias("mean_top1"), F.avg("macro_f1").alias("mean_macro_f1"))
+
+
 def retrieval_metrics(scores: DataFrame, truth: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, mrr, top1, top2, margin, n_empty) of (query, item, score) and (query, truth): ties by item.
 
@@ -113,17 +137,27 @@ def leave_group_out(weights: DataFrame, labels: DataFrame, key: str, group: str)
     return sims.withColumn("r", first).filter("r = 1").select(key, "truth", F.col("label").alias("predicted"))
 
 
-def text_classifier(train: DataFrame, kind: str = "svc", bigrams: bool = False, vocabulary: int = 1 << 16) -> PipelineModel:
-    """TF-IDF with a linear SVC for each class, or with multinomial logistic regression, of (text, label)."""
+def text_classifier(train: DataFrame, kind: str = "svc", bigrams: bool = False, vocabulary: int | None = None) -> PipelineModel:
+    """TF-IDF with a linear SVC for each class, or with multinomial logistic regression, of (text, label).
+
+    All terms of the training rows are features, unless ``vocabulary`` names a number of the most frequent ones.
+    """
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2)
-    stages = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="skip"), words]
-    column = "words"
+    terms, column = [words], "words"
     if bigrams:
-        stages += [NGram(n=2, inputCol="words", outputCol="pairs"), SQLTransformer(statement="SELECT *, concat(words, pairs) AS both FROM __THIS__")]
+        terms += [NGram(n=2, inputCol="words", outputCol="pairs"), SQLTransformer(statement="SELECT *, concat(words, pairs) AS both FROM __THIS__")]
         column = "both"
-    stages += [CountVectorizer(inputCol=column, outputCol="tf", vocabSize=vocabulary), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features")]
-    model = OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.01), labelCol="y") if kind == "svc" else LogisticRegression(labelCol="y", family="multinomial", maxIter=20, regParam=0.01)
-    return Pipeline(stages=[*stages, model]).fit(train)
+    # a fit reads its input many times: cut the texts once, and let go of them afterwards
+    cut = PipelineModel(terms).transform(train.select("text", "label")).select("label", column).persist()
+    try:
+        size = vocabulary or max(1, cut.select(F.explode(column).alias("t")).distinct().count())
+        stages = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="skip")]
+        stages += [CountVectorizer(inputCol=column, outputCol="tf", vocabSize=size), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features")]
+        stages.append(OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.01), labelCol="y") if kind == "svc" else LogisticRegression(labelCol="y", family="multinomial", maxIter=20, regParam=0.01))
+        fitted = Pipeline(stages=stages).fit(cut)
+    finally:
+        cut.unpersist()
+    return PipelineModel([fitted.stages[0], *terms, *fitted.stages[1:]])
 
 
 def feature_classifier(wide: DataFrame, features: Sequence[str], label: str) -> PipelineModel:

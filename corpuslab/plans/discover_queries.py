@@ -32,8 +32,7 @@ def _pos(spark, d):
 
 
 def _sig(spark, d):
-    pos = _pos(spark, d)
-    return G.signatures(G.feature_nodes(pos), G.feature_edges(pos))
+    return G.feature_signatures(_pos(spark, d))
 
 
 @q(f"WITH {GRAPH} SELECT passage_id, node_type, list_sort(list(feature_id)) AS features, substr(string_agg(evidence, ' | ' ORDER BY feature_id), 1, 500) AS evidence FROM nodes GROUP BY ALL")
@@ -84,13 +83,17 @@ def extract_relations(spark, d):
 
 # Graphs of orders: suppliers and parts as nodes, lines as edges; the first ten orders are the templates.
 
-_GN = """gn AS (SELECT DISTINCT l_orderkey AS graph_id, 's' || l_suppkey % 50 AS id, 'supplier' AS kind FROM lineitem WHERE l_suppkey % 50 <> 0 UNION SELECT DISTINCT l_orderkey, 'p' || l_partkey % 40, 'part' || l_partkey % 3 FROM lineitem),
+def _gn(graph):
+    return f"""gn AS (SELECT DISTINCT {graph} AS graph_id, 's' || l_suppkey % 50 AS id, 'supplier' AS kind FROM lineitem WHERE l_suppkey % 50 <> 0 UNION SELECT DISTINCT {graph}, 'p' || l_partkey % 40, 'part' || l_partkey % 3 FROM lineitem),
 nd AS (SELECT graph_id, id, min(kind) AS kind FROM gn GROUP BY ALL),
-ed AS (SELECT DISTINCT l_orderkey AS graph_id, 's' || l_suppkey % 50 AS source, 'p' || l_partkey % 40 AS target, l_returnflag AS kind FROM lineitem)"""
+ed AS (SELECT DISTINCT {graph} AS graph_id, 's' || l_suppkey % 50 AS source, 'p' || l_partkey % 40 AS target, l_returnflag AS kind FROM lineitem)"""
 
 
-def _order_graphs(spark, d):
-    li = table(spark, d, "lineitem")
+_GN = _gn("l_orderkey")
+
+
+def _order_graphs(spark, d, graph="l_orderkey"):
+    li = table(spark, d, "lineitem").withColumn("l_orderkey", F.expr(graph))
     s, p = F.concat(F.lit("s"), (F.col("l_suppkey") % 50).cast("string")), F.concat(F.lit("p"), (F.col("l_partkey") % 40).cast("string"))
     nodes = li.filter("l_suppkey % 50 <> 0").select(F.col("l_orderkey").alias("graph_id"), s.alias("id"), F.lit("supplier").alias("kind"))
     nodes = nodes.unionByName(li.select(F.col("l_orderkey").alias("graph_id"), p.alias("id"), F.concat(F.lit("part"), (F.col("l_partkey") % 3).cast("string")).alias("kind")))
@@ -102,16 +105,20 @@ def _order_graphs(spark, d):
 MODES = ("A", "N")
 
 
-@q(f"WITH {_GN} SELECT graph_id, source, target, CASE WHEN kind IN {MODES} THEN kind ELSE 'OTHER' END AS kind FROM ed WHERE (graph_id, source) IN (SELECT (graph_id, id) FROM nd) AND (graph_id, target) IN (SELECT (graph_id, id) FROM nd)")
+@q(f"WITH {_GN} SELECT graph_id, source, target, CASE WHEN kind IN {MODES} THEN kind ELSE 'OTHER' END AS kind FROM ed SEMI JOIN nd a ON a.graph_id = ed.graph_id AND a.id = source SEMI JOIN nd b ON b.graph_id = ed.graph_id AND b.id = target")
 def valid_edges(spark, d):
     nodes, edges = _order_graphs(spark, d)
     return G.valid_edges(edges, nodes, MODES, "OTHER").select("graph_id", "source", "target", "kind")
 
 
-@q(f"WITH {_GN} SELECT *, 'source' AS missing FROM ed WHERE (graph_id, source) NOT IN (SELECT (graph_id, id) FROM nd)")
+_GONE = "l.id = 'p39'"  # one part is no node either, so that targets are missing too
+
+
+@q(f"""WITH {_GN}, l AS (SELECT * FROM nd l WHERE NOT ({_GONE})) SELECT ed.*, 'source' AS missing FROM ed ANTI JOIN l ON l.graph_id = ed.graph_id AND l.id = source
+UNION ALL SELECT ed.*, 'target' FROM ed ANTI JOIN l ON l.graph_id = ed.graph_id AND l.id = target""")
 def dangling_edges(spark, d):
     nodes, edges = _order_graphs(spark, d)
-    return G.dangling_edges(edges, nodes)
+    return G.dangling_edges(edges, nodes.alias("l").filter(f"NOT ({_GONE})"))
 
 
 _MS = """ms AS (SELECT ed.graph_id, coalesce(a.kind, 'UNKNOWN') AS src_kind, ed.kind, coalesce(b.kind, 'UNKNOWN') AS dst_kind, count(*) AS n
@@ -124,6 +131,7 @@ def typed_multiset(spark, d):
     return G.typed_multiset(edges, nodes)
 
 
+#: The graphs that all others are compared with: templates are a table, and this is its filter.
 TEMPLATES = 20
 
 
@@ -149,9 +157,17 @@ def typed_similarity(spark, d):
     return _r(_typed(spark, d), "raw", "adjusted")
 
 
-@q(f"WITH {_TY} SELECT a, b, round(raw, 6) AS raw FROM ta WHERE a <= {TEMPLATES}")
+#: A graph for each kind of shipment, from all lines: the full matrix of their pairs.
+_SHIP = "l_partkey % 7 * 5 + l_suppkey % 5"
+
+
+@q(f"""WITH {_gn(_SHIP)}, {_MS}, sz AS (SELECT graph_id, count(*) AS n_edges FROM ed GROUP BY graph_id),
+it AS (SELECT x.graph_id AS a, y.graph_id AS b, sum(least(x.n, y.n)) AS i FROM ms x JOIN ms y USING (src_kind, kind, dst_kind) GROUP BY ALL)
+SELECT x.graph_id AS a, y.graph_id AS b, round(coalesce(coalesce(i, 0) / nullif(x.n_edges + y.n_edges - coalesce(i, 0), 0), 1), 6) AS raw FROM sz x CROSS JOIN sz y LEFT JOIN it ON it.a = x.graph_id AND it.b = y.graph_id""")
 def graph_pair_matrix(spark, d):
-    return _r(_typed(spark, d).filter(f"a <= {TEMPLATES}").select("a", "b", "raw"), "raw")
+    nodes, edges = _order_graphs(spark, d, _SHIP)
+    m, s = G.typed_multiset(edges, nodes), _sizes(nodes, edges)
+    return _r(G.typed_similarity(m, m, s, s).select("a", "b", "raw"), "raw")
 
 
 def _distances(spark, d, most=2):
@@ -422,6 +438,13 @@ def classification_report(spark, d):
     return _r(L.classification_report(_noisy(spark, d)), "precision", "recall", "f1")
 
 
+@q(f"""WITH {_NP}, l AS (SELECT DISTINCT truth AS label FROM np UNION SELECT DISTINCT predicted FROM np), c AS (SELECT label, (SELECT count(*) FROM np WHERE truth = label) AS support, (SELECT count(*) FROM np WHERE predicted = label) AS said, (SELECT count(*) FROM np WHERE truth = label AND predicted = label) AS hit FROM l),
+x AS (SELECT *, coalesce(2 * hit / nullif(said + support, 0), 0) AS f1 FROM c)
+SELECT sum(support)::BIGINT AS n, round(sum(hit) / sum(support), 6) AS top1, round(avg(f1), 6) AS macro_f1, arg_min(label, (round(f1, 9), label)) AS weakest, round(min(f1), 6) AS weakest_f1 FROM x""")
+def classification_summary(spark, d):
+    return _r(L.classification_summary(_noisy(spark, d)), "top1", "macro_f1", "weakest_f1")
+
+
 @q(f"WITH {_NP} SELECT truth, predicted, count(*) AS n FROM np GROUP BY ALL")
 def confusion_matrix(spark, d):
     return L.confusion(_noisy(spark, d))
@@ -475,11 +498,13 @@ def majority_baseline(spark, d):
     return L.majority_and_random(s.filter("split = 'train'"), s.filter("split <> 'train'"), "tradition", "passage_id", "mr")
 
 
+def _text_rows(spark, d):
+    return _labels(spark, d).join(passages(spark, d).select("passage_id", "text"), "passage_id")
+
+
 def _text_model(spark, d, kind, bigrams=False):
-    rows = _labels(spark, d).join(passages(spark, d).select("passage_id", "text"), "passage_id")
-    # a fit reads its input many times: cut the texts once
-    model = L.text_classifier(rows.filter("split = 'train'").select("text", "label").cache(), kind, bigrams, 1 << 14)
-    return L.predict(model, rows.filter("split <> 'train'"), "passage_id")
+    rows = _text_rows(spark, d)
+    return L.predict(L.text_classifier(rows.filter("split = 'train'").select("text", "label"), kind, bigrams), rows.filter("split <> 'train'"), "passage_id")
 
 
 @q()
@@ -487,10 +512,15 @@ def svc_predict(spark, d):
     return _text_model(spark, d, "svc")
 
 
+@q()
+def svc_predict_pairs(spark, d):
+    return _text_model(spark, d, "svc", True)
+
+
 @q()
 def svc_margins(spark, d):
-    rows = _labels(spark, d).join(passages(spark, d).select("passage_id", "text"), "passage_id")
-    model = L.text_classifier(rows.filter("split = 'train'").select("text", "label").cache(), "svc", False, 1 << 14)
+    rows = _text_rows(spark, d)
+    model = L.text_classifier(rows.filter("split = 'train'").select("text", "label"), "svc")
     return _r(L.rank_summary(L.decision_ranks(model, rows.filter("split <> 'train'"), "passage_id")), "mean_rank", "mean_margin", "top2")
 
 
@@ -499,9 +529,14 @@ def logreg_predict(spark, d):
     return _text_model(spark, d, "logreg")
 
 
+@q()
+def logreg_predict_pairs(spark, d):
+    return _text_model(spark, d, "logreg", True)
+
+
 @q()
 def feature_classifier(spark, d):
-    wide = values(spark, d).groupBy("passage_id", F.col("tradition").alias("label")).pivot("feature_id", FEATURES).agg(F.first("value")).fillna(0.0).cache()
+    wide = values(spark, d).groupBy("passage_id", F.col("tradition").alias("label")).pivot("feature_id", FEATURES).agg(F.first("value")).fillna(0.0)
     return L.predict(L.feature_classifier(wide, FEATURES, "label"), wide, "passage_id")
 
 
@@ -514,6 +549,14 @@ def logo_centroid(spark, d):
     return L.confusion(L.leave_group_out(_weights(spark, d), lab, "passage_id", "work"))
 
 
+@q(f"""WITH {_NP}, c AS (SELECT work, count(*) AS n, avg((truth = predicted)::INT) AS top1 FROM np GROUP BY work HAVING count(*) >= 3),
+l AS (SELECT DISTINCT work, label FROM (SELECT work, truth AS label FROM np UNION SELECT work, predicted FROM np)),
+f AS (SELECT l.work, l.label, 2 * count(*) FILTER (truth = label AND predicted = label) / (count(*) FILTER (truth = label) + count(*) FILTER (predicted = label)) AS f1 FROM l JOIN np ON np.work = l.work GROUP BY ALL),
+m AS (SELECT work, avg(f1) AS macro FROM f GROUP BY work) SELECT count(*) AS n_groups, round(avg(top1), 6) AS mean_top1, round(avg(macro), 6) AS mean_macro_f1 FROM c JOIN m USING (work)""")
+def group_cv_summary(spark, d):
+    return _r(L.group_summary(_noisy(spark, d), "work", 3), "mean_top1", "mean_macro_f1")
+
+
 GRID = ((0.0, 1.0), (0.25, 0.75), (0.5, 0.5), (0.75, 0.25), (1.0, 0.0))
 
 

@@ -49,6 +49,54 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True)
 
 
+def manifest_by_availability(manifest: DataFrame) -> DataFrame:
+    """(availability_status, n) of a manifest of sources."""
+    return manifest.groupBy("availability_status").agg(F.count("*").alias("n"))
+
+
+FEATURES = "id string, name string, family string, level string, definition string, quantum_specific boolean, field_like boolean, version string"
+FINGERPRINTS = "theory_id string, name string, version string, classical boolean, quantum boolean, features map<string,int>, weights map<string,double>"
+CLAIMS = "claim_id string, claim string, kind string, required_features array<string>, quantum_features array<string>, notes string"
+VOCABULARY = "term string, replacement string"
+
+
+def _dimension(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """A small table from JSON lines; keys must be there and unique."""
+    rows = spark.read.schema(schema).json(path)
+    bad = rows.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)).limit(1).collect()
+    if bad:
+        raise ValueError(f"{path}: null or repeated {key}: {bad[0][key]!r}")
+    return rows
+
+
+def read_features(spark: SparkSession, path: str, least: int = 30) -> DataFrame:
+    """The features of an ontology, one JSON object a line; fewer than ``least`` are refused."""
+    rows = _dimension(spark, path, FEATURES, "id")
+    if (n := rows.count()) < least:
+        raise ValueError(f"{path}: only {n} features")
+    return rows.withColumnRenamed("id", "feature_id")
+
+
+def read_fingerprints(spark: SparkSession, path: str, index: Sequence[str] | None = None) -> DataFrame:
+    """(theory_id, feature_id, t, w, classical, quantum), of the theories in the index; one that is missing is an error."""
+    rows = _dimension(spark, path, FINGERPRINTS, "theory_id")
+    if index is not None:
+        rows = rows.filter(F.col("theory_id").isin(*index))
+        if missing := set(index) - {r.theory_id for r in rows.select("theory_id").collect()}:
+            raise ValueError(f"{path}: no fingerprint of {sorted(missing)}")
+    long = rows.select("theory_id", "classical", "quantum", "weights", F.explode("features").alias("feature_id", "t"))
+    weight = F.coalesce(F.try_element_at("weights", F.col("feature_id")), F.lit(1.0))
+    return long.select("theory_id", "feature_id", "t", weight.alias("w"), F.coalesce("classical", F.lit(False)).alias("classical"), F.coalesce("quantum", F.lit(False)).alias("quantum"))
+
+
+def read_claims(spark: SparkSession, path: str) -> DataFrame:
+    return _dimension(spark, path, CLAIMS, "claim_id")
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return _dimension(spark, path, VOCABULARY, "term")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 

@@ -1,6 +1,7 @@
 """Small cases with known answers."""
 
 import itertools
+import json
 import random
 
 import numpy as np
@@ -272,3 +273,40 @@ def test_order_and_partitioning_do_not_matter(spark):
     a = select.seeded_sample(rows, ["work"], "passage_id", 4, "s")
     b = select.seeded_sample(rows.orderBy(F.desc("passage_id")).repartition(7), ["work"], "passage_id", 4, "s")
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_cue_packs(spark):
+    texts = [
+        (1, "Everything is one. All things are interconnected."),
+        (2, "Here the joint state cannot be represented as independent component states. So it is."),
+        (3, "The first-beginnings fall through the void."),
+        (4, "The absolute appears as many."),
+    ]
+    rows = spark.createDataFrame(texts, "passage_id long, text string")
+    got = {(r.passage_id, r.feature_id): r for r in A.annotate(rows).collect()}
+    assert len(got) == 4 * 36
+    assert got[1, "Q06"].label == "0" and got[2, "Q06"].label == "1" and "cannot be represented" in got[2, "Q06"].evidence
+    assert got[3, "O01"].label == "1" and got[3, "O04"].label == "1" and got[4, "O01"].label == "1" and got[4, "O05"].label == "1"
+    base = {(r.passage_id, r.feature_id): r.label for r in A.annotate(rows, A.cue_packs(classical=False, metaphysical=False)).collect()}
+    assert base[3, "O01"] == base[4, "O01"] == "NA" and base[2, "Q06"] == "1"
+    assert len(A.cue_packs(base=False, metaphysical=False)) == 13 and not any(c.feature_id.startswith("Q") for c in A.cue_packs(base=False))
+
+
+def test_dimension_readers(spark, tmp_path):
+    def write(name, rows):
+        (tmp_path / name).write_text("\n".join(json.dumps(r) for r in rows))
+        return str(tmp_path / name)
+
+    features = [{"id": f"X{i:02}", "name": "n", "family": "O", "level": "I", "quantum_specific": i == 0, "field_like": False} for i in range(30)]
+    assert io.read_features(spark, write("f.json", features)).filter("quantum_specific").count() == 1
+    for bad in (features[:29], features + features[:1], [{**features[0], "id": None}, *features[1:]]):
+        with pytest.raises(ValueError):
+            io.read_features(spark, write("bad.json", bad))
+    path = write("t.json", [{"theory_id": "a", "classical": True, "features": {"X01": 1, "X02": 0}, "weights": {"X01": 2.0}}, {"theory_id": "b", "features": {"X01": 1}}])
+    assert {tuple(r) for r in io.read_fingerprints(spark, path, ["a"]).collect()} == {("a", "X01", 1, 2.0, True, False), ("a", "X02", 0, 1.0, True, False)}
+    with pytest.raises(ValueError):
+        io.read_fingerprints(spark, path, ["a", "c"])
+    assert io.read_claims(spark, write("c.json", [{"claim_id": "C1", "required_features": ["X01"], "quantum_features": []}])).first().required_features == ["X01"]
+    assert io.read_vocabulary(spark, write("v.json", [{"term": "wave", "replacement": "x"}])).count() == 1
+    (tmp_path / "m.csv").write_text("source_id,availability_status\na,available\nb,pointer\nc,available\n")
+    assert {tuple(r) for r in io.manifest_by_availability(io.read_manifest(spark, str(tmp_path / "m.csv"))).collect()} == {("available", 2), ("pointer", 1)}
