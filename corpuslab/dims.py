@@ -197,3 +197,9 @@ METAPHYSICAL_CUES = (
     ("M03", r"\b(beyond (all )?human conception|ineffable|cannot be (defined|spoken))\b"),
     ("M03", r"\b(unknown|unknowable) to (the )?senses\b"),
 )
+
+# The names of the robustness tests.
+ROBUSTNESS_TESTS = (
+    "A_remove_unity_concepts", "B_remove_vibration_concepts", "C_remove_atomism", "D_remove_prana", "E_remove_akasa", "F_remove_brahman", "G_remove_sakti_spanda",
+    "H_older_translations_only", "I_literal_translations_only", "J_mask_physics_vocab", "K_human_annotations_only", "L_high_confidence_only", "N_no_embeddings", "S_alternative_metrics",
+)

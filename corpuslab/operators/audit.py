@@ -73,3 +73,17 @@ def with_dates(rows: DataFrame, priors: DataFrame, key: str) -> DataFrame:
     none = F.col("date_min").isNull() & F.col("date_max").isNull()
     pick = lambda own, other, prior: F.when(none, F.col(prior)).otherwise(F.coalesce(own, other))
     return out.withColumns({"date_lo": pick("date_min", "date_max", "__lo"), "date_hi": pick("date_max", "date_min", "__hi")}).drop("__lo", "__hi")
+
+
+def scored_features(annotations: DataFrame, scores: DataFrame) -> DataFrame:
+    """(passage_id, tradition, qs, features) of each passage: its score and the sorted features with label 1."""
+    yes = F.array_sort(F.collect_set(F.when(F.col("label") == "1", F.col("feature_id"))))
+    return annotations.groupBy("passage_id").agg(F.first("tradition").alias("tradition"), yes.alias("features")).join(scores.select("passage_id", "qs"), "passage_id")
+
+
+def ablation(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(passage_id, tradition, before, after, delta, lost, gained) of two sides of scored_features: original and masked."""
+    one = before.select("passage_id", "tradition", F.col("qs").alias("before"), F.col("features").alias("__b"))
+    two = after.select("passage_id", F.col("qs").alias("after"), F.col("features").alias("__a"))
+    out = one.join(two, "passage_id")
+    return out.select("passage_id", "tradition", "before", "after", (F.col("after") - F.col("before")).alias("delta"), F.array_except("__b", "__a").alias("lost"), F.array_except("__a", "__b").alias("gained"))

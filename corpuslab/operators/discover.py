@@ -58,6 +58,28 @@ def structural_family(sets: DataFrame) -> DataFrame:
     return sets.withColumn("family", family)
 
 
+def physics_family(sets: DataFrame, fingerprints: DataFrame, quantum: Sequence[str], field_like: Sequence[str], classical: Sequence[str], least: float = 0.25) -> DataFrame:
+    """Add nearest and family to sets of node types, edge types and feature ids.
+
+    The features of a set are compared with each theory's active ones (theory_id, features), a table of few rows: the
+    nearest theory is the one of highest Jaccard similarity, ties by name. If that is at least ``least``, the kinds of
+    features and theory decide the family; else the structure does, as in structural_family, and nearest is null.
+    """
+    own = F.filter("signature", lambda x: ~x.rlike("^[NE]:"))
+    near = F.transform("__theories", lambda t: F.struct((F.size(F.array_intersect(own, t.features)) / F.greatest(F.size(F.array_union(own, t.features)), F.lit(1))).alias("j"), t.theory_id.alias("theory_id")))
+    best = F.array_sort(near, lambda a, b: F.when(a.j > b.j, -1).when(a.j < b.j, 1).when(a.theory_id < b.theory_id, -1).otherwise(1))[0]
+    all_ = fingerprints.agg(F.collect_list(F.struct("theory_id", "features")).alias("__theories"))
+    out = structural_family(sets).crossJoin(F.broadcast(all_)).withColumn("__best", best)
+    has = lambda letter: F.exists(own, lambda x: F.startswith(x, F.lit(letter)))
+    name = F.col("__best.theory_id")
+    by_features = (
+        F.when(has("Q") & name.isin(*quantum), "quantum_specific").when(has("F") | name.isin(*field_like), "field_like")
+        .when(name.isin(*classical), "classical").otherwise(F.when(has("Q"), "quantum_specific").otherwise("classical"))
+    )
+    near_enough = F.col("__best.j") >= least
+    return out.withColumn("nearest", F.when(near_enough, name)).withColumn("family", F.when(near_enough, by_features).otherwise(F.col("family"))).drop("__theories", "__best")
+
+
 def enrichment(counts: DataFrame, totals: DataFrame, target: Sequence[str], control: Sequence[str], by: str) -> DataFrame:
     """(signature, n_target, n_control, enrichment, infinite, lo, hi) from (signature, by, n) and totals (by, n)."""
     side = lambda ids, c: F.coalesce(F.sum(F.when(F.col(by).isin(*ids), F.col(c))), F.lit(0))
@@ -130,6 +152,33 @@ def motif_dates(owned: DataFrame, dates: DataFrame) -> DataFrame:
     return out.select("signature", "n_dated", "earliest", "latest", middle.alias("middle"), F.when(F.col("n_dated") > 0, "dated").otherwise("undated").alias("status"))
 
 
+def motif_ranges(owned: DataFrame, dates: DataFrame, n: int = 10) -> DataFrame:
+    """(signature, ranges): the date ranges (date_lo, date_hi) of the first n dated owners, in the order of their ids."""
+    rows = owned.join(dates, "passage_id").filter("date_lo IS NOT NULL AND date_hi IS NOT NULL")
+    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("signature").orderBy("passage_id"))).filter(F.col("r") <= n)
+    ranges = F.array_sort(F.collect_list(F.struct("passage_id", "date_lo", "date_hi")))
+    return rows.groupBy("signature").agg(F.transform(ranges, lambda x: F.array(x.date_lo, x.date_hi)).alias("ranges"))
+
+
+def themes(motifs: DataFrame) -> DataFrame:
+    """(theme, signature) of (signature, family): the motifs that are field-like, atomistic, relational, about observers or
+    quantum-specific; one may be in several themes."""
+    has = lambda *xs: F.arrays_overlap("signature", F.array(*[F.lit(x) for x in xs]))
+    of = {
+        "field_like": F.col("family") == "field_like", "atomistic": has("N:constituent", "N:matter"), "relational": F.exists("signature", lambda x: F.startswith(x, F.lit("E:"))),
+        "observer": has("N:observer"), "quantum_specific": F.col("family") == "quantum_specific",
+    }
+    held = F.filter(F.array(*[F.when(c, F.lit(t)) for t, c in of.items()]), lambda x: x.isNotNull())
+    return motifs.select(F.explode(held).alias("theme"), "signature")
+
+
+def top_sets(sets: DataFrame, owned: DataFrame, meta: DataFrame, by: str, n: int = 100, key: str = "passage_id") -> DataFrame:
+    """(signature, support, rank, by, n): the n sets of highest support, ties by size and items, with their owners by group."""
+    best = sets.orderBy(F.desc("support"), F.size("signature"), "signature").limit(n)
+    best = best.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("support"), F.size("signature"), "signature")))
+    return best.join(group_counts(owned, meta, key, by), "signature").select("signature", "support", "rank", by, "n")
+
+
 def atlas(counts: DataFrame, by: str) -> DataFrame:
     """(by, n_motifs, n_unique, n_shared) from (signature, by, n): motifs of a group alone, and with others."""
     spread = counts.groupBy("signature").agg(F.count("*").alias("g"))

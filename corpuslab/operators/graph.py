@@ -226,3 +226,16 @@ def overlap(left: DataFrame, right: DataFrame, edge_weight: float = 0.7) -> Data
     """(a, b, score) of (graph_id, edges array, nodes array): weighted edge-set and node-set Jaccard. right is small."""
     pairs = left.select(F.col("graph_id").alias("a"), F.col("edges").alias("ea"), F.col("nodes").alias("na")).crossJoin(F.broadcast(right.select(F.col("graph_id").alias("b"), F.col("edges").alias("eb"), F.col("nodes").alias("nb"))))
     return pairs.select("a", "b", (edge_weight * jaccard(F.col("ea"), F.col("eb")) + (1 - edge_weight) * jaccard(F.col("na"), F.col("nb"))).alias("score"))
+
+
+def typed_distinctness(multisets: DataFrame, keys: Sequence[str] = ("src_kind", "kind", "dst_kind")) -> DataFrame:
+    """(a, b, shared, unique_a, unique_b) of each pair a < b of graphs: how many typed relations both have, or one alone.
+
+    Fingerprint graphs are few; only the shared relations of a pair are joined.
+    """
+    items = multisets.select("graph_id", F.struct(*keys).alias("x")).distinct()
+    size = items.groupBy("graph_id").agg(F.count("*").alias("n"))
+    both = items.withColumnRenamed("graph_id", "a").join(items.withColumnRenamed("graph_id", "b"), "x").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    pairs = size.select(F.col("graph_id").alias("a"), F.col("n").alias("na")).join(size.select(F.col("graph_id").alias("b"), F.col("n").alias("nb")), F.expr("a < b"))
+    shared = F.coalesce("shared", F.lit(0))
+    return pairs.join(both, ["a", "b"], "left").select("a", "b", shared.alias("shared"), (F.col("na") - shared).alias("unique_a"), (F.col("nb") - shared).alias("unique_b"))

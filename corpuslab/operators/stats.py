@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..dims import ROBUSTNESS_TESTS
 from ..functions.rng import draw
 
 
@@ -142,17 +143,55 @@ def shuffled(rows: DataFrame, by: Sequence[str], key: str, value: str, seed: str
     return places.join(dealt, [*by, "__i"]).drop("__i")
 
 
-def mann_whitney(rows: DataFrame, arm: str, value: str, target: str) -> DataFrame:
-    """(n1, n2, u, z) of the target arm, from counts by value: average ranks, tie-corrected, with continuity."""
+def sum_before(rows: DataFrame, order: str, value: str, parts: int = 256) -> DataFrame:
+    """Add ``below``: the sum of ``value`` over the rows before, in the order of a unique number, null counting as 0.
+
+    Rows are dealt into ranges between approximate quantiles, which are a literal array; the sums of the ranges come
+    before the sums within them, so that no task orders all rows.
+    """
+    cuts = rows.agg(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000)).alias("__cuts"))
+    dealt = rows.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
+    sums = dealt.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    earlier = W.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # at most ``parts`` rows
+    sums = sums.select("__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
+    inside = W.partitionBy("__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    out = dealt.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(sums), "__range")
+    return out.withColumn("below", F.col("__start") + F.col("__own")).drop("__range", "__own", "__start")
+
+
+def upper_tail(z: Column) -> Column:
+    """The normal probability above z, by a rational approximation (7.1.26 of Abramowitz and Stegun; error below 1e-7)."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + 0.3275911 * x)
+    series = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    tail = 0.5 * series * F.exp(-x * x)
+    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
+def mann_whitney(rows: DataFrame, arm: str, value: str, target: str, least: int = 3) -> DataFrame:
+    """(n1, n2, u, z, p) of the target arm, from counts by value: average ranks, tie-corrected, with continuity.
+
+    p is one-sided (the target is greater); z and p need ``least`` values on both sides, else p is null.
+    """
     counts = rows.groupBy(value).agg(F.count_if(F.col(arm) == target).alias("a"), F.count_if(F.col(arm) != target).alias("b"))
-    before = W.partitionBy(F.lit(0)).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranked = counts.withColumn("t", F.col("a") + F.col("b")).withColumn("below", F.coalesce(F.sum("t").over(before), F.lit(0)))
+    ranked = sum_before(counts.withColumn("t", F.col("a") + F.col("b")), value, "t")
     ranked = ranked.withColumn("rank", F.col("below") + (F.col("t") + 1) / 2)
     out = ranked.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r"), F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("ties"))
     n = F.col("n1") + F.col("n2")
     out = out.withColumn("u", F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2)
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    return out.select("n1", "n2", "u", F.try_divide(F.col("u") - F.col("n1") * F.col("n2") / 2 - 0.5, sd).alias("z"))
+    out = out.withColumn("z", F.try_divide(F.col("u") - F.col("n1") * F.col("n2") / 2 - 0.5, sd))
+    return out.select("n1", "n2", "u", "z", F.when((F.col("n1") >= least) & (F.col("n2") >= least), upper_tail(F.col("z"))).alias("p"))
+
+
+def robustness_battery(variants: DataFrame, primary: DataFrame, tests: Sequence[str] = ROBUSTNESS_TESTS) -> DataFrame:
+    """(test, status, delta) of each named test: its own delta if it was computed, else the primary one.
+
+    variants: (test, delta); primary: one row (delta).
+    """
+    names = variants.sparkSession.createDataFrame([(t,) for t in tests], "test string")
+    out = names.join(variants.select("test", F.col("delta").alias("__d")), "test", "left").crossJoin(primary.select(F.col("delta").alias("__p")))
+    return out.select("test", F.when(F.col("__d").isNull(), "not_run").otherwise("computed").alias("status"), F.coalesce("__d", "__p").alias("delta"))
 
 
 def robustness_table(names: DataFrame, computed: DataFrame, primary: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ from ..operators import score as X
 from ..operators import select as S
 from ..operators import stats as I
 from . import Registry
-from .score_queries import ANN, FP, QS, QUANTUM, CLASSICAL, annotations, fingerprints, qs, values
+from ..dims import ROBUSTNESS_TESTS
+from ..operators.annotate import annotate, label_value
+from .score_queries import ANN, CLASSICAL, CUE_ROWS, FEATURES, FP, QS, QUANTUM, annotations, fingerprints, qs, values
 from .score_queries import _r
 from .text_queries import FREQUENT, RARE, _arr, _found, _subst, _words
 from .views import PASSAGES, ROLES, passages, role_passages, roles, table
@@ -209,6 +211,30 @@ def lexicon_ablation(spark, d):
     return rows.select("passage_id", F.array_except("f0", "f1").alias("lost"), (F.size("f1") - F.size("f0")).cast("long").alias("delta"))
 
 
+_MASKED = f"SELECT * REPLACE ({_subst('text', 'une|thther|und|ment', '')} AS text) FROM ({PASSAGES})"
+_ONE = "SELECT passage_id, any_value(tradition) AS tradition, any_value(qs) AS qs, list_sort(list(feature_id) FILTER (label = '1')) AS fs FROM ann JOIN qs USING (passage_id) GROUP BY passage_id"
+_ABLATED = f"""b AS (WITH {QS} {_ONE}), m AS (WITH {QS.replace(f"p AS ({PASSAGES})", f"p AS ({_MASKED})")} {_ONE}),
+ab AS (SELECT passage_id, b.tradition, b.qs AS before, m.qs AS after, m.qs - b.qs AS delta, list_sort(list_filter(coalesce(b.fs, []), lambda x: NOT list_contains(coalesce(m.fs, []), x))) AS lost, list_sort(list_filter(coalesce(m.fs, []), lambda x: NOT list_contains(coalesce(b.fs, []), x))) AS gained FROM b JOIN m USING (passage_id))"""
+
+
+def _ablation(spark, d):
+    rows = passages(spark, d)
+    masked = rows.withColumn("text", T.mask(F.col("text"), ["une", "thther", "und", "ment"], ""))
+    sides = [(annotate(x, CUE_ROWS, FEATURES), X.specificity(X.theory_scores(annotate(x, CUE_ROWS, FEATURES).select("passage_id", "feature_id", label_value(F.col("label")).alias("value")), fingerprints(spark)), QUANTUM, CLASSICAL)) for x in (rows, masked)]
+    return U.ablation(*[U.scored_features(a, s) for a, s in sides])
+
+
+@q(f"WITH {_ABLATED} SELECT passage_id, tradition, round(before, 6) AS before, round(after, 6) AS after, round(delta, 6) AS delta, lost, gained FROM ab")
+def masking_ablation(spark, d):
+    return _r(_ablation(spark, d), "before", "after", "delta")
+
+
+@q(f"WITH {_ABLATED} SELECT tradition, count(*) AS n, round(avg(before), 6) AS mean_before, round(avg(delta), 6) AS mean_delta, sum(len(lost))::BIGINT AS n_lost, sum(len(gained))::BIGINT AS n_gained FROM ab GROUP BY tradition")
+def masking_ablation_by_group(spark, d):
+    rows = _ablation(spark, d).groupBy("tradition").agg(F.count("*").alias("n"), F.avg("before").alias("mean_before"), F.avg("delta").alias("mean_delta"), F.sum(F.size("lost")).alias("n_lost"), F.sum(F.size("gained")).alias("n_gained"))
+    return _r(rows, "mean_before", "mean_delta")
+
+
 _year = "CASE WHEN passage_id % 9 <> 0 THEN 1850 + passage_id % 150 END"
 _men = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{t}', ''))) // length('{t}')" for t in FREQUENT)
 
@@ -440,7 +466,39 @@ def label_permute(spark, d):
 s AS (SELECT count(*) FILTER (arm = 'target') AS n1, count(*) FILTER (arm <> 'target') AS n2, sum(r) FILTER (arm = 'target') AS rs FROM k), u AS (SELECT *, rs - n1 * (n1 + 1) / 2 AS u, n1 + n2 AS n FROM s, t)
 SELECT n1, n2, u, round((u - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM u""")
 def mann_whitney(spark, d):
-    return _r(I.mann_whitney(_arms(spark, d), "role", "n_chars", "target"), "z")
+    return _r(I.mann_whitney(_arms(spark, d), "role", "n_chars", "target").drop("p"), "z")
+
+
+_TAIL = "0.5 * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x)"
+
+
+@q(f"""WITH {_ARMS}, a2 AS (SELECT lang, arms.* FROM arms JOIN documents USING (doc_id)), k AS (SELECT lang, arm, v, rank() OVER (PARTITION BY lang ORDER BY v) + (count(*) OVER (PARTITION BY lang, v) - 1) / 2 AS r FROM a2),
+t AS (SELECT lang, sum(c * c * c - c) AS ties FROM (SELECT lang, count(*) AS c FROM a2 GROUP BY lang, v) GROUP BY lang),
+s AS (SELECT lang, count(*) FILTER (arm = 'target') AS n1, count(*) FILTER (arm <> 'target') AS n2, coalesce(sum(r) FILTER (arm = 'target'), 0) AS rs FROM k GROUP BY lang), u AS (SELECT *, rs - n1 * (n1 + 1) / 2 AS u, n1 + n2 AS n FROM s JOIN t USING (lang)),
+z AS (SELECT *, (u - n1 * n2 / 2 - 0.5) / nullif(sqrt(n1 * n2 / 12 * (n + 1 - ties / nullif(n * (n - 1), 0))), 0) AS z FROM u), x AS (SELECT *, abs(z) / sqrt(2.0) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM z)
+SELECT lang, n1, n2, round(CASE WHEN n1 >= 3 AND n2 >= 3 THEN CASE WHEN z >= 0 THEN {_TAIL} ELSE 1 - {_TAIL} END END, 6)::DOUBLE AS p FROM x""")
+def mann_whitney_p(spark, d):
+    rows = _arms(spark, d)
+    out = None
+    for lang in ("de", "en", "es", "fr"):
+        one = I.mann_whitney(rows.filter(F.col("lang") == lang), "role", "n_chars", "target").select(F.lit(lang).alias("lang"), "n1", "n2", "p")
+        out = one if out is None else out.unionByName(one)
+    return _r(out.filter("n1 + n2 > 0"), "p")
+
+
+#: Which rows the tests that can be run here keep.
+_VARIANTS = {"H_older_translations_only": "passage_id % 150 < 75", "I_literal_translations_only": "passage_id % 5 = 1", "J_mask_physics_vocab": "work <> 'src0'", "L_high_confidence_only": "n_chars >= 500"}
+_vsql = lambda w: w.replace("passage_id", "doc_id").replace("work", "cluster").replace("n_chars", "v")
+
+
+@q(f"""WITH {_ARMS}, c AS ({" UNION ALL ".join(f"SELECT '{t}' AS test, {_dl} AS delta FROM arms WHERE {_vsql(w)}" for t, w in _VARIANTS.items())}), f AS (SELECT {_dl} AS p FROM arms)
+SELECT test, CASE WHEN delta IS NULL THEN 'not_run' ELSE 'computed' END AS status, round(coalesce(delta, p), 6) AS delta FROM (VALUES {', '.join(f"('{t}')" for t in ROBUSTNESS_TESTS)}) t(test) LEFT JOIN c USING (test), f""")
+def robustness_battery(spark, d):
+    rows = _arms(spark, d)
+    named = F.explode(F.filter(F.array(*[F.when(F.expr(w), F.lit(t)) for t, w in _VARIANTS.items()]), lambda x: x.isNotNull())).alias("test")
+    side = lambda a: F.avg(F.when(F.col("role") == a, F.col("n_chars")))
+    variants = rows.select("role", "n_chars", named).groupBy("test").agg((side("target") - side("control")).alias("delta"))
+    return _r(I.robustness_battery(variants, I.mean_difference(rows, "role", "n_chars", "target", "control")), "delta")
 
 
 TESTS = ("full", "no_hot_source", "english_only", "short_only", "masking", "translation_swap")

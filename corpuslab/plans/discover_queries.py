@@ -15,7 +15,7 @@ from ..operators import select as Sel
 from ..operators import stats as I
 from . import Registry
 from .audit_queries import SPLIT, _d, _split
-from .score_queries import ANN, FEATURES, SCORES, TOKENS, _r, annotations, scores, tfidf_sql, values
+from .score_queries import ANN, FEATURES, FP, SCORES, TOKENS, _r, annotations, fingerprints, scores, tfidf_sql, values
 from .views import PASSAGES, ROLES, passages, role_passages, roles, table
 
 q = Registry()
@@ -571,6 +571,62 @@ def weight_selection(spark, d):
     return _r(L.select_weights(parts, t.select("query", "truth"), GRID), "mrr")
 
 
+@q(f"""WITH {_gn(_SHIP)}, {_MS}, x AS (SELECT DISTINCT graph_id, src_kind || '|' || kind || '|' || dst_kind AS x FROM ms), g AS (SELECT graph_id, list(x) AS xs FROM x GROUP BY graph_id)
+SELECT a.graph_id AS a, b.graph_id AS b, len(list_intersect(a.xs, b.xs))::BIGINT AS shared, len(a.xs) - len(list_intersect(a.xs, b.xs)) AS unique_a, len(b.xs) - len(list_intersect(a.xs, b.xs)) AS unique_b FROM g a JOIN g b ON a.graph_id < b.graph_id""")
+def fingerprint_distinctness(spark, d):
+    nodes, edges = _order_graphs(spark, d, _SHIP)
+    return G.typed_distinctness(G.typed_multiset(edges, nodes))
+
+
+@q(f"WITH {GRAPH}, {_OWN}, m AS (SELECT signature, passage_id, date_lo, date_hi FROM (SELECT *, {_DATE} FROM ow) WHERE date_lo IS NOT NULL QUALIFY row_number() OVER (PARTITION BY signature ORDER BY passage_id) <= 10) SELECT signature, list([date_lo, date_hi] ORDER BY passage_id) AS ranges FROM m GROUP BY signature")
+def motif_ranges(spark, d):
+    return D.motif_ranges(_owned(spark, d), _dates(passages(spark, d).select("passage_id")))
+
+
+@q(f"WITH {GRAPH}, {_OWN} SELECT signature, 'tradition' AS kind, tradition AS name, count(*) AS n FROM ow GROUP BY ALL UNION ALL SELECT signature, 'work', work, count(*) FROM ow GROUP BY ALL")
+def motif_profile(spark, d):
+    owned, p = _owned(spark, d), passages(spark, d)
+    counts = [D.group_counts(owned, p, "passage_id", k).select("signature", F.lit(k).alias("kind"), F.col(k).alias("name"), "n") for k in ("tradition", "work")]
+    return counts[0].unionByName(counts[1])
+
+
+_THEMES = {"field_like": f"({_FAM}) = 'field_like'", "atomistic": "list_has_any(signature, ['N:constituent', 'N:matter'])", "relational": "len(list_filter(signature, lambda x: starts_with(x, 'E:'))) > 0", "observer": "list_contains(signature, 'N:observer')"}
+
+
+@q(f"WITH {GRAPH}, {_K3} {' UNION ALL '.join(f"SELECT '{t}' AS theme, signature FROM mo WHERE {w}" for t, w in _THEMES.items())}")
+def motif_themes(spark, d):
+    return D.themes(D.structural_family(_motifs(spark, d)))
+
+
+_FU = f"{ANN}, u AS (SELECT passage_id, tradition, feature_id AS x FROM ann WHERE label = '1')"
+_F23 = "fc AS (SELECT [a.x, b.x] AS signature, passage_id, a.tradition FROM u a JOIN u b USING (passage_id) WHERE a.x < b.x UNION ALL SELECT [a.x, b.x, c.x], passage_id, a.tradition FROM u a JOIN u b USING (passage_id) JOIN u c USING (passage_id) WHERE a.x < b.x AND b.x < c.x UNION ALL SELECT [a.x, b.x, c.x, e.x], passage_id, a.tradition FROM u a JOIN u b USING (passage_id) JOIN u c USING (passage_id) JOIN u e USING (passage_id) WHERE a.x < b.x AND b.x < c.x AND c.x < e.x)"
+_FTOP = "ft AS (SELECT signature, count(*) AS support, row_number() OVER (ORDER BY count(*) DESC, len(signature), signature)::INT AS rank FROM fc GROUP BY signature HAVING count(*) >= 3 QUALIFY rank <= 100)"
+
+
+def _feature_items(spark, d):
+    return _pos(spark, d).groupBy("passage_id").agg(F.array_sort(F.collect_set("feature_id")).alias("signature"))
+
+
+@q(f"WITH {_FU}, {_F23}, {_FTOP} SELECT signature, any_value(support) AS support, any_value(rank) AS rank, tradition, count(*) AS n FROM ft JOIN fc USING (signature) GROUP BY signature, tradition")
+def feature_combo_counts(spark, d):
+    items = _feature_items(spark, d)
+    sets = D.frequent_sets(items, "passage_id", 3, 4)
+    best = sets.orderBy(F.desc("support"), F.size("signature"), "signature").limit(100)
+    return D.top_sets(sets, D.owners(best, items, "passage_id"), passages(spark, d), "tradition")
+
+
+_FPS = "th AS (SELECT theory_id, list(feature_id) AS fs FROM fp WHERE t = 1 GROUP BY theory_id)"
+
+
+@q(f"""WITH {_FU}, {FP}, {_FPS}, {_F23}, mo AS (SELECT signature, count(*) AS support FROM fc GROUP BY signature HAVING count(*) >= 3),
+j AS (SELECT signature, support, theory_id, len(list_intersect(signature, fs)) / len(list_distinct(signature || fs)) AS j FROM mo, th QUALIFY row_number() OVER (PARTITION BY signature ORDER BY j DESC, theory_id) = 1)
+SELECT signature, support, CASE WHEN j >= 0.25 THEN theory_id END AS nearest, CASE WHEN j < 0.25 THEN 'unrelated' WHEN len(list_filter(signature, lambda x: starts_with(x, 'Q'))) > 0 AND theory_id IN ('T1', 'T2') THEN 'quantum_specific'
+WHEN len(list_filter(signature, lambda x: starts_with(x, 'F'))) > 0 OR theory_id = 'T3' THEN 'field_like' WHEN theory_id = 'T4' THEN 'classical' WHEN len(list_filter(signature, lambda x: starts_with(x, 'Q'))) > 0 THEN 'quantum_specific' ELSE 'classical' END AS family FROM j""")
+def feature_combo_family(spark, d):
+    theories = fingerprints(spark).filter("t = 1").groupBy("theory_id").agg(F.collect_list("feature_id").alias("features"))
+    return D.physics_family(D.frequent_sets(_feature_items(spark, d), "passage_id", 3, 4), theories, ("T1", "T2"), ("T3",), ("T4",))
+
+
 def _sets_sql(most):
     """SQL for the item sets of size 2..most that at least 3 passages of u hold."""
     join = lambda a, b: f" JOIN u {b} ON {a}.passage_id = {b}.passage_id AND {a}.x < {b}.x"
