@@ -6,8 +6,10 @@ on seed, replicate and slot alone.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -135,6 +137,38 @@ def binary_bootstrap(rows: DataFrame, by: str, correct: Column, n_boot: int, see
     return counts.join(ci, by).select(by, "n", (F.col("k") / F.col("n")).alias("accuracy"), F.col("__q")[0].alias("lo"), F.col("__q")[1].alias("hi"))
 
 
+def _seeded_multinomial(seed: str):
+    """(by, rep, m) of (by, rep, values, counts): the mean of as many values as there are, drawn by their counts."""
+
+    def run(batches):
+        for b in batches:
+            means = []
+            for by, rep, values, counts in zip(b["by"], b["rep"], b["values"], b["counts"], strict=True):
+                key = int.from_bytes(hashlib.md5(f"{seed}|{by}|{rep}".encode()).digest()[:16], "big")
+                counts = np.asarray(counts, np.int64)
+                drawn = np.random.Generator(np.random.Philox(key=key)).multinomial(counts.sum(), counts / counts.sum())
+                means.append(float(drawn @ np.asarray(values, float)) / counts.sum())
+            yield b[["by", "rep"]].assign(m=means)
+
+    return run
+
+
+def value_bootstrap(rows: DataFrame, by: Column, value: Column, n_boot: int, seed: str, alpha: float = 0.05) -> DataFrame:
+    """(by, n, point, lo, hi): interval of the mean of a value when rows are drawn with replacement, for each group.
+
+    The value has few distinct ones (0 and 1, or a rate of two digits): a replicate is one multinomial draw over their
+    counts, whatever the number of rows. Draws depend on seed, group and replicate alone.
+    """
+    counts = rows.select(by.cast("string").alias("by"), value.cast("double").alias("v")).filter("v IS NOT NULL").groupBy("by", "v").agg(F.count("*").alias("n"))
+    held = counts.groupBy("by").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("x"), F.sum("n").alias("n"))
+    total = F.aggregate("x", F.lit(0.0), lambda s, x: s + x.v * x.n)  # in the order of the values
+    held = held.withColumn("point", total / F.col("n"))
+    reps = held.select("by", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"), F.col("x.v").alias("values"), F.col("x.n").alias("counts"))
+    means = reps.repartition(F.col("by"), F.col("rep")).mapInPandas(_seeded_multinomial(seed), "by string, rep int, m double")
+    ci = means.groupBy("by").agg(F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
+    return held.join(ci, "by").select("by", "n", "point", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+
+
 def shuffled(rows: DataFrame, by: Sequence[str], key: str, value: str, seed: str) -> DataFrame:
     """Values dealt anew within each group: the value at place i of the seeded order goes to the key at place i."""
     d = draw(seed, *[F.col(c) for c in by], F.col(key))

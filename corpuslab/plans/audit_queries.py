@@ -427,6 +427,16 @@ def f1_bootstrap(spark, d):
     return _r(I.cluster_bootstrap_ci(I.cluster_sums(rows, None, "passage_id", "f1"), R, "f1"), "lo", "hi", "point")
 
 
+@q()
+def accuracy_bootstrap_counts(spark, d):
+    return _r(I.value_bootstrap(passages(spark, d), F.col("tradition"), F.expr(_ACC), R, "a2").withColumnsRenamed({"by": "tradition", "point": "accuracy"}), "accuracy", "lo", "hi")
+
+
+@q()
+def f1_bootstrap_counts(spark, d):
+    return _r(I.value_bootstrap(_arms(spark, d), F.lit("all"), (F.col("n_chars") % 100) / 100.0, R, "f2").drop("by"), "point", "lo", "hi")
+
+
 _MO = "mo AS (SELECT 'all' AS arm, source AS cluster, avg(n_chars) AS m, var_samp(n_chars) AS v FROM documents GROUP BY source)"
 
 

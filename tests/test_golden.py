@@ -310,3 +310,13 @@ def test_dimension_readers(spark, tmp_path):
     assert io.read_vocabulary(spark, write("v.json", [{"term": "wave", "replacement": "x"}])).count() == 1
     (tmp_path / "m.csv").write_text("source_id,availability_status\na,available\nb,pointer\nc,available\n")
     assert {tuple(r) for r in io.manifest_by_availability(io.read_manifest(spark, str(tmp_path / "m.csv"))).collect()} == {("available", 2), ("pointer", 1)}
+
+
+def test_value_bootstrap_is_a_bootstrap(spark):
+    rows = spark.range(4000).selectExpr("id % 2 AS g", "id % 5 < 2 AS hit", "(id % 100) / 100 AS rate")
+    for r in stats.value_bootstrap(rows, F.col("g"), F.col("hit"), 400, "s").collect():
+        assert r.n == 2000 and abs(r.point - 0.4) < 1e-9
+        sd = (0.4 * 0.6 / 2000) ** 0.5
+        assert abs(r.lo - (0.4 - 1.96 * sd)) < 0.4 * sd and abs(r.hi - (0.4 + 1.96 * sd)) < 0.4 * sd
+    again = stats.value_bootstrap(rows.repartition(7), F.col("g"), F.col("rate"), 400, "s").orderBy("by")
+    assert again.collect() == stats.value_bootstrap(rows, F.col("g"), F.col("rate"), 400, "s").orderBy("by").collect()

@@ -32,7 +32,7 @@ def test_same_rows(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"graph_alignment", "graph_retrieval"}))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).limit(1).count() == 1
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
