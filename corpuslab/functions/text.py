@@ -45,8 +45,8 @@ def matching(text: Column, patterns: Sequence[str]) -> Column:
 
 def containing(text: Column, terms: Sequence[str]) -> Column:
     """The terms that are substrings of the lower-case text, in order."""
-    low = F.lower(text)
-    return F.filter(literals(terms), lambda t: F.contains(low, t))
+    # within the inner lambda the lower-case text is a variable, not an expression for each term
+    return F.transform(F.array(F.lower(text)), lambda low: F.filter(literals(terms), lambda t: F.contains(low, t)))[0]
 
 
 def alternation(terms: Sequence[str], bounded: bool = True) -> str:

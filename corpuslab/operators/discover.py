@@ -20,7 +20,7 @@ def frequent_sets(items: DataFrame, key: str, min_support: int, max_size: int, w
     """
     rows = items.select(key, F.explode("signature").alias("item"))
     good = rows.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= min_support).select("item")
-    rows = rows.join(F.broadcast(good), "item").select(key, "item")
+    rows = rows.join(good, "item").select(key, "item")
     own = rows.groupBy(key).agg(F.array_sort(F.collect_set("item")).alias("own"))
     level = rows.join(own, key).select(key, F.array("item").alias("signature"), "own")
     found = []
@@ -29,7 +29,7 @@ def frequent_sets(items: DataFrame, key: str, min_support: int, max_size: int, w
         grown = grown.select(key, "own", F.array_append("signature", F.col("x")).alias("signature"))
         counts = grown.groupBy("signature").agg(F.count("*").alias("support")).filter(F.col("support") >= min_support)
         found.append(counts)
-        level = grown.join(F.broadcast(counts.select("signature")), "signature", "left_semi")
+        level = grown.join(counts.select("signature"), "signature", "left_semi")
     if whole:
         longer = items.filter(F.size("signature") > max_size).groupBy("signature").agg(F.count("*").alias("support"))
         found.append(longer.filter(F.col("support") >= min_support))
@@ -119,7 +119,7 @@ def surprisal(signatures: DataFrame, background: DataFrame, meta: DataFrame, flo
     p = F.ln((F.coalesce("c", F.lit(0)) + 1) / (F.col("t") + F.col("v")))
     out = rows.groupBy("passage_id", "signature").agg(F.least(-F.sum(p), F.lit(-1.0) * F.ln(F.lit(floor))).alias("surprisal"))
     same = signatures.groupBy("signature").agg(F.count("*").alias("same"))
-    out = out.join(F.broadcast(same), "signature").join(meta, "passage_id")
+    out = out.join(same, "signature").join(meta, "passage_id")
     flag = lambda cond, name: F.when(cond, F.lit(name))
     n_nodes = F.size(F.filter("signature", lambda x: F.startswith(x, F.lit("N:"))))
     flags = F.array(flag(F.col("n_chars") < 40, "very_short"), flag(F.col("n_chars") > 4000, "very_long"), flag((n_nodes <= 1) & (n_nodes == F.size("signature")), "sparse_graph"), flag(F.col("same") >= 5, "duplicate_cluster"))

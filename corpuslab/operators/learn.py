@@ -122,19 +122,24 @@ def centroid_predict(weights: DataFrame, centroid: DataFrame, key: str) -> DataF
 def leave_group_out(weights: DataFrame, labels: DataFrame, key: str, group: str) -> DataFrame:
     """(key, truth, predicted): each document against class centroids of all other groups, in one pass.
 
-    The own group's sums are taken from the class totals; nothing is trained again.
+    The own group's sums are taken from the class totals; nothing is trained again, and no table is dense.
     """
     rows = weights.join(labels, key)
     total = rows.groupBy("label", "term").agg(F.sum("weight").alias("s"))
     own = rows.groupBy("label", "term", group).agg(F.sum("weight").alias("g"))
-    groups = labels.select(group).distinct()
-    left = total.crossJoin(F.broadcast(groups)).join(own, ["label", "term", group], "left").withColumn("s", F.col("s") - F.coalesce("g", F.lit(0.0)))
-    norm = left.groupBy("label", group).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    sims = rows.select(key, group, "term", "weight", F.col("label").alias("truth")).join(left.select("label", group, "term", "s"), [group, "term"])
-    sims = sims.groupBy(key, group, "truth", "label").agg(F.sum(F.col("weight") * F.col("s")).alias("d")).join(norm, ["label", group])
-    sims = sims.withColumn("sim", F.round(F.coalesce(F.try_divide("d", "norm"), F.lit(0.0)), 9))
+    # |total - own|^2 from the own terms alone; what is left of a class that has no other group is rounding
+    square = total.groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
+    less = own.join(total, ["label", "term"]).groupBy("label", group).agg(F.sum(F.col("g") * (F.col("g") - 2 * F.col("s"))).alias("less"))
+    norm = less.join(square, "label").select("label", group, F.when(F.col("ss") + F.col("less") > 1e-9 * F.col("ss"), F.sqrt(F.col("ss") + F.col("less"))).alias("left"))
+    asked = rows.select(key, group, "term", "weight", F.col("label").alias("truth"))
+    dots = asked.join(total, "term").groupBy(key, group, "truth", "label").agg(F.sum(F.col("weight") * F.col("s")).alias("d"))
+    back = asked.join(own, ["term", group]).groupBy(key, "label").agg(F.sum(F.col("weight") * F.col("g")).alias("back"))
+    sims = dots.join(back, [key, "label"], "left").join(norm, ["label", group], "left").join(square, "label")
+    alone = F.col("left").isNull() & F.col("back").isNotNull()
+    d = F.col("d") - F.coalesce("back", F.lit(0.0))
+    sim = F.when(alone, 0.0).otherwise(F.coalesce(F.try_divide(d, F.coalesce("left", F.sqrt("ss"))), F.lit(0.0)))
     first = F.row_number().over(W.partitionBy(key).orderBy(F.desc("sim"), "label"))
-    return sims.withColumn("r", first).filter("r = 1").select(key, "truth", F.col("label").alias("predicted"))
+    return sims.withColumn("sim", F.round(sim, 9)).withColumn("r", first).filter("r = 1").select(key, "truth", F.col("label").alias("predicted"))
 
 
 def text_classifier(train: DataFrame, kind: str = "svc", bigrams: bool = False, vocabulary: int | None = None) -> PipelineModel:

@@ -37,15 +37,15 @@ def detect_leaks(passages: DataFrame, patterns: Sequence[str] = LEAK_PATTERNS) -
 
 def scrub_text(passages: DataFrame, families: Sequence[tuple[str, str]] = SCRUB_FAMILIES, replacement: str = "[SCRUBBED]") -> DataFrame:
     """Add scrubbed, n_replacements and families_hit. Each family sees the text that the ones before it left."""
-    text, hits = F.col("text"), []
-    for i, (_, pattern) in enumerate(families):
+    out = passages.withColumn("__text", F.col("text"))
+    for i, (_, pattern) in enumerate(families):  # a projection each, so that no replacement is computed twice
         pattern = f"(?iu){pattern}"
-        hits.append(F.regexp_count(text, F.lit(pattern)).alias(f"__n{i}"))
-        text = F.regexp_replace(text, pattern, replacement)
-    lines = F.split(text, "\n")
+        out = out.select("*", F.regexp_count("__text", F.lit(pattern)).alias(f"__n{i}"), F.regexp_replace("__text", pattern, replacement).alias("__next"))
+        out = out.drop("__text").withColumnRenamed("__next", "__text")
+    lines = F.split("__text", "\n")
     editorial = lambda line: reduce(lambda a, b: a | b, [F.startswith(F.lower(F.trim(line)), F.lit(s)) for s in EDITORIAL_SCRUB])
     dropped = F.size(F.filter(lines, editorial))
-    out = passages.select("*", text.alias("__text"), *hits, dropped.alias("__lines"))
+    out = out.withColumn("__lines", dropped)
     names = [F.when(F.col(f"__n{i}") > 0, F.lit(n)) for i, (n, _) in enumerate(families)] + [F.when(F.col("__lines") > 0, F.lit("editorial_line"))]
     return out.select(
         *passages.columns, T.drop_lines(F.col("__text"), EDITORIAL_SCRUB).alias("scrubbed"),

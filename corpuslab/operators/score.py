@@ -96,7 +96,7 @@ def terms(texts: DataFrame, keys: Sequence[str], bigrams: bool = False) -> DataF
 
 def tfidf(counts: DataFrame, key: str, n_docs: DataFrame | None = None) -> DataFrame:
     """(key, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), scaled to length 1. n is the number of keys."""
-    df = counts.groupBy("term").agg(F.countDistinct(key).alias("df"))
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))  # a key has a term once
     n = n_docs if n_docs is not None else counts.agg(F.countDistinct(key).alias("n"))
     rows = counts.join(df, "term").crossJoin(F.broadcast(n))
     rows = rows.withColumn("raw", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
