@@ -17,25 +17,36 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, trim_memory
+from .common import ROWS, slices, trim_memory
 
-#: Pre-tokens whose encoding a task remembers at most; then it forgets all and starts again.
-MEMO_SIZE = 400_000
+#: Bytes that remembered pre-tokens may take in a worker: half for the latest, half for those before.
+MEMO_BYTES = 96 << 20
+
+#: The letters and numbers of Unicode 16 that the tables of Unicode 15.1 do not have.
+LATER_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+LATER_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 
 
 @functools.cache
-def _ranges(kind: str, ascii_only: bool) -> str:
-    """The inside of a character class: letters (L), numbers (N) or white space (s) as the tables of Python have them."""
+def _ranges(kind: str, limit: int) -> str:
+    """The inside of a character class below ``limit``: letters (L) and numbers (N) of Unicode 16, or white space (s)."""
+    later = {c for a, b in {"L": LATER_LETTERS, "N": LATER_NUMBERS, "s": ()}[kind] for c in range(a, b + 1)}
+
     def held(c: int) -> bool:
-        return chr(c).isspace() and not 0x1C <= c <= 0x1F if kind == "s" else unicodedata.category(chr(c))[0] == kind
+        return chr(c).isspace() and not 0x1C <= c <= 0x1F if kind == "s" else unicodedata.category(chr(c))[0] == kind or c in later
 
     out, start = [], None
-    for c in range((128 if ascii_only else 0x110000) + 1):
-        if c < (128 if ascii_only else 0x110000) and held(c):
+    for c in range(limit + 1):
+        if c < limit and held(c):
             start = c if start is None else start
         elif start is not None:
             out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
@@ -44,19 +55,22 @@ def _ranges(kind: str, ascii_only: bool) -> str:
 
 
 class Splitter:
-    r"""``findall`` of a pattern with \p{L}, \p{N}, \s and \S, which it writes out as plain character classes."""
+    r"""``findall`` of a pattern with \p{L}, \p{N}, \s and \S, which it writes out as plain character classes.
+
+    Texts of ASCII or Latin-1 alone have patterns of their own, with smaller classes.
+    """
 
     def __init__(self, pattern: str):
-        self.any, self.ascii = (re.compile(self._written(pattern, x)) for x in (False, True))
+        self.ascii, self.latin, self.any = (re.compile(self._written(pattern, x)) for x in (0x80, 0x100, 0x110000))
 
     @staticmethod
-    def _written(pattern: str, ascii_only: bool) -> str:
+    def _written(pattern: str, limit: int) -> str:
         out, inside, at = [], False, 0
         for m in re.finditer(r"\\p\{([LN])\}|\\([sS])|\\.|[\[\]]", pattern, re.DOTALL):
             out.append(pattern[at : m.start()])
             at = m.end()
             if m[1] or m[2]:
-                r = _ranges(m[1] or "s", ascii_only)
+                r = _ranges(m[1] or "s", limit)
                 if inside and m[2] == "S":
                     raise ValueError("\\S inside a class")
                 out.append(r if inside else f"[{'^' * (m[2] == 'S')}{r}]")
@@ -66,43 +80,75 @@ class Splitter:
         return "".join(out) + pattern[at:]
 
     def findall(self, text: str) -> list[str]:
-        return (self.ascii if text.isascii() else self.any).findall(text)
+        if text.isascii():
+            return self.ascii.findall(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.any.findall(text)
+        return self.latin.findall(text)
+
+
+class Merges:
+    """Ranks of the pairs that merge: for each symbol, what may follow it; ``made`` is what each rank becomes."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int], made: Sequence[int], symbols: int):
+        after: list[dict[int, int] | None] = [None] * symbols
+        for (a, b), r in pairs.items():
+            if after[a] is None:
+                after[a] = {}
+            after[a][b] = r
+        self.made = made
+        none: dict[int, int] = {}
+        self.after = [none if x is None else x for x in after]
+        self.get = [x.get for x in self.after]
 
+    def __getstate__(self):
+        return self.after, self.made
 
-def heap_merge(parts: list[int], pairs: dict[int, int], made: Sequence[int], width: int) -> list[int]:
-    """Merge neighbours, the pair of least rank and then the leftmost first, until none has a rank.
-
-    ``parts`` are symbols below ``width``; ``pairs`` has the rank of (a, b) at a * width + b; the pair of rank r
-    becomes the symbol ``made[r]``. The heap holds rank and place in one integer; the parts are a linked list.
-    """
-    n = len(parts)
-    part, get = list(parts), pairs.get
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    ranks = [get(a * width + b, -1) for a, b in zip(part, part[1:], strict=False)]
-    ranks.append(-1)
-    heap = [r << 32 | i for i, r in enumerate(ranks) if r >= 0]
-    heapq.heapify(heap)
-    while heap:
-        x = heapq.heappop(heap)
-        i, r = x & 0xFFFFFFFF, x >> 32
-        if ranks[i] != r:
-            continue  # one of the two has been merged since
-        j = after[i]
-        part[i], part[j], ranks[j] = made[r], -1, -1
-        after[i] = k = after[j]
-        if k < n:
-            before[k] = i
-            ranks[i] = r = get(part[i] * width + part[k], -1)
-            if r >= 0:
-                heapq.heappush(heap, r << 32 | i)
-        else:
-            ranks[i] = -1
-        h = before[i]
-        if h >= 0:
-            ranks[h] = r = get(part[h] * width + part[i], -1)
-            if r >= 0:
-                heapq.heappush(heap, r << 32 | h)
-    return [x for x in part if x >= 0]
+    def __setstate__(self, state):
+        self.after, self.made = state
+        self.get = [x.get for x in self.after]
+
+    def merge(self, part: list[int]) -> list[int]:
+        """Merge neighbours, the pair of least rank and then the leftmost first, until none has a rank.
+
+        The heap holds rank and place in one integer; the parts are a linked list.
+        """
+        n, get, made = len(part), self.get, self.made
+        ranks = [get[a](b, -1) for a, b in zip(part, part[1:], strict=False)]
+        ranks.append(-1)
+        bits = 14 if n < 1 << 14 else 32  # short pieces keep the heap's integers small
+        low = (1 << bits) - 1
+        heap = [r << bits | i for i, r in enumerate(ranks) if r >= 0]
+        if not heap:
+            return part
+        part = list(part)
+        heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pop, push = heapq.heappop, heapq.heappush
+        while heap:
+            x = pop(heap)
+            i, r = x & low, x >> bits
+            if ranks[i] != r:
+                continue  # one of the two has been merged since
+            j = after[i]
+            part[i] = new = made[r]
+            part[j] = ranks[j] = -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                ranks[i] = r = get[new](part[k], -1)
+                if r >= 0:
+                    push(heap, r << bits | i)
+            else:
+                ranks[i] = -1
+            h = before[i]
+            if h >= 0:
+                ranks[h] = r = get[part[h]](new, -1)
+                if r >= 0:
+                    push(heap, r << bits | h)
+        return [x for x in part if x >= 0]
 
 
 class PerfectHash:
@@ -141,36 +187,32 @@ class PerfectHash:
 
 
 class ByteBPE:
-    """Encoder and decoder over a table of ranks, which are the ids."""
+    """Encoder and decoder over a table of ranks, which are the ids. Its tables are built once and travel with it."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.tokens = list(ranks)
         self.ids = list(ranks.values())
-        self.pattern = pattern
         self.hash = PerfectHash(self.tokens)
-        self._start()
-
-    def _start(self):
-        self.split = Splitter(self.pattern)
-        ranks = dict(zip(self.tokens, self.ids, strict=True))
+        self.split = Splitter(pattern)
         self.byte_ids = [ranks.get(bytes([b])) for b in range(256)]
-        self.width = max(self.ids, default=0) + 1
-        self.made = range(self.width)  # a pair's rank is the id of what it becomes
-        self.pairs = {
-            a * self.width + b: r
-            for t, r in ranks.items()
-            for i in range(1, len(t))
-            if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None
-        }
-        self.bytes_of = dict(zip(self.ids, self.tokens, strict=True))
-        self.memo = _Memo(self.encode_piece)  # bounded, and emptied after each task
+        self.table = bytes(self.byte_ids) if all(i is not None and i < 256 for i in self.byte_ids) else None
+        symbols = max(self.ids, default=0) + 1
+        pairs = {
+            (a, b): r for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None
+        }
+        self.merges = Merges(pairs, range(symbols), symbols)  # a pair's rank is the id of what it becomes
+        spelled: list[bytes | None] = [None] * symbols
+        for i, t in zip(self.ids, self.tokens, strict=True):
+            spelled[i] = t
+        self.spelled = pa.array(spelled, pa.binary())
+        self.memo = Memo(self.encode_piece)
 
     def __getstate__(self):
-        return self.tokens, self.ids, self.pattern, self.hash
+        return {k: v for k, v in self.__dict__.items() if k != "memo"}
 
     def __setstate__(self, state):
-        self.tokens, self.ids, self.pattern, self.hash = state
-        self._start()
+        self.__dict__ = state
+        self.memo = Memo(self.encode_piece)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -184,53 +226,63 @@ class ByteBPE:
         at = self.hash.index[self.hash.slot(raw)]
         if self.tokens[at] == raw:
             return struct.pack("=i", self.ids[at])
-        merged = heap_merge([self.byte_ids[b] for b in raw], self.pairs, self.made, self.width)
+        merged = self.merges.merge(list(raw.translate(self.table)) if self.table else [self.byte_ids[b] for b in raw])
         return struct.pack(f"={len(merged)}i", *merged)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.split.findall(text)))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: pa.Array, ends: np.ndarray) -> pa.Array:
+        """The bytes of each run ids[ends[i] : ends[i + 1]]."""
+        spelled = self.spelled.take(ids)
+        _, offsets, data = spelled.buffers()
+        at = np.frombuffer(offsets, np.int32)[spelled.offset :][ends] if offsets is not None and len(ids) else np.zeros(len(ends), np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(at)), data])
 
 
-class _Memo(dict):
-    def __init__(self, make: Callable):
-        self.make = make
+class Memo(dict):
+    """Remembers what ``make`` gave, in two generations: the older goes when the younger is full."""
+
+    def __init__(self, make: Callable, size: int = MEMO_BYTES // 2):
+        self.make, self.size, self.held, self.older = make, size, 0, {}
 
     def __missing__(self, piece):
-        if len(self) >= MEMO_SIZE:
+        out = self.older.get(piece)
+        if out is None:
+            out = self.make(piece)
+        if self.held > self.size:
+            self.older, self.held = dict(self), 0
             self.clear()
-        self[piece] = out = self.make(piece)
+        self.held += 220 + 5 * len(piece)
+        self[piece] = out
         return out
 
 
-def _offsets(lengths: list[int]) -> pa.Array:
-    return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.int32())
-
+def _offsets(lengths: list[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
 
-#: Rows that go through Python at a time.
-ROWS = 1000
 
+def bpe_encode(documents: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids array<int>) of each row; with ``decoded`` also the bytes that the ids decode to, in the same pass.
 
-def bpe_encode(documents: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of each row. A null or empty text has no ids. Other columns are not read."""
+    A null or empty text has no ids. Rows with a null or repeated id are rows like others. An empty table gives an
+    empty result; other columns are not read.
+    """
     held = documents.sparkSession.sparkContext.broadcast(bpe)  # the vocabulary's size bounds it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = held.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                coded = [bpe.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
-                values = pa.array(np.frombuffer(b"".join(coded), np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(_offsets([len(x) // 4 for x in coded]), values)], ["doc_id", "ids"])
-        bpe.memo.clear()
+        for batch in slices(batches, 1):
+            coded = [bpe.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
+            ends = _offsets([len(x) // 4 for x in coded])
+            ids = pa.array(np.frombuffer(b"".join(coded), np.int32), pa.int32())
+            out = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), ids)]
+            yield pa.RecordBatch.from_arrays(out + [bpe.decode(ids, ends)] * decoded, ["doc_id", "ids", "decoded"][: 2 + decoded])
         trim_memory()
 
-    rows = bound_batches(documents).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = rows.select("doc_id", F.array(F.lit(0)).alias("ids")).schema
-    return rows.mapInArrow(run, schema)
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    like = rows.select("doc_id", F.array(F.lit(0)).alias("ids"), F.lit(b"").alias("decoded"))
+    return rows.mapInArrow(run, (like if decoded else like.drop("decoded")).schema)
 
 
 def bpe_decode(encoded: DataFrame, bpe: ByteBPE) -> DataFrame:
@@ -239,13 +291,14 @@ def bpe_decode(encoded: DataFrame, bpe: ByteBPE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = held.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                ids = batch.column(1)
-                flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
-                text = [bpe.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.binary())], ["doc_id", "ids", "decoded"])
+        for batch in batches:
+            length = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0))
+            ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                flat = pc.list_flatten(some.column(1))
+                own = ends[at : at + some.num_rows + 1] - ends[at]
+                yield pa.RecordBatch.from_arrays([*some.columns, bpe.decode(flat, own)], ["doc_id", "ids", "decoded"])
 
     rows = encoded.select("doc_id", "ids")
     return rows.mapInArrow(run, rows.withColumn("decoded", F.lit(b"")).schema)

@@ -2,49 +2,98 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds at least this share of all rows; so at most HOT_SHARE keys are hot.
-HOT_SHARE = 1000
+#: A key is hot when it holds at least 1/HOT_KEYS of all rows (and LEAST_HOT rows), so at most HOT_KEYS keys are hot,
+#: and no other key has more rows than that.
+HOT_KEYS, LEAST_HOT = 50_000, 1000
 
 #: ASCII white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows and bytes of text that go through Python at a time, if one text alone does not have more.
+ROWS, BYTES = 1000, 4 << 20
+
+_OWN: dict[str, str] = {}  # scratch folders of local applications without a checkpoint folder
+
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one of this machine only where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset, a temporary one, on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        base = _OWN[context.applicationId]
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back. The files go when the JVM ends."""
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def materialize(df: DataFrame, held: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder and read it back.
+
+    The files go when the JVM ends, or with ``release(held)``, whichever is first.
+    """
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    p, fs = _path(spark, path)
+    fs.deleteOnExit(p)
+    if held is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """The same rows; from now on the session hands Python at most so many at a time, as texts may be long."""
+def release(spark: SparkSession, held: list[str]) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for path in held:
+        p, fs = _path(spark, path)
+        fs.delete(p, True)
+    held.clear()
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = ROWS) -> Iterator[None]:
+    """While it lasts, Spark hands Python at most so many rows at a time; for actions inside an operator."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
-        df.sparkSession.conf.set(name, rows)
-    return df
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and ``size`` bytes of the column, one row at least."""
+    for batch in batches:
+        length = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+        start = held = 0
+        for i, n in enumerate(length.tolist()):
+            if i - start >= rows or held and held + n > size:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -52,12 +101,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
-    """Join rows to groups (one row for each key, with the key's number of rows in ``size``) without a hot task.
+    """Join rows to groups (one narrow row for each key, with the key's number of rows in ``size``) without a hot task.
 
-    Keys that hold at least 1/HOT_SHARE of ``total`` rows are at most HOT_SHARE many, whatever the input: they are
-    joined by broadcast. All other keys are small by definition, and shuffle.
+    Keys that hold at least 1/HOT_KEYS of ``total`` rows are at most HOT_KEYS many, whatever the input: they are
+    joined by broadcast, of some megabytes at most. No other key brings a task more than total / HOT_KEYS rows.
     """
-    least = max(total // HOT_SHARE, 1000)
+    least = max(total // HOT_KEYS, LEAST_HOT)
     hot = groups.filter(F.col(size) >= least)
     cold = groups.filter(F.col(size) < least)
     a = rows.join(F.broadcast(hot), on, "inner")
@@ -65,6 +114,22 @@ def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total
     return a.unionByName(b)
 
 
+def one_row_per_id(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows, but of those that share an id only one: the one with the greatest text, then the greatest row.
+
+    Rows whose id is null all stay. Only the ids are shuffled where none is shared.
+    """
+    held = rows.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
+    shared = materialize(held)
+    if shared.isEmpty():
+        return rows
+    names = rows.columns
+    ordered = F.struct(F.col(text_col), F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])))
+    most = F.max_by(F.struct(*[F.col(f"`{c}`") for c in names]), ordered).alias("row")
+    several = rows.join(shared, id_col, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(most).select("row.*")
+    return rows.join(shared, id_col, "left_anti").select(*names).unionByName(several.select(*names))
+
+
 def collapse_space(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
