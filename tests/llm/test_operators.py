@@ -14,6 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from corpuslab.llm import line_dedup as LD
 from corpuslab.llm import suffix_dedup as SD
 from corpuslab.llm.bpe import ByteBPE, PerfectHash, bpe_decode, bpe_encode
 from corpuslab.llm.chat import chat_format, loss_text, parse, rows_to_events
@@ -79,7 +80,9 @@ def test_same_rows_as_sql(spark, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
-def test_line_dedup_cases(odd):
+@pytest.mark.parametrize("most", [1 << 28, 0])
+def test_line_dedup_cases(odd, monkeypatch, most):
+    monkeypatch.setattr(LD, "MAX_FILTER_BITS", most)  # broadcast or partitioned
     got = {}
     for r in line_dedup(odd).collect():
         got.setdefault(r.doc_id, r)
@@ -91,6 +94,14 @@ def test_line_dedup_cases(odd):
     assert line_dedup(odd.limit(0)).count() == 0
 
 
+def test_partitioned_filters_give_the_same_lines(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    want = line_dedup(df).collect()
+    monkeypatch.setattr(LD, "MAX_FILTER_BITS", 0)
+    monkeypatch.setattr(LD, "RANGE_BITS", 1 << 17)
+    assert Counter(map(tuple, line_dedup(df).collect())) == Counter(map(tuple, want))
+
+
 def test_quotient_filters_merge_losslessly():
     rng = np.random.default_rng(2)
     parts = [rng.integers(0, 1 << 63, 500).astype(np.uint64) << np.uint64(1) for _ in range(3)]
@@ -146,9 +157,10 @@ def brute_spans(docs, length):
     return out
 
 
-def test_suffix_dedup_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(SD, "CELL", 16)
-    monkeypatch.setattr(SD, "BATCH", 500)
+@pytest.mark.parametrize(("hot", "fan"), [(32, 1024), (3, 4), (1, 2)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot, fan):
+    for name, value in {"CELL": 4000, "BATCH": 500, "MOST": 2000, "BLOCK": 60, "BYTES": 700, "HOT": hot, "FAN": fan}.items():
+        monkeypatch.setattr(SD, name, value)
     docs = [*corpus(7), (2000, "a" * 300), (2001, "b" + "a" * 200), (2002, "é" * 60), (2003, "x" + "é" * 50 + "y"), (2004, "\0" * 120), (2005, "\0" * 80)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in SD.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute_spans(docs, 50)
@@ -287,17 +299,27 @@ def test_near_dedup_against_brute_force(spark):
 
 def test_near_dedup_cases(odd):
     got = {r.doc_id: r for r in near_dedup(odd).collect()}
-    assert sorted(got) == [1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13]
+    assert got.keys() == {None, 1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13}
+    assert tuple(got[None])[:3] == (None, None, 1) and got[None].kept
     assert got[9].class_id == 8 and got[1].class_id == 1 and got[2].class_id == 2 and got[3].n_shingles == 0
     assert near_dedup(odd.limit(0)).count() == 0
 
 
+def test_near_dedup_takes_one_text_of_a_shared_id(spark):
+    a, b = " ".join(f"zz{i}" for i in range(300)), " ".join(f"b{i}" for i in range(300))
+    data = [(1, a), (1, b), (2, b), (3, None), (3, ""), (None, a), (None, a)]
+    got = near_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    # of id 1 the greater text stands, so that row 2 resembles nothing
+    assert {(r.doc_id, r.class_id, r.class_size, r.n_shingles, r.kept) for r in got if r.doc_id} == {(1, 1, 1, 296, True), (2, 2, 1, 296, True), (3, 3, 1, 0, True)}
+    assert [tuple(r) for r in got if r.doc_id is None] == [(None, None, 1, 296, True)] * 2 and len(got) == 5
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(5)
     agree = []
     for _ in range(60):
         s = rng.integers(0, 1 << 62, 30).astype(np.uint64)
-        a, b = rng.integers(1, 6, 30), rng.integers(1, 6, 30)
+        a, b = rng.integers(1, 40, 30), rng.integers(1, 40, 30)
         sig = signatures(np.repeat([0, 1], 30), np.tile(s, 2), np.r_[a, b], 2)
         agree.append((sig[0] == sig[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum())
     assert abs(np.mean(agree)) < 4 * 0.5 / np.sqrt(60 * COMPONENTS)
