@@ -70,6 +70,37 @@ def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+#: Powers for words of usual length; longer words have theirs made anew.
+_SHORT = _powers(int(_BASE), 256)
+
+
+def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of a buffer that begins and ends with a space, some CHUNK bytes at a time."""
+    starts, hashes = [], []
+    at = 0
+    while at < len(buf) - 1:
+        end = min(at + CHUNK, len(buf))
+        while end < len(buf):  # a window ends at a space
+            back = np.flatnonzero(_SPACE[buf[max(at + 1, end - 4096) : end]])
+            if len(back):
+                end = max(at + 1, end - 4096) + int(back[-1]) + 1
+                break
+            end = min(end + CHUNK, len(buf))
+        w = buf[at:end]
+        letter = np.flatnonzero(~_SPACE[w])
+        if len(letter):
+            first = np.flatnonzero(np.r_[True, np.diff(letter) > 1])
+            size = np.diff(np.r_[first, len(letter)])
+            place = np.arange(len(letter)) - np.repeat(first, size)
+            powers = _SHORT if size.max() <= len(_SHORT) else _powers(int(_BASE), int(size.max()))
+            starts.append(letter[first] + at)
+            hashes.append(mix(np.add.reduceat(_BYTE[w[letter]] * powers[place], first)))
+        at = end - 1 if end < len(buf) else end
+    if not starts:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
 def shingle_counts(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For slices a:b of the texts: (a, b, row, shingle, count), sorted by row and shingle.
 
@@ -79,14 +110,11 @@ def shingle_counts(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarr
     raw = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     for a, b in chunks(raw):
         buf = np.frombuffer(b" " + b" ".join(raw[a:b]) + b" ", np.uint8)
-        space = _SPACE[buf]
-        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-        ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        starts, word = word_hashes(buf)
         if not len(starts):
             yield a, b, *(np.empty(0, x) for x in (np.int64, np.uint64, np.int64))
             continue
-        h = prefix_hash(buf)
-        word = np.concatenate([mix((h[ends] - h[starts]) * POWERS.down[starts]), np.zeros(WORDS, np.uint64)])
+        word = np.concatenate([word, np.zeros(WORDS, np.uint64)])
         text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in raw[a:b]), np.int64, b - a)) + 1
         row = np.searchsorted(text_ends, starts, "right")
         n = np.bincount(row, minlength=b - a)
