@@ -29,12 +29,25 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def rows_to_events(conversations: DataFrame) -> DataFrame:
-    """Each row of (conv_id, turn, role, text) as one event ``message``. Rows of the same turn stay apart, in order of
-    role and text; a null turn comes first."""
+def rows_to_events(conversations: DataFrame, delta_chars: int = 400) -> DataFrame:
+    """The event log of rows (conv_id, turn, role, text), as a chat service would have written it.
+
+    A turn of the assistant begins as a draft, is regenerated and streams its text in deltas of ``delta_chars`` code
+    points; any other turn is said with a slip and then edited. Rows of the same turn stay apart, in order of role and
+    text; a null turn comes first. Folding the log gives each row's role and text.
+    """
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    n = F.row_number().over(order).cast("long")
-    return conversations.select("conv_id", n.alias("seq"), n.alias("message"), F.lit("message").alias("kind"), "role", "text")
+    rows = conversations.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).cast("long").alias("message"))
+    event = lambda n, kind, role, text: F.struct(n.cast("long").alias("n"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    deltas = F.transform(
+        F.sequence(F.lit(0), F.expr(f"cast((greatest(length(text), 1) - 1) div {int(delta_chars)} as int)")),
+        lambda i: event(i + 2, "delta", none, F.substring(F.col("text"), i * int(delta_chars) + 1, F.lit(int(delta_chars)))),
+    )
+    streamed = F.concat(F.array(event(F.lit(0), "message", F.col("role"), F.lit("draft")), event(F.lit(1), "regenerate", none, F.lit(""))), deltas)
+    edited = F.array(event(F.lit(0), "message", F.col("role"), F.lit("slip")), event(F.lit(1), "edit", none, F.col("text")))
+    events = rows.select("conv_id", "message", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)).alias("e"))
+    return events.select("conv_id", (F.col("message") * F.lit(1 << 32) + F.col("e.n")).alias("seq"), "message", "e.kind", "e.role", "e.text")
 
 
 def fold_events(events: DataFrame) -> DataFrame:

@@ -12,16 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import slices, small_batches, trim_memory
 
 SLOTS = 1 << 15
 #: Code points that are scored at a time, if one text alone does not have more.
 CHUNK = 1 << 20
-#: Languages that a model can tell apart: it bounds the broadcast matrix to 256 MB.
-MAX_LANGUAGES = 1000
+#: Languages that a model can tell apart, at 2 * (SLOTS + 1) doubles each: it bounds the broadcast matrix to 256 MB.
+MAX_LANGUAGES = 480
+#: Tables of counts that are summed in one group, and so the fan of the tree of sums.
+FAN = 64
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -64,7 +67,7 @@ def _lowered(column: pa.Array) -> list[str]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
-    for batch in batches:
+    for batch in slices(batches, 0):
         texts, langs = _lowered(batch.column("text")), batch.column("lang").to_pylist()
         by: dict[str, list[str]] = {}
         for t, lang in zip(texts, langs, strict=True):
@@ -76,15 +79,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 two, three, _ = _slots(own[a:b])
                 held[0] += np.bincount(two, minlength=SLOTS + 1)
                 held[1] += np.bincount(three, minlength=SLOTS + 1)
+    part = TaskContext.get().partitionId()
     for lang, n in docs.items():
-        yield pa.RecordBatch.from_pydict({"lang": [lang], "docs": [n], "counts": [counts[lang][:, :SLOTS].tobytes()]})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "lang": [lang], "docs": [n], "counts": [counts[lang][:, :SLOTS].tobytes()]})
+    trim_memory()
 
 
 def _sum(table: pa.Table) -> pa.Table:
     total = np.zeros(2 * SLOTS, np.int64)
     for x in table["counts"]:
         total += np.frombuffer(x.as_buffer(), np.int64)
-    return pa.table({"lang": [table["lang"][0].as_py()], "docs": [sum(table["docs"].to_pylist())], "counts": [total.tobytes()]})
+    part = pa.array([table["part"][0].as_py() // FAN], pa.int32())
+    return pa.table({"part": part, "lang": [table["lang"][0].as_py()], "docs": [sum(table["docs"].to_pylist())], "counts": [total.tobytes()]})
 
 
 class NaiveBayes:
@@ -109,15 +115,26 @@ class NaiveBayes:
         return best, sure
 
 
-def train_language_id(labelled: DataFrame) -> NaiveBayes:
-    """A model of all rows of (text, lang); rows with a null are left out. Only the sums reach the driver."""
-    rows = bound_batches(labelled).select("text", "lang").dropna()
-    schema = "lang string, docs long, counts binary"
-    found = rows.mapInArrow(_count, schema).groupBy("lang").applyInArrow(_sum, schema).limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    found.sort(key=lambda r: r.lang)
-    return NaiveBayes([r.lang for r in found], [r.docs for r in found], [np.frombuffer(r.counts, np.int64) for r in found])
+def train_language_id(labelled: DataFrame, max_languages: int = MAX_LANGUAGES) -> NaiveBayes:
+    """A model of all rows of (text, lang); rows with a null are left out. Only the sums reach the driver.
+
+    The tasks' tables are summed in a tree, FAN at a time. More than max_languages languages are an error, since the
+    model is broadcast.
+    """
+    rows = labelled.select("text", "lang").dropna()
+    schema = "part int, lang string, docs long, counts binary"
+    found, parts = rows.mapInArrow(_count, schema), rows.rdd.getNumPartitions()
+    while True:
+        found = found.groupBy("lang", F.expr(f"part div {FAN}").alias("up")).applyInArrow(_sum, schema)
+        parts = -(-parts // FAN)
+        if parts <= 1:
+            break
+    with small_batches(labelled.sparkSession):
+        sums = found.limit(max_languages + 1).collect()
+    if len(sums) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    sums.sort(key=lambda r: r.lang)
+    return NaiveBayes([r.lang for r in sums], [r.docs for r in sums], [np.frombuffer(r.counts, np.int64) for r in sums])
 
 
 def predict_language(documents: DataFrame, model: NaiveBayes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,15 +147,16 @@ def predict_language(documents: DataFrame, model: NaiveBayes, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = batch.column(1).to_pylist()
             there = [i for i, t in enumerate(texts) if t is not None and model.langs and _LETTER.search(t)]
             lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if there:
                 lang[there], score[there] = model.score(_lowered(pa.array([texts[i] for i in there])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+        trim_memory()
 
-    rows = bound_batches(documents).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, rows.select("doc_id", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
 
 

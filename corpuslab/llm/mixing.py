@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import join_hot, materialize
 
 LEVELS = ("domain", "lang", "source")
-#: Hexadecimal digits of the order key that split a leaf for its running sum: 4096 parts.
-PART_DIGITS = 3
+#: Rows of a part of a leaf, on average at most: what one group of a running sum holds.
+PART_ROWS = 4096
 
 
 def count_words(text: Column) -> Column:
@@ -92,12 +92,19 @@ def mix_sources(
     leaves = base.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("avail"), F.count("*").alias("docs"))
     budgets = leaf_budgets(leaves, share, weights, max_epochs)
     epochs = F.coalesce(F.expr("leaf_budget div nullif(avail, 0)"), F.lit(0))
-    rows = join_hot(base, budgets.withColumn("epochs", epochs).withColumn("rest", F.col("leaf_budget") - F.col("epochs") * F.col("avail")), list(LEVELS), "docs", base.count())
+    # hexadecimal digits of the order key that tell the parts of a leaf, and half of them for groups of parts
+    digits = F.ceil(F.log2(F.greatest(F.col("docs") / PART_ROWS, F.lit(1))) / 4).cast("int")
+    budgets = budgets.withColumns({"epochs": epochs, "digits": digits}).withColumn("rest", F.col("leaf_budget") - F.col("epochs") * F.col("avail"))
+    rows = join_hot(base, budgets, list(LEVELS), "docs", base.count())
     key = F.md5(F.concat_ws(":", F.lit(seed), "epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = materialize(rows.select("doc_id", *LEVELS, "n_tokens", "epochs", "rest", key.alias("key")).withColumn("part", F.substring("key", 1, PART_DIGITS)))
-    parts = rows.groupBy(*LEVELS, "part").agg(F.sum("n_tokens").alias("t"))
-    earlier = W.partitionBy(*LEVELS).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumn("part_start", F.coalesce(F.sum("t").over(earlier), F.lit(0))).drop("t")
+    rows = rows.select("doc_id", *LEVELS, "n_tokens", "epochs", "rest", "digits", key.alias("key"))
+    rows = materialize(rows.withColumns({"head": F.expr("substring(key, 1, digits div 2)"), "part": F.expr("substring(key, 1, digits)")}))
+    parts = rows.groupBy(*LEVELS, "head", "part").agg(F.sum("n_tokens").alias("t"))
+    heads = parts.groupBy(*LEVELS, "head").agg(F.sum("t").alias("t"))
+    before = lambda by, order: F.coalesce(F.sum("t").over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    heads = heads.withColumn("head_start", before(LEVELS, "head")).drop("t")
+    parts = parts.withColumn("part_start", before([*LEVELS, "head"], "part")).drop("t").join(heads, [*LEVELS, "head"])
+    parts = parts.select(*LEVELS, "part", (F.col("part_start") + F.col("head_start")).alias("part_start"))
     inside = W.partitionBy(*LEVELS, "part").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(parts, [*LEVELS, "part"])
     copies = F.col("epochs") + (F.col("part_start") + F.col("start") < F.col("rest")).cast("long")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import ByteBPE, bpe_decode, bpe_encode
+from .bpe import ByteBPE, bpe_encode
 from .chat import chat_format, loss_text, parse, rows_to_events
 from .common import hex_sha256, materialize
 from .exact_dedup import exact_dedup
@@ -86,7 +86,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = ByteBPE.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = bpe_decode(bpe_encode(_read(spark, sf_dir, "documents"), bpe), bpe)
+    out = bpe_encode(_read(spark, sf_dir, "documents"), bpe, decoded=True)
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         hex_sha256(F.array_join("ids", ",")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -95,7 +95,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_topk_search, op4_suffix_dedup, op5_mixing, op6_token_counts, op7_language_id, op8_near_dedup, op9_chat, op10_byte_bpe)}
 
-def _mix_sql() -> str:
+def mix_sql(share: tuple[int, int] = MIX_SHARE, epochs: int = MIX_EPOCHS) -> str:
+    """SQL for the mix of the table ``documents``."""
     weight = lambda depth: "CASE " + " ".join(f"WHEN path = '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items() if k.count("/") == depth) + " ELSE 1 END" if depth < 2 else "1"
 
     def fill(name: str, source: str, parent: str, child: str, budget: str, weights: str) -> str:
@@ -115,8 +116,8 @@ WITH base AS (
          coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
 leaf AS (
-  SELECT domain, lang, source, sum(n_tokens)::BIGINT AS avail, (sum(n_tokens) * {MIX_EPOCHS})::BIGINT AS cap FROM base GROUP BY ALL),
-{fill("dom", f"SELECT domain, domain AS path, sum(cap)::BIGINT AS cap, 0 AS root, (SELECT sum(avail) * {MIX_SHARE[0]} // {MIX_SHARE[1]} FROM leaf)::BIGINT AS b FROM leaf GROUP BY domain", "root", "domain", "b", weight(0))},
+  SELECT domain, lang, source, sum(n_tokens)::BIGINT AS avail, (sum(n_tokens) * {epochs})::BIGINT AS cap FROM base GROUP BY ALL),
+{fill("dom", f"SELECT domain, domain AS path, sum(cap)::BIGINT AS cap, 0 AS root, (SELECT sum(avail) * {share[0]} // {share[1]} FROM leaf)::BIGINT AS b FROM leaf GROUP BY domain", "root", "domain", "b", weight(0))},
 {fill("lng", "SELECT domain, lang, domain || '/' || lang AS path, sum(leaf.cap)::BIGINT AS cap, any_value(dom_budget) AS b FROM leaf JOIN (SELECT domain, dom_budget FROM dom) USING (domain) GROUP BY domain, lang", "domain", "lang", "b", weight(1))},
 {fill("src", "SELECT leaf.*, b FROM leaf JOIN (SELECT domain, lang, lng_budget AS b FROM lng) USING (domain, lang)", "domain, lang", "source", "b", weight(2))},
 picked AS (
@@ -161,7 +162,7 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5""",
-    "op5_mixing": _mix_sql(),
+    "op5_mixing": mix_sql(),
     "op9_chat": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
