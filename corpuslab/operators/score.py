@@ -118,8 +118,9 @@ def mean_pair_similarity(weights: DataFrame, side: DataFrame, key: str) -> DataF
 def hash_embedding(texts: DataFrame, key: str, dims: int) -> DataFrame:
     """(key, dim, value): each distinct word adds +1 or -1 to one dimension, by its hash; scaled to length 1."""
     w = F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda x: x != "")).alias("w")
-    h = F.xxhash64("w")
-    rows = texts.select(key, w).select(key, F.pmod(h, F.lit(dims)).alias("dim"), F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s"))
+    h = F.md5(F.col("w").cast("binary"))
+    digits = lambda at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long")
+    rows = texts.select(key, w).select(key, (digits(1, 8) % dims).cast("int").alias("dim"), F.when(digits(9, 1) < 8, 1.0).otherwise(-1.0).alias("s"))
     sums = rows.groupBy(key, "dim").agg(F.sum("s").alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy(key)))
     return sums.select(key, "dim", F.coalesce(F.try_divide(F.col("v"), norm), F.lit(0.0)).alias("value"))

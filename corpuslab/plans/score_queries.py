@@ -304,7 +304,12 @@ def within_work_cosine(spark, d):
     return _r(both.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("work").agg(F.sum(F.col("a") * F.col("b")).alias("cosine")), "cosine")
 
 
-@q()
+@q(f"""WITH w AS (SELECT passage_id, md5(unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> ''))) AS h FROM ({PASSAGES})),
+v AS (SELECT passage_id, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS dim, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS v FROM w GROUP BY ALL),
+e AS (SELECT passage_id, dim, coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY passage_id)), 0), 0) AS e FROM v),
+side AS (SELECT passage_id, CASE WHEN role = 'target' THEN 'A' ELSE 'B' END AS side FROM ({ROLES})),
+sums AS (SELECT dim, coalesce(sum(e) FILTER (side = 'A'), 0) AS a, coalesce(sum(e) FILTER (side = 'B'), 0) AS b FROM e JOIN side USING (passage_id) GROUP BY dim)
+SELECT round(sum(a * b) / (SELECT count(*) FILTER (side = 'A') * count(*) FILTER (side = 'B') FROM side), 6) AS mean_similarity FROM sums""")
 def hash_embed_similarity(spark, d):
     e = X.hash_embedding(passages(spark, d), "passage_id", 64)
     side = roles(spark, d).select("passage_id", F.when(F.col("role") == "target", "A").otherwise("B").alias("side"))

@@ -259,12 +259,24 @@ def paragraphs(spark, d):
     return S.paragraphs(passages(spark, d), 40, r"\n")
 
 
-@q()
+def _packs_sql(close_at: int, keep_tail: int, longer_than: int = 0, noise: tuple = (), most_words: int = 1 << 30) -> str:
+    """The fold over sentences as a recursion: sentence i joins the open pack, which closes at close_at words."""
+    clean = "".join(f" AND NOT contains(lower(s), '{x}')" for x in noise)
+    return f"""
+WITH RECURSIVE se AS (SELECT passage_id, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda s: length(s) > {longer_than}{clean}) AS ss FROM ({PASSAGES})),
+c AS (SELECT passage_id, ss, list_transform(ss, lambda s: {_words.format('s')}) AS ws FROM se),
+f AS (SELECT passage_id, ws, 0::BIGINT AS i, 0::BIGINT AS words, 0::BIGINT AS open, 0::BIGINT AS own FROM c
+  UNION ALL SELECT passage_id, ws, i + 1, CASE WHEN words + ws[i + 1] >= {close_at} THEN 0 ELSE words + ws[i + 1] END, CASE WHEN words + ws[i + 1] >= {close_at} THEN open + 1 ELSE open END, open FROM f WHERE i < len(ws)),
+g AS (SELECT passage_id, own, string_agg(ss[i], ' ' ORDER BY i) AS pack, sum(f.ws[i]) AS words FROM f JOIN c USING (passage_id) WHERE i > 0 GROUP BY passage_id, own)
+SELECT passage_id, (row_number() OVER (PARTITION BY passage_id ORDER BY own) - 1)::INT AS n, pack FROM g WHERE (words >= {close_at} OR words >= {keep_tail}) AND words <= {most_words}"""
+
+
+@q(_packs_sql(60, 40))
 def pack_sentences(spark, d):
     return S.pack_sentences(passages(spark, d), 60, 40)
 
 
-@q()
+@q(_packs_sql(60, 60, 40, S.NOISE, 220))
 def carve_sentences(spark, d):
     return S.pack_sentences(passages(spark, d), 60, 60, longer_than=40, noise=S.NOISE, most_words=220)
 
