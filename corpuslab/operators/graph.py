@@ -118,15 +118,15 @@ def typed_multiset(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def typed_similarity(left: DataFrame, right: DataFrame, sizes_left: DataFrame, sizes_right: DataFrame) -> DataFrame:
-    """(a, b, raw, adjusted) of every left graph with every graph of the small right side.
+    """(a, b, raw, adjusted) of every left graph with every right one: the right side is the templates, or the same table.
 
     raw is the multiset Jaccard of typed relations (1 if both are empty); adjusted multiplies the ratios of the
     numbers of nodes and of edges (sizes: graph_id, n_nodes, n_edges), the smaller over the larger.
     """
     key = ["src_kind", "kind", "dst_kind"]
-    both = left.select(F.col("graph_id").alias("a"), *key, F.col("n").alias("na")).join(F.broadcast(right.select(F.col("graph_id").alias("b"), *key, F.col("n").alias("nb"))), key)
+    both = left.select(F.col("graph_id").alias("a"), *key, F.col("n").alias("na")).join(right.select(F.col("graph_id").alias("b"), *key, F.col("n").alias("nb")), key)
     inter = both.groupBy("a", "b").agg(F.sum(F.least("na", "nb")).alias("inter"))
-    pairs = sizes_left.select(F.col("graph_id").alias("a"), F.col("n_nodes").alias("an"), F.col("n_edges").alias("ae")).crossJoin(F.broadcast(sizes_right.select(F.col("graph_id").alias("b"), F.col("n_nodes").alias("bn"), F.col("n_edges").alias("be"))))
+    pairs = sizes_left.select(F.col("graph_id").alias("a"), F.col("n_nodes").alias("an"), F.col("n_edges").alias("ae")).crossJoin(sizes_right.select(F.col("graph_id").alias("b"), F.col("n_nodes").alias("bn"), F.col("n_edges").alias("be")))
     out = pairs.join(inter, ["a", "b"], "left").withColumn("inter", F.coalesce("inter", F.lit(0)))
     raw = F.coalesce(F.try_divide(F.col("inter"), F.col("ae") + F.col("be") - F.col("inter")), F.lit(1.0))
     ratio = lambda x, y: F.coalesce(F.try_divide(F.least(x, y), F.greatest(x, y)), F.lit(1.0))
@@ -146,7 +146,7 @@ def node_distances(left: DataFrame, right: DataFrame) -> DataFrame:
     right is a small set of templates.
     """
     r = right.select(F.col("graph_id").alias("b"), F.col("id").alias("b_id"), F.col("kind").alias("b_kind"), F.col("hist").alias("bh"))
-    rows = left.select(F.col("graph_id").alias("a"), F.col("id").alias("a_id"), F.col("kind").alias("a_kind"), F.col("hist").alias("ah")).crossJoin(F.broadcast(r))
+    rows = left.select(F.col("graph_id").alias("a"), F.col("id").alias("a_id"), F.col("kind").alias("a_kind"), F.col("hist").alias("ah")).crossJoin(r)
     total = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("bigint"), lambda s, v: s + v)
     keys = F.array_union(F.map_keys("ah"), F.map_keys("bh"))
     get = lambda m, k: F.coalesce(F.try_element_at(F.col(m), k), F.lit(0).cast("bigint"))
@@ -224,7 +224,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def overlap(left: DataFrame, right: DataFrame, edge_weight: float = 0.7) -> DataFrame:
     """(a, b, score) of (graph_id, edges array, nodes array): weighted edge-set and node-set Jaccard. right is small."""
-    pairs = left.select(F.col("graph_id").alias("a"), F.col("edges").alias("ea"), F.col("nodes").alias("na")).crossJoin(F.broadcast(right.select(F.col("graph_id").alias("b"), F.col("edges").alias("eb"), F.col("nodes").alias("nb"))))
+    pairs = left.select(F.col("graph_id").alias("a"), F.col("edges").alias("ea"), F.col("nodes").alias("na")).crossJoin(right.select(F.col("graph_id").alias("b"), F.col("edges").alias("eb"), F.col("nodes").alias("nb")))
     return pairs.select("a", "b", (edge_weight * jaccard(F.col("ea"), F.col("eb")) + (1 - edge_weight) * jaccard(F.col("na"), F.col("nb"))).alias("score"))
 
 

@@ -320,3 +320,10 @@ def test_value_bootstrap_is_a_bootstrap(spark):
         assert abs(r.lo - (0.4 - 1.96 * sd)) < 0.4 * sd and abs(r.hi - (0.4 + 1.96 * sd)) < 0.4 * sd
     again = stats.value_bootstrap(rows.repartition(7), F.col("g"), F.col("rate"), 400, "s").orderBy("by")
     assert again.collect() == stats.value_bootstrap(rows, F.col("g"), F.col("rate"), 400, "s").orderBy("by").collect()
+
+
+def test_retrieval_scores(spark):
+    typed = spark.createDataFrame([(1, 1, 1.0, 0.5), (1, 2, 0.4, 0.2), (2, 1, None, None)], "a long, b long, raw double, adjusted double")
+    aligned = spark.createDataFrame([(1, 1, 0.8), (2, 1, 0.4)], "a long, b long, alignment double")
+    got = {(r.a, r.b): round(r.score, 9) for r in graph.retrieval_scores(typed, aligned, 0.25, 0.75).collect()}
+    assert got == {(1, 1): 0.725, (1, 2): 0.05, (2, 1): 0.3}

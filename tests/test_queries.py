@@ -37,3 +37,19 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["svc_predict", "svc_predict_pairs", "logreg_predict", "logreg_predict_pairs"])
+def test_classifiers_on_held_out_rows(spark, name):
+    rows = QUERIES[name](spark, SF).collect()
+    truth = [r.truth for r in rows]
+    right = sum(r.truth == r.predicted for r in rows) / len(rows)
+    assert right > max(truth.count(x) for x in set(truth)) / len(rows) and right > 0.75
+
+
+def test_feature_classifier_and_margins(spark):
+    rows = QUERIES["feature_classifier"](spark, SF).collect()
+    truth = [r.truth for r in rows]
+    assert sum(r.truth == r.predicted for r in rows) >= max(truth.count(x) for x in set(truth))
+    m = QUERIES["svc_margins"](spark, SF).first()
+    assert m.n > 0 and 1 <= m.mean_rank < 2 and m.top2 > 0.8 and m.mean_margin > 0
