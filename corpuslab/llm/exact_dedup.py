@@ -18,6 +18,8 @@ from .common import collapse_space, hex_sha256, join_hot, materialize, partition
 
 #: Fingerprints that one filter holds at most before it is passed on: what a task keeps in memory.
 FILTER_CAPACITY = 1 << 20
+#: Repeated fingerprints are broadcast only if they are no more than this (8 MB); more are joined by a shuffle.
+BROADCAST_FINGERPRINTS = 1 << 20
 
 
 class CountingQuotientFilter:
@@ -27,13 +29,14 @@ class CountingQuotientFilter:
         self.q, self.occupied, self.run_ends, self.remainders, self.counts = q, occupied, run_ends, remainders, counts
 
     @classmethod
-    def build(cls, fingerprints: np.ndarray, counts: np.ndarray | None = None) -> CountingQuotientFilter:
-        """From uint64 fingerprints in any order; counts gives each one's multiplicity (1 each if None)."""
-        order = np.argsort(fingerprints, kind="stable")
-        fp = fingerprints[order]
-        n = np.ones(len(fp), np.int64) if counts is None else counts[order]
-        first = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]) if len(fp) else np.empty(0, np.int64)
-        fp, n = fp[first], np.add.reduceat(n, first) if len(first) else n
+    def build(cls, fingerprints: np.ndarray) -> CountingQuotientFilter:
+        """From uint64 fingerprints in any order."""
+        fp, n = np.unique(fingerprints, return_counts=True)
+        return cls.from_sorted(fp, n.astype(np.int64))
+
+    @classmethod
+    def from_sorted(cls, fp: np.ndarray, n: np.ndarray) -> CountingQuotientFilter:
+        """From sorted, distinct fingerprints and the count of each."""
         q = max(1, int(len(fp)).bit_length())
         quotient = (fp >> np.uint64(64 - q)).astype(np.int64)
         occupied = np.zeros(1 << q, bool)
@@ -49,11 +52,22 @@ class CountingQuotientFilter:
         run = np.cumsum(ends) - ends
         return (slots[run].astype(np.uint64) << np.uint64(64 - self.q)) | self.remainders
 
+    def merged(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """Both filters' sorted remainders, run by run in one pass; counts of equal fingerprints add up."""
+        one, two = self.fingerprints(), other.fingerprints()
+        at = np.searchsorted(one, two)  # where two's go among one's, both in order already
+        same = one[np.minimum(at, len(one) - 1)] == two if len(one) else np.zeros(len(two), bool)
+        counts = self.counts.copy()
+        counts[at[same]] += other.counts[same]
+        return self.from_sorted(np.insert(one, at[~same], two[~same]), np.insert(counts, at[~same], other.counts[~same]))
+
     @staticmethod
     def merge(filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        return CountingQuotientFilter.build(
-            np.concatenate([f.fingerprints() for f in filters]), np.concatenate([f.counts for f in filters])
-        )
+        """Two by two, so that each fingerprint is merged logarithmically often."""
+        filters = filters or [CountingQuotientFilter.build(np.empty(0, np.uint64))]
+        while len(filters) > 1:
+            filters = [a.merged(b) for a, b in zip(filters[::2], filters[1::2], strict=False)] + filters[len(filters) & ~1 :]
+        return filters[0]
 
 
 _FILTER = "block int, q int, occupied binary, run_ends binary, remainders binary, counts binary"
@@ -113,8 +127,11 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keys = materialize(source.select("doc_id", F.xxhash64(norm).alias("fp"), hex_sha256(norm).alias("text_sha256")))
     total = keys.count()
     repeated = materialize(repeated_fingerprints(keys.select("fp"), total))
-    suspects = join_hot(keys, repeated, ["fp"], "n", total).select(F.col("doc_id").alias("sid")).distinct()
-    texts = source.join(suspects, source.doc_id.eqNullSafe(suspects.sid), "left_semi")
+    texts = source.withColumn("fp", F.xxhash64(norm))
+    if repeated.count() <= BROADCAST_FINGERPRINTS:
+        texts = texts.join(F.broadcast(repeated.select("fp")), "fp", "left_semi")  # no text moves that none may equal
+    else:
+        texts = join_hot(texts, repeated, ["fp"], "n", total)
     # Bytes decide: the key is the normalised text itself, combined before it is shuffled.
     same = texts.groupBy(norm.alias("t")).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = materialize(same.filter("group_size > 1").select(hex_sha256(F.col("t")).alias("text_sha256"), "keep_id", "group_size"))

@@ -1,9 +1,12 @@
 """Line deduplication with two Bloom filters.
 
-Tasks fill two blocked Bloom filters with the hashes of their lines: one for hashes seen once, one for hashes seen
-in a second document. Block by block they are merged on the executors; a slot that two tasks saw once is seen twice.
-The twice-seen filter has a fixed largest size and is broadcast. Only lines that it suspects are shuffled, to be
-confirmed exactly by their own characters.
+One blocked Bloom filter is for hashes of lines seen once, the other for hashes seen in a second document. A slot that
+is seen once twice is seen twice. Only lines that the twice-seen filter suspects are shuffled, to be confirmed exactly
+by their own characters.
+
+Where the twice-seen filter is small, tasks fill filters of their own, these are merged block by block on the
+executors, and the merged filter is broadcast. Where it would be larger than MAX_FILTER_BITS, both filters are
+partitioned by ranges of the hash, and the lines' hashes go to their range; the filters then stay where they are.
 """
 
 from __future__ import annotations
@@ -14,19 +17,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, LOWER, UPPER, bound_batches, join_hot, materialize
+from .common import ASCII_SPACE, join_hot, materialize, slices, trim_memory
 
 BLOCK_BITS = 1 << 16
-#: The broadcast filter has at most so many bits (32 MB). Beyond its capacity more lines are suspects; none is lost.
+#: A filter is broadcast only if it has at most so many bits (32 MB); a larger one is partitioned.
 MAX_FILTER_BITS = 1 << 28
 BITS_A_DOCUMENT = 256
-
-
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(ASCII_SPACE)), UPPER, LOWER)
+#: Bits of each range of a partitioned filter, and so documents a range on average.
+RANGE_BITS = 1 << 24
 
 
 def _keys(batch: pa.RecordBatch, min_chars: int) -> tuple[np.ndarray, pa.Array]:
@@ -39,9 +40,12 @@ def _keys(batch: pa.RecordBatch, min_chars: int) -> tuple[np.ndarray, pa.Array]:
     return pairs["row"].to_numpy().astype(np.int64), pairs["key"].combine_chunks()
 
 
-def _slots(keys: pa.Array, bits: int) -> np.ndarray:
-    """Two bits of one block for each key, as numbers below ``bits``."""
-    h = np.fromiter((xxhash.xxh64_intdigest(k.as_buffer()) if k.as_buffer() else xxhash.xxh64_intdigest(b"") for k in keys), np.uint64, len(keys))
+def _hashes(keys: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(k.as_buffer()) if k.as_buffer() else xxhash.xxh64_intdigest(b"") for k in keys), np.uint64, len(keys))
+
+
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+    """Two bits of one block for each hash, as numbers below ``bits``."""
     block = (h >> np.uint64(32)) % np.uint64(bits // BLOCK_BITS) * np.uint64(BLOCK_BITS)
     return np.stack([block + (h & np.uint64(0xFFFF)), block + (h >> np.uint64(16) & np.uint64(0xFFFF))]).astype(np.int64)
 
@@ -54,33 +58,44 @@ def _set(filter_: np.ndarray, slots: np.ndarray) -> None:
     np.bitwise_or.at(filter_, slots.ravel() >> 3, (128 >> (slots.ravel() & 7)).astype(np.uint8))
 
 
+def _see(once: np.ndarray, twice: np.ndarray, h: np.ndarray, n: np.ndarray, bits: int) -> None:
+    """Enter distinct hashes, each with the documents that it was just found in, into both filters."""
+    s = _slots(h, bits)
+    again = (n > 1) | _both(once, s)  # both bits were set before: perhaps a second document
+    _set(twice, s[:, again])
+    _set(once, s)
+
+
+def _counted(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    return h[first], np.add.reduceat(n, first) if len(h) else n
+
+
 def _fill(bits: int, min_chars: int):
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
+        for batch in slices(batches, 1):
             _, keys = _keys(batch, min_chars)
-            if not len(keys):
-                continue
-            counts = pc.value_counts(keys)
-            s = _slots(counts.field("values"), bits)
-            again = counts.field("counts").to_numpy() > 1
-            again |= _both(once, s)  # both bits were set before: perhaps a second document
-            _set(twice, s[:, again])
-            _set(once, s)
-        for name, held in (("once", once), ("twice", twice)):
-            at = np.concatenate([k + np.flatnonzero(np.unpackbits(held[k // 8 : (k + (1 << 24)) // 8])) for k in range(0, bits, 1 << 24)])
-            block = at // BLOCK_BITS
-            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(block)) + 1):
-                if len(part):
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([block[part[0]]], pa.int32()), "twice": [name == "twice"], "bits": [(at[part] % BLOCK_BITS).astype(np.uint16).tobytes()]})
+            if len(keys):
+                h = _hashes(keys)
+                _see(once, twice, *_counted(h, np.ones(len(h), np.int64)), bits)
+        for is_twice, held in ((False, once), (True, twice)):
+            for block, own in enumerate(held.reshape(-1, BLOCK_BITS // 8)):
+                if own.any():
+                    at = np.flatnonzero(np.unpackbits(own)).astype(np.uint16)
+                    dense = 2 * len(at) >= len(own)
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "twice": [is_twice], "dense": [dense], "bits": [own.tobytes() if dense else at.tobytes()]})
+        trim_memory()
 
     return fill
 
 
 def _merge(table: pa.Table) -> pa.Table:
     once, twice = np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS, bool)
-    for is_twice, bits in zip(table["twice"].to_pylist(), table["bits"].to_pylist(), strict=True):
-        at = np.frombuffer(bits, np.uint16)
+    for is_twice, dense, bits in zip(table["twice"].to_pylist(), table["dense"].to_pylist(), table["bits"].to_pylist(), strict=True):
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))) if dense else np.frombuffer(bits, np.uint16)
         if is_twice:
             twice[at] = True
         else:
@@ -92,31 +107,81 @@ def _merge(table: pa.Table) -> pa.Table:
 def _suspects(held, bits: int, min_chars: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(held.value, np.uint8)
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows, keys = _keys(batch, min_chars)
-            if not len(keys):
-                continue
-            s = _slots(keys, bits)
-            hit = pa.array(_both(twice, s))
-            yield pa.RecordBatch.from_arrays([pc.take(batch.column("doc_id"), pa.array(rows)).filter(hit), keys.filter(hit)], ["doc_id", "key"])
+            if len(keys):
+                hit = pa.array(_both(twice, _slots(_hashes(keys), bits)))
+                yield pa.RecordBatch.from_arrays([pc.take(batch.column("doc_id"), pa.array(rows)).filter(hit), keys.filter(hit)], ["doc_id", "key"])
+        trim_memory()
 
     return find
 
 
-def suspected_lines(documents: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, key) of the lines that may stand in a second document; holds every line that does."""
-    spark = bound_batches(documents).sparkSession
-    n = max(1, documents.count())
-    bits = min(MAX_FILTER_BITS, max(1 << 20, 1 << (n * BITS_A_DOCUMENT - 1).bit_length()))
-    filled = documents.mapInArrow(_fill(bits, min_chars), "block int, twice boolean, bits binary")
+def _by_broadcast(documents: DataFrame, min_chars: int, bits: int) -> DataFrame:
+    filled = documents.mapInArrow(_fill(bits, min_chars), "block int, twice boolean, dense boolean, bits binary")
     merged = filled.groupBy("block").applyInArrow(_merge, "block int, bits binary")
-    twice = bytearray(bits // 8)  # at most MAX_FILTER_BITS / 8, whatever the input
+    twice = bytearray(bits // 8)  # at most MAX_FILTER_BITS / 8
     for block, found in merged.toLocalIterator():
         twice[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = found
-    held = spark.sparkContext.broadcast(bytes(twice))
+    held = documents.sparkSession.sparkContext.broadcast(bytes(twice))
     return documents.mapInArrow(_suspects(held, bits, min_chars), documents.select("doc_id", F.lit("").alias("key")).schema)
 
 
+def _by_ranges(documents: DataFrame, min_chars: int, bits: int) -> DataFrame:
+    ranges, own = -(-bits // RANGE_BITS), max(RANGE_BITS, BLOCK_BITS)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n, held = np.empty(0, np.uint64), np.empty(0, np.int64), []
+        for batch in slices(batches, 1):
+            held.append(_hashes(_keys(batch, min_chars)[1]))
+            if sum(map(len, held)) > 1 << 20:
+                more = np.concatenate(held)
+                h, n = _counted(np.concatenate([h, more]), np.concatenate([n, np.ones(len(more), np.int64)]))
+                held.clear()
+        more = np.concatenate([np.empty(0, np.uint64), *held])
+        h, n = _counted(np.concatenate([h, more]), np.concatenate([n, np.ones(len(more), np.int64)]))
+        for at in range(0, len(h), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(h[at : at + (1 << 16)].view(np.int64)), pa.array(n[at : at + (1 << 16)])], ["h", "n"])
+        trim_memory()
+
+    def suspects(table: pa.Table) -> pa.Table:
+        once, twice = np.zeros(own // 8, np.uint8), np.zeros(own // 8, np.uint8)
+        h, n = _counted(table["h"].to_numpy().view(np.uint64), table["n"].to_numpy())
+        for at in range(0, len(h), 1 << 16):
+            _see(once, twice, h[at : at + (1 << 16)], n[at : at + (1 << 16)], own)
+        hit = _both(twice, _slots(h, own))
+        trim_memory()
+        return pa.table({"h": h[hit].view(np.int64), "n": n[hit]})
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            rows, keys = _keys(batch, min_chars)
+            yield pa.RecordBatch.from_arrays([pc.take(batch.column("doc_id"), pa.array(rows)), pa.array(_hashes(keys).view(np.int64))], ["doc_id", "h"])
+        trim_memory()
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            rows, keys = _keys(batch, min_chars)
+            wanted = [set(x or ()) for x in batch.column("hs").to_pylist()]
+            hit = pa.array([h in wanted[r] for r, h in zip(rows.tolist(), _hashes(keys).view(np.int64).tolist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pc.take(batch.column("doc_id"), pa.array(rows)).filter(hit), keys.filter(hit)], ["doc_id", "key"])
+        trim_memory()
+
+    # a task sends each hash once, with its number of documents, so that no range gets a common line's documents
+    seen = documents.mapInArrow(counted, "h long, n long").withColumn("range", F.pmod(F.xxhash64("h"), F.lit(ranges)))
+    found = materialize(seen.groupBy("range").applyInArrow(suspects, "h long, n long"))
+    lines = documents.mapInArrow(hashes, documents.select("doc_id", F.lit(0).cast("long").alias("h")).schema)
+    by = join_hot(lines, found, ["h"], "n", found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
+    return documents.join(by, "doc_id").select("doc_id", "text", "hs").mapInArrow(texts, documents.select("doc_id", F.lit("").alias("key")).schema)
+
+
+def suspected_lines(documents: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, key) of the lines that may stand in a second document; holds every line that does."""
+    n = max(1, documents.count())
+    bits = max(1 << 20, 1 << (n * BITS_A_DOCUMENT - 1).bit_length())
+    return (_by_broadcast if bits <= MAX_FILTER_BITS else _by_ranges)(documents, min_chars, bits)
+
+
 def line_dedup(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Each row's (id, n_lines long, n_dropped long, kept string): its text without lines that other documents hold.
     With carry, also ``row``: a struct of all columns of the input row.
@@ -131,15 +196,29 @@ def line_dedup(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, id_
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
     suspects = materialize(suspected_lines(source.select("doc_id", "text").filter("doc_id IS NOT NULL"), min_chars).dropDuplicates(["doc_id", "key"]))
     total = suspects.count()
-    found = suspects.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
-    repeated = materialize(found.filter(F.col("docs") >= min_docs))
-    drops = join_hot(suspects, repeated, ["key"], "docs", total).filter("doc_id <> last")
+    found = suspects.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")).filter(F.col("docs") >= min_docs)
+    repeated = materialize(found.select(F.sha2("key", 256).alias("digest"), "docs", "last"))  # narrow, however long the line
+    drops = join_hot(suspects.withColumn("digest", F.sha2("key", 256)), repeated, ["digest"], "docs", total).filter("doc_id <> last")
     dropped = drops.groupBy("doc_id").agg(F.collect_list("key").alias("drops"))
-    rows = source.join(dropped, "doc_id", "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("drops", line_key(x))))
-    rows = rows.select("doc_id", lines.alias("lines"), kept.alias("kept"), *["row"] * carry)
-    return rows.select(
-        "doc_id", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
-        F.array_join("kept", "\n").alias("kept"), *["row"] * carry,
-    )
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            kept, n_lines, n_dropped = [], [], []
+            for text, drops in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                text = text or ""
+                lost = 0
+                n_lines.append(text.count("\n") + 1)
+                if drops:
+                    gone = {x.encode() for x in drops}
+                    lines = text.split("\n")
+                    own = [x for x in lines if x.encode().strip(b" \t\n\v\f\r").lower() not in gone]
+                    text, lost = "\n".join(own), len(lines) - len(own)
+                kept.append(text)
+                n_dropped.append(lost)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string()), *batch.columns[3:]], names)
+        trim_memory()
+
+    names = ["doc_id", "n_lines", "n_dropped", "kept", *["row"] * carry]
+    rows = source.join(dropped, "doc_id", "left").select("doc_id", "text", "drops", *["row"] * carry)
+    long = F.lit(0).cast("long")
+    return rows.mapInArrow(keep, rows.select("doc_id", long.alias("n_lines"), long.alias("n_dropped"), F.lit("").alias("kept"), *["row"] * carry).schema)

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from corpuslab.llm import line_dedup as LD
 from corpuslab.llm import suffix_dedup as SD
+from corpuslab.llm import topk_search as TK
 from corpuslab.llm.bpe import ByteBPE, PerfectHash, bpe_decode, bpe_encode
 from corpuslab.llm.chat import chat_format, loss_text, parse, rows_to_events
 from corpuslab.llm.components import components
@@ -141,6 +142,32 @@ def test_top_k_against_brute_force(spark):
     assert exact_top_k(items.limit(0), items.limit(0)).count() == 0
 
 
+def test_top_k_cases(spark):
+    data = [(i, [1.0, 0.0]) for i in range(12)] + [(50, [0.5, 0.5]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    for name in ("v", "t", "g", "dims", "s", "n", "own", "least", "first", "block"):
+        df = df.withColumn(name, F.lit("clash"))
+    items = quantize(df)
+    got = exact_top_k(items, items.filter("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect()
+    # ties at every rank: the smaller ids
+    assert [tuple(r) for r in got] == [(0, r, r, 65536) for r in range(1, 6)] + [(50, r, r - 1, 32768) for r in range(1, 6)]
+    few = items.filter("vec_id IN (0, 50)")
+    assert [tuple(r) for r in exact_top_k(few, few, 5).orderBy("query_id").collect()] == [(0, 1, 50, 32768), (50, 1, 0, 32768)]
+
+
+def test_top_k_rounds_over_many_groups(spark, monkeypatch):
+    for name, value in {"BLOCK": 4, "GROUP": 2, "TILE": 3, "SUMMARIES": 2}.items():
+        monkeypatch.setattr(TK, name, value)
+    rng = random.Random(5)
+    data = [(i, [float(rng.randint(-9, 9)) for _ in range(rng.choice((3, 4)))]) for i in range(90)]
+    items = quantize(spark.createDataFrame(data, "vec_id long, embedding array<double>"), 1)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in exact_top_k(items, items.filter("vec_id % 4 = 0"), 3).collect()}
+    for q, v in data[::4]:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in data if i != q)[:3]
+        assert [got.pop((q, r)) for r in (1, 2, 3)] == [(i, -x) for x, i in best]
+    assert not got
+
+
 def brute_spans(docs, length):
     first = {}
     raw = sorted((i, t.encode()) for i, t in docs)
@@ -234,6 +261,16 @@ def test_byte_bpe_equals_the_library(spark):
     assert bpe_encode(df.limit(0), bpe).count() == 0
 
 
+def test_tokens_of_odd_rows(odd):
+    word, byte = WordBPE.from_file(P.path("word_bpe_49k.json")), ByteBPE.from_file(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    df = odd.withColumns({x: F.lit("clash") for x in ("ids", "decoded", "n_bytes", "over_limit")})
+    counts, ids = token_counts(df, word).collect(), bpe_encode(df, byte, decoded=True).collect()
+    assert len(counts) == len(ids) == len(ODD)
+    texts = Counter((i, (t or "").encode()) for i, t, _, _ in ODD)
+    assert Counter((r.doc_id, bytes(r.decoded)) for r in ids) == texts and Counter((r.doc_id, r.n_bytes) for r in counts) == Counter((i, len(t)) for i, t in texts.elements())
+    assert {r.doc_id: r.over_limit for r in counts}[8] and next(r for r in counts if r.doc_id == 13).n_tokens > 1
+
+
 def test_language_id_on_held_out_rows(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id(df).join(df.select("doc_id", "lang", F.length("text").alias("n")), "doc_id").collect()
@@ -344,6 +381,13 @@ def test_chat_folds_events(spark):
     assert chat_format(events.limit(0)).count() == 0
 
 
+def test_chat_of_a_very_long_conversation(spark):
+    rows = spark.range(3000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat(concat('<', id, '> '), 50) AS text")
+    out = chat_format(rows_to_events(rows)).select("n_turns", parse(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert out.n_turns == 3000 and [t.text for t in out.turns] == [f"<{i}> " * 50 for i in range(3000)]
+    assert out.loss == "".join(f"<{i}> " * 50 for i in range(1, 3000, 2))
+
+
 def test_chat_round_trip_of_strange_texts(spark):
     texts = [t for t in strange(100)] + ["\\### Assistant: </turn> ok", "\\b\\l\\g", "<turn user>\nx\n</turn>\n", "", None]
     data = [(i // 3, i % 3, random.Random(i).choice(["user", "assistant", None, "a<b>\\"]), t) for i, t in enumerate(texts)]
