@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuslab.llm.bpe import ByteBPE, bpe_decode, bpe_encode
-from corpuslab.llm.common import hex_sha256, materialize
+from corpuslab.llm.bpe import ByteBPE, bpe_encode
+from corpuslab.llm.common import hex_sha256, materialize, one_row_per_id
 from corpuslab.llm.language_id import UNKNOWN, held_out, predict_language, train_language_id
 from corpuslab.llm.line_dedup import line_dedup
 from corpuslab.llm.minhash import near_dedup
@@ -37,11 +36,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates; documents without an id are not compared and stay."""
-    kept = near_dedup(docs).filter("kept").select("doc_id")
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("text")))
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("__rank", rank).filter("__rank = 1").select(*docs.columns)
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each class of near duplicates. Of rows that share an id the one that stands for them is taken
+    (``one_row_per_id``); documents without an id are not compared and stay."""
+    docs = one_row_per_id(docs, "doc_id", "text")
+    gone = near_dedup(docs).filter("NOT kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +53,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, exact): exact says that the ids decode to the text's own bytes."""
     bpe = ByteBPE.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     row = F.struct("doc_id", "lang", "source", hex_sha256(F.coalesce("text", F.lit(""))).alias("sha256")).alias("row")
-    out = bpe_decode(bpe_encode(docs.select(row, "text"), bpe, id_col="row"), bpe)
+    out = bpe_encode(docs.select(row, "text"), bpe, id_col="row", decoded=True)
     return out.select("doc_id.doc_id", "doc_id.lang", "doc_id.source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("doc_id.sha256")).alias("exact"))
 
 
