@@ -184,9 +184,9 @@ def brute_spans(docs, length):
     return out
 
 
-@pytest.mark.parametrize(("hot", "fan"), [(32, 1024), (3, 4), (1, 2)])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot, fan):
-    for name, value in {"CELL": 4000, "BATCH": 500, "MOST": 2000, "BLOCK": 60, "BYTES": 700, "HOT": hot, "FAN": fan}.items():
+@pytest.mark.parametrize(("hot", "heavy", "fan"), [(512, 4096, 1024), (512, 60, 4), (3, 4096, 4), (1, 1, 2)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot, heavy, fan):
+    for name, value in {"HEAVY": heavy, "HEAVY_CELLS": 2, "CELL": 4000, "BATCH": 500, "MOST": 2000, "BLOCK": 60, "BYTES": 700, "HOT": hot, "FAN": fan}.items():
         monkeypatch.setattr(SD, name, value)
     docs = [*corpus(7), (2000, "a" * 300), (2001, "b" + "a" * 200), (2002, "é" * 60), (2003, "x" + "é" * 50 + "y"), (2004, "\0" * 120), (2005, "\0" * 80)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in SD.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
