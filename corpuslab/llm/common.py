@@ -114,6 +114,13 @@ def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total
     return a.unionByName(b)
 
 
+def without_hot(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """The rows whose key is not among groups, as ``join_hot`` would find them."""
+    least = max(total // HOT_KEYS, LEAST_HOT)
+    rest = rows.join(F.broadcast(groups.filter(F.col(size) >= least).select(*on)), on, "left_anti")
+    return rest.join(groups.filter(F.col(size) < least).select(*on), on, "left_anti").select(*rows.columns)
+
+
 def one_row_per_id(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows, but of those that share an id only one: the one with the greatest text, then the greatest row.
 

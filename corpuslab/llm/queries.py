@@ -14,6 +14,7 @@ from .language_id import language_id
 from .line_dedup import line_dedup
 from .minhash import near_dedup
 from .mixing import mix_sources
+from .spelling import spelling_variants
 from .suffix_dedup import suffix_dedup
 from .token_counts import WordBPE, token_counts
 from .topk_search import exact_top_k, quantize
@@ -93,7 +94,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_topk_search, op4_suffix_dedup, op5_mixing, op6_token_counts, op7_language_id, op8_near_dedup, op9_chat, op10_byte_bpe)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_topk_search, op4_suffix_dedup, op5_mixing, op6_token_counts, op7_language_id, op8_near_dedup, op9_chat, op10_byte_bpe, op13_spelling_variants)}
 
 def mix_sql(share: tuple[int, int] = MIX_SHARE, epochs: int = MIX_EPOCHS) -> str:
     """SQL for the mix of the table ``documents``."""

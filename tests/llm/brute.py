@@ -111,3 +111,39 @@ def language_id(docs):
         best = max(log, key=lambda x: (round(log[x], 6), [-ord(c) for c in x]))
         out[i] = held[i], best, float(1 / np.exp([x - max(log.values()) for x in log.values()]).sum())
     return out
+
+
+def word_counts(docs, least=7):
+    """Words of the texts of (id, text), with the letter that a slip takes, that occur twice at least."""
+    n = Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = "".join(x.lower() if x.isascii() else x for x in run)
+            if i is not None and (h := zlib.crc32(f"{i}:{w}".encode())) % 31 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            n[w] += 1
+    return {w: k for w, k in n.items() if len(w) >= least and k >= 2}
+
+
+def spelling(n):
+    """{word: (form, root, n, near words, n of the form)}; near words share what is left without one letter."""
+    holes = defaultdict(set)
+    for w in n:
+        for p in range(len(w)):
+            holes[w[:p] + w[p + 1 :], p].add(w)
+    near = defaultdict(set)
+    for (rest, _), ws in holes.items():
+        for w in ws:
+            near[w] |= ws - {w}
+            if rest in n and rest != w:
+                near[w].add(rest)
+                near[rest].add(w)
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 10 * n[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return {w: (form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n}

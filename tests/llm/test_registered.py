@@ -23,7 +23,7 @@ def documents(spark, sf, *columns):
 
 
 def test_every_query_has_sql_or_a_test_here():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"op4_suffix_dedup", "op6_token_counts", "op7_language_id", "op8_near_dedup", "op10_byte_bpe"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"op4_suffix_dedup", "op6_token_counts", "op7_language_id", "op8_near_dedup", "op10_byte_bpe", "op13_spelling_variants"}
 
 
 def test_op4(spark):
@@ -89,3 +89,9 @@ def test_normal_form_is_that_of_the_library():
     for m in [*later, "́", "̣", "ͅ"]:
         for text in (f"a{m}̣", f"á{m}̣", f"Σ{m}̴́", f"\U00011935{m}\U00011930́"):
             assert normal_form(text) == library.normalize_str(text)
+
+
+def test_op13(spark):
+    want = brute.spelling(brute.word_counts(documents(spark, LARGER, "text")))
+    got = QUERIES["op13_spelling_variants"](spark, LARGER).collect()
+    assert len(got) == len(want) and {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in got} == want
