@@ -96,6 +96,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = ROWS, siz
             yield batch.slice(start)
 
 
+def dense(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The rows of a list column of whole numbers as a matrix; shorter rows end in zeros."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    flat, size = column.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(size), int(size.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1]) < size[:, None]] = flat
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

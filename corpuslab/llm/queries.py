@@ -10,6 +10,7 @@ from .bpe import ByteBPE, bpe_encode
 from .chat import chat_format, loss_text, parse, rows_to_events
 from .common import hex_sha256, materialize
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives, labelled_vectors
 from .language_id import language_id
 from .line_dedup import line_dedup
 from .minhash import near_dedup
@@ -94,11 +95,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialize(labelled_vectors(_read(spark, sf_dir, "embeddings")))
+    return hard_negatives(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_topk_search, op4_suffix_dedup, op5_mixing, op6_token_counts, op7_language_id, op8_near_dedup, op9_chat, op10_byte_bpe, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_topk_search, op4_suffix_dedup, op5_mixing, op6_token_counts, op7_language_id, op8_near_dedup, op9_chat, op10_byte_bpe, op11_hard_negatives, op13_spelling_variants)}
 
 def mix_sql(share: tuple[int, int] = MIX_SHARE, epochs: int = MIX_EPOCHS) -> str:
     """SQL for the mix of the table ``documents``."""
@@ -167,6 +173,20 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10""",
     "op5_mixing": mix_sql(),
     "op9_chat": r"""
 WITH rows AS (

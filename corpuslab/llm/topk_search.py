@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +29,15 @@ SUMMARIES = 4096
 _PACKED = "dims int, ids binary, matrix binary, up binary, down binary"
 
 
+def whole_vectors(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", **others: Column) -> DataFrame:
+    """(vec_id long, others, v array<long>) with floor(scale * x) of each component, of every row with an id and a
+    vector that is not null and holds no null, NaN or infinity."""
+    x = F.col(vector_col).cast("array<double>")
+    good = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    v = F.transform(x, lambda c: F.floor(c * F.lit(float(scale))))
+    return vectors.filter(F.col(id_col).isNotNull() & good).select(F.col(id_col).cast("long").alias("vec_id"), *[c.alias(k) for k, c in others.items()], v.alias("v"))
+
+
 def quantize(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v array<long>) with floor(scale * x) of each component.
 
