@@ -19,6 +19,7 @@ from .spelling import spelling_variants
 from .suffix_dedup import suffix_dedup
 from .token_counts import WordBPE, token_counts
 from .topk_search import exact_top_k, quantize
+from .toxicity import toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -100,11 +101,15 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, rows.filter("vec_id % 100 = 0"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_topk_search, op4_suffix_dedup, op5_mixing, op6_token_counts, op7_language_id, op8_near_dedup, op9_chat, op10_byte_bpe, op11_hard_negatives, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_topk_search, op4_suffix_dedup, op5_mixing, op6_token_counts, op7_language_id, op8_near_dedup, op9_chat, op10_byte_bpe, op11_hard_negatives, op12_toxicity, op13_spelling_variants)}
 
 def mix_sql(share: tuple[int, int] = MIX_SHARE, epochs: int = MIX_EPOCHS) -> str:
     """SQL for the mix of the table ``documents``."""

@@ -23,7 +23,7 @@ def documents(spark, sf, *columns):
 
 
 def test_every_query_has_sql_or_a_test_here():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"op4_suffix_dedup", "op6_token_counts", "op7_language_id", "op8_near_dedup", "op10_byte_bpe", "op13_spelling_variants"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"op4_suffix_dedup", "op6_token_counts", "op7_language_id", "op8_near_dedup", "op10_byte_bpe", "op12_toxicity", "op13_spelling_variants"}
 
 
 def test_op4(spark):
