@@ -12,6 +12,7 @@ from ..operators import graph as G
 from ..operators import learn as L
 from ..operators import score as X
 from ..operators import select as Sel
+from ..operators import setjoin as J
 from ..operators import stats as I
 from . import Registry
 from .audit_queries import SPLIT, _d, _split
@@ -208,6 +209,53 @@ def graph_overlap(spark, d):
     return _r(G.overlap(g, g.filter(f"graph_id <= {TEMPLATES}")), "score")
 
 
+# All order graphs with each other: graphs of equal relations and sizes are one class, whose least graph stands for it.
+
+_CL = f"""{_GN}, {_MS}, sz AS (SELECT graph_id, n_nodes, n_edges FROM (SELECT graph_id, count(*) AS n_nodes FROM nd GROUP BY ALL) JOIN (SELECT graph_id, count(*) AS n_edges FROM ed GROUP BY ALL) USING (graph_id)),
+ks AS (SELECT graph_id, list_sort(list(concat_ws('|', src_kind, kind, dst_kind, n))) AS k FROM ms GROUP BY graph_id),
+mem AS (SELECT graph_id, min(graph_id) OVER (PARTITION BY k, n_nodes, n_edges) AS class_id FROM ks JOIN sz USING (graph_id)),
+cm AS (SELECT * FROM ms WHERE graph_id IN (SELECT class_id FROM mem)), ci AS (SELECT x.graph_id AS a, y.graph_id AS b, sum(least(x.n, y.n))::BIGINT AS i FROM cm x JOIN cm y USING (src_kind, kind, dst_kind) GROUP BY ALL),
+cr AS (SELECT a, b, i / (x.n_edges + y.n_edges - i) AS raw, least(x.n_nodes, y.n_nodes) / greatest(x.n_nodes, y.n_nodes) AS rn, least(x.n_edges, y.n_edges) / greatest(x.n_edges, y.n_edges) AS re FROM ci JOIN sz x ON x.graph_id = a JOIN sz y ON y.graph_id = b),
+ca AS (SELECT a, b, raw, raw * rn * re AS adjusted FROM cr)"""
+#: Similarity of linked classes, and of linked literal graphs.
+TYPED_LINK, LITERAL_LINK = 0.6, 0.5
+
+
+def _typed_classes(spark, d):
+    nodes, edges = _order_graphs(spark, d)
+    return J.set_classes(G.typed_multiset(edges, nodes), "graph_id", ["src_kind", "kind", "dst_kind"], "n", _sizes(nodes, edges), ["n_nodes", "n_edges"])
+
+
+@q(f"WITH {_CL} SELECT * FROM mem")
+def typed_classes(spark, d):
+    return _typed_classes(spark, d)[1]
+
+
+@q(f"WITH {_CL} SELECT a, b, round(raw, 6) AS raw, round(adjusted, 6) AS adjusted FROM ca WHERE a < b AND adjusted >= {TYPED_LINK} - 1e-9")
+def typed_links(spark, d):
+    classes, _ = _typed_classes(spark, d)
+    return _r(J.similar_classes(classes, classes, TYPED_LINK, ["n_nodes", "n_edges"], same=True).select("a", "b", "raw", "adjusted"), "raw", "adjusted")
+
+
+@q(f"""WITH {_CL}, off AS (SELECT class_id, graph_id AS other FROM mem QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY graph_id) <= 4),
+be AS (SELECT a, other, adjusted FROM ca JOIN off ON class_id = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY adjusted DESC, other) <= 4)
+SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY adjusted DESC, other)::INT AS rank, other, round(adjusted, 6) AS adjusted FROM mem JOIN be ON a = class_id WHERE other <> graph_id QUALIFY rank <= 3""")
+def typed_nearest(spark, d):
+    classes, members = _typed_classes(spark, d)
+    return _r(J.nearest_sets(classes, members, "graph_id", 3, ["n_nodes", "n_edges"]), "adjusted")
+
+
+@q(f"""WITH {_GN}, e AS (SELECT graph_id, source || kind || target AS x FROM ed), n AS (SELECT graph_id, kind || id AS x FROM nd), es AS (SELECT graph_id, count(*) AS k FROM e GROUP BY ALL), ns AS (SELECT graph_id, count(*) AS k FROM n GROUP BY ALL),
+ei AS (SELECT p.graph_id AS a, q.graph_id AS b, count(*) AS i FROM e p JOIN e q ON p.x = q.x AND p.graph_id < q.graph_id GROUP BY ALL),
+ej AS (SELECT a, b, i / (x.k + y.k - i) AS je FROM ei JOIN es x ON x.graph_id = a JOIN es y ON y.graph_id = b WHERE 0.7 * (i / (x.k + y.k - i)) + 0.3 >= {LITERAL_LINK} - 1e-9),
+ni AS (SELECT a, b, any_value(je) AS je, count(q.x) AS i FROM ej JOIN n p ON p.graph_id = a LEFT JOIN n q ON q.graph_id = b AND q.x = p.x GROUP BY ALL)
+SELECT a, b, round(0.7 * je + 0.3 * (i / (x.k + y.k - i)), 6) AS score FROM ni JOIN ns x ON x.graph_id = a JOIN ns y ON y.graph_id = b WHERE 0.7 * je + 0.3 * (i / (x.k + y.k - i)) >= {LITERAL_LINK} - 1e-9""")
+def overlap_links(spark, d):
+    nodes, edges = _order_graphs(spark, d)
+    g = edges.groupBy("graph_id").agg(F.collect_set(F.concat("source", "kind", "target")).alias("edges")).join(nodes.groupBy("graph_id").agg(F.collect_set(F.concat("kind", "id")).alias("nodes")), "graph_id")
+    return _r(J.overlap_links(g, None, LITERAL_LINK), "score")
+
+
 _LABELS = ("license", "tion", "und", "que", "ther", "eau", "ción")
 
 
