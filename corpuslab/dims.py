@@ -198,6 +198,74 @@ METAPHYSICAL_CUES = (
     ("M03", r"\b(unknown|unknowable) to (the )?senses\b"),
 )
 
+# Modern physics words whose number in a translation is counted.
+MODERN_LEXICON = (
+    "energy", "field", "vibration", "particle", "atom", "frequency", "information", "dimension", "quantum", "wave",
+    "spectrum", "force", "matter", "space-time", "spacetime",
+)
+
+# Words that are masked, and whose density is measured.
+MASK_TERMS = ("atom", "particle", "wave", "field", "energy", "quantum", "vibration", "ether", "aether", "space", "force")
+
+# Words that give a text's class away.
+GIVEAWAY_TERMS = (
+    "quantum", "relativity", "relativistic", "newton", "newtonian", "maxwell", "entropy", "thermodynamic", "thermodynamics",
+    "photon", "electron", "hilbert", "schrödinger", "schrodinger", "spacetime", "electromagnetic", "electromagnetism",
+    "einstein", "planck", "bohr",
+)
+
+# Keywords of the 17 features of the lexical proxy.
+FEATURE_KEYWORDS = (
+    ("O02", ("mass", "particle", "atom", "constituent", "corpuscle")),
+    ("O04", ("field", "medium", "wave")),
+    ("O06", ("entropy", "equilibrium", "macroscopic", "temperature", "thermal")),
+    ("D01", ("force", "acceleration", "motion", "orbit", "heat flow", "heat flows")),
+    ("D02", ("conserv", "first law", "energy transfer", "work and heat")),
+    ("D04", ("equation", "law", "maxwell", "lagrangian")),
+    ("D05", ("irreversible", "reversible", "equilibrium", "state variable")),
+    ("F01", ("field",)),
+    ("F02", ("electromagnetic", "electric", "magnetic", "maxwell")),
+    ("F03", ("light", "radiation")),
+    ("F07", ("quantized", "quantum field", "fock", "excitation")),
+    ("Q01", ("operator", "eigen", "superposition", "born")),
+    ("Q03", ("planck", "discrete spectra", "ħ", "hbar")),
+    ("Q06", ("entangle",)),
+    ("Q08", ("creation", "annihilation", "fock", "quantized field")),
+    ("R01", ("field", "mediate", "interaction")),
+    ("M03", ("statistical", "entropy", "ignorance", "macroscopic")),
+)
+
+# Vocabulary of the classes next to each class.
+NEIGHBOUR_TERMS = (
+    ("newtonian", ("entropy", "electromagnetic", "quantum", "relativity", "spacetime")),
+    ("thermodynamics", ("quantum", "photon", "relativity", "maxwell equation")),
+    ("classical_em", ("photon", "quantum", "relativity", "entropy")),
+    ("relativity", ("newton", "quantum", "photon", "entropy")),
+    ("quantum_mechanics", ("classical limit", "maxwell", "newtonian", "thermodynamic")),
+    ("quantum_field_theory", ("classical electromagnetism", "maxwell", "newton")),
+    ("atomistic_corpuscular", ("quantum", "relativity", "electromagnetic field")),
+)
+
+# Keywords of a page's name that tell its class, in the order in which they are tried; "^" begins the name.
+PAGE_RULES = (
+    ("quantum_field_theory", ("^11-", "particle-physics", "quark", "standard-model", "gauge", "boson")),
+    ("relativity", ("relativ", "special-relativity", "general-relativity")),
+    ("quantum_field_theory", ("quantum-field", "standard-model")),
+    ("quantum_mechanics", (
+        "quantum", "photoelectric", "bohr", "wave-function", "schrodinger", "heisenberg", "spin", "uncertainty",
+        "wave-particle", "tunneling", "harmonic-oscillator",
+    )),
+    ("thermodynamics", ("thermo", "entropy", "heat", "kinetic-theory", "ideal-gas")),
+    ("classical_em", (
+        "electric", "magnetic", "maxwell", "circuit", "capacit", "induct", "electromagnetic", "optics", "light", "wave",
+    )),
+    ("atomistic_corpuscular", ("atom", "nucleus", "radioactiv", "rutherford", "nuclear")),
+)
+
+# The class of a book's other pages, by a part of its name, and of the rest.
+BOOK_RULES = (("quantum_mechanics", ("volume-3",)), ("classical_em", ("volume-2",)))
+OTHER_PAGES = "newtonian"
+
 # The names of the robustness tests.
 ROBUSTNESS_TESTS = (
     "A_remove_unity_concepts", "B_remove_vibration_concepts", "C_remove_atomism", "D_remove_prana", "E_remove_akasa", "F_remove_brahman", "G_remove_sakti_spanda",
