@@ -42,12 +42,6 @@ def audit_status(duplicates: DataFrame, hard: DataFrame, issues: DataFrame) -> D
     return out.withColumn("status", status)
 
 
-def ids_in_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(anonymous_id, found_id): texts that hold one of the ids as a word. Words are joined by equality."""
-    w = F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}_]+"))).alias("found_id")
-    return texts.select("anonymous_id", w).join(ids.select(F.col("passage_id").cast("string").alias("found_id")), "found_id").select("anonymous_id", "found_id")
-
-
 def contamination_summary(rows: DataFrame, by: str) -> DataFrame:
     """(by, n, n_contaminated, rate, terms): per group, and for each strong term the passages that hold it."""
     base = rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if("contaminated").alias("n_contaminated"))

@@ -72,18 +72,6 @@ def anachronism_rows(passages: DataFrame, strong: Sequence[str] = STRONG_TERMS,
     })
 
 
-def lexicon_hits(passages: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """(passage_id, term, mentions) of the terms that occur, by substring."""
-    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), T.mentions(F.col("text"), t).alias("mentions")) for t in terms])).alias("h")
-    return passages.select("passage_id", rows).select("passage_id", "h.term", "h.mentions").filter("mentions > 0")
-
-
-def density(text: Column, terms: Sequence[str]) -> Column:
-    """Distinct terms found as words, over all words."""
-    found = reduce(lambda a, b: a + b, [text.rlike(rf"(?iu)\b{t}\b").cast("int") for t in terms])
-    return found / F.greatest(T.word_count(text), F.lit(1))
-
-
 def source_eligibility(sources: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:
     """Add status and reason: the first rule, in order, whose condition holds refuses the row."""
     reason = F.coalesce(*[F.when(cond, F.lit(name)) for name, cond in rules])
@@ -96,13 +84,6 @@ def first_matching(text: Column, rules: Sequence[tuple[str, Sequence[str]]], def
     return F.coalesce(*[F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in keys]), F.lit(label)) for label, keys in rules], F.lit(default))
 
 
-def vocabulary_features(passages: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(passage_id, feature_id, value 0/1): whether the text holds any of a feature's keywords (feature_id, keyword)."""
-    rows = passages.select("passage_id", F.lower("text").alias("__low")).join(F.broadcast(keywords), F.lit(True))
-    hit = F.max(F.contains("__low", "keyword").cast("int"))
-    return rows.groupBy("passage_id", "feature_id").agg(hit.alias("value"))
-
-
 def commentary_split(passages: DataFrame, marks: str) -> DataFrame:
     """Paragraphs that match ``marks`` on one side, the others on the other."""
     parts = F.filter(F.transform(F.split("text", r"\n"), lambda p: F.trim(p)), lambda p: p != "")

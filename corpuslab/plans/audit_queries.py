@@ -13,6 +13,7 @@ from ..operators import select as S
 from ..operators import stats as I
 from . import Registry
 from ..dims import ROBUSTNESS_TESTS
+from ..operators.lexicon import ids_in_texts
 from ..operators.annotate import annotate, label_value
 from .score_queries import ANN, CLASSICAL, CUE_ROWS, FEATURES, FP, QS, QUANTUM, annotations, fingerprints, qs, values
 from .score_queries import _r
@@ -72,15 +73,28 @@ def split_overlap(spark, d):
     return U.overlaps(s.withColumn("h", F.sha2("text", 256)), "h").unionByName(U.overlaps(s, "work", severity="WARN"))
 
 
-@q(f"""WITH a AS (SELECT 'PASSAGE_' || substr(sha256('pepper:' || passage_id), 1, 10) AS anonymous_id, passage_id, text FROM ({PASSAGES})),
-w AS (SELECT DISTINCT anonymous_id, unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+')) AS found_id FROM a)
-SELECT anonymous_id, 'true_id_in_text' AS issue, found_id AS detail FROM w WHERE found_id IN (SELECT passage_id::VARCHAR FROM a)
+@q(f"""WITH a AS (SELECT 'PASSAGE_' || substr(sha256('pepper:' || passage_id), 1, 10) AS anonymous_id, passage_id, text FROM ({PASSAGES}))
+SELECT x.anonymous_id, 'true_id_in_text' AS issue, y.passage_id::VARCHAR AS detail FROM a x JOIN a y ON contains(x.text, y.passage_id::VARCHAR)
+UNION ALL SELECT anonymous_id, 'anon_id_in_text', anonymous_id FROM a WHERE contains(text, anonymous_id)
 UNION ALL SELECT anonymous_id, 'label_leak', len(list_filter(['license', 'apache'], lambda p: regexp_matches(text, '(?i)' || p)))::VARCHAR FROM a WHERE regexp_matches(text, '(?i)license|apache')""")
 def blind_audit(spark, d):
     work, mapping = P.blind_passages(passages(spark, d), "pepper")
     leaks = P.detect_leaks(work, ("license", "apache")).filter(F.size("leaks") > 0)
-    a = U.ids_in_texts(work, mapping).select("anonymous_id", F.lit("true_id_in_text").alias("issue"), F.col("found_id").alias("detail"))
-    return a.unionByName(leaks.select("anonymous_id", F.lit("label_leak").alias("issue"), F.size("leaks").cast("string").alias("detail")))
+    issue = lambda rows, name, detail: rows.select("anonymous_id", F.lit(name).alias("issue"), detail.alias("detail"))
+    out = issue(ids_in_texts(work, mapping), "true_id_in_text", F.col("found_id"))
+    out = out.unionByName(issue(work.filter(F.contains("text", "anonymous_id")), "anon_id_in_text", F.col("anonymous_id")))
+    return out.unionByName(issue(leaks, "label_leak", F.size("leaks").cast("string")))
+
+
+#: Ids with punctuation: where a text's first sentence ends and the next begins.
+_PHRASE = "[a-z]+[.,!?] [A-Z]?[a-z]+"
+
+
+@q(f"""WITH i AS (SELECT DISTINCT regexp_extract(text, '{_PHRASE}') AS found_id FROM ({PASSAGES}))
+SELECT passage_id, found_id FROM ({PASSAGES}) JOIN i ON contains(text, found_id) WHERE found_id <> ''""")
+def phrases_in_texts(spark, d):
+    rows = passages(spark, d)
+    return ids_in_texts(rows, rows.select(F.regexp_extract("text", _PHRASE, 0).alias("phrase")), "passage_id", "phrase")
 
 
 _AN = f"SELECT *, list_filter({_arr(RARE)}, lambda t: contains(lower(text), t)) AS strong FROM ({PASSAGES})"

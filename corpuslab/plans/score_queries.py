@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import annotate as A
 from ..operators import passages as P
 from ..operators import score as X
+from ..operators.lexicon import keyword_features
 from . import Registry
 from .text_queries import _words
 from .views import PASSAGES, ROLES, passages, role_passages, roles, table
@@ -262,9 +263,9 @@ def embedding_cosine(spark, d):
 WITH k(feature_id, keyword) AS (VALUES ('K1', 'license'), ('K2', 'tion'), ('K3', 'und'), ('K4', 'eau'))
 SELECT conv_id AS panel, feature_id, max(contains(lower(text), keyword)::INT) AS value FROM conversations, k GROUP BY ALL""")
 def panel_vectors(spark, d):
-    k = spark.createDataFrame([("K1", "license"), ("K2", "tion"), ("K3", "und"), ("K4", "eau")], "feature_id string, keyword string")
     rows = table(spark, d, "conversations").withColumn("passage_id", F.struct("conv_id", "turn"))
-    return P.vocabulary_features(rows, k).groupBy(F.col("passage_id.conv_id").alias("panel"), "feature_id").agg(F.max("value").alias("value"))
+    found = keyword_features(rows, (("K1", ("license",)), ("K2", ("tion",)), ("K3", ("und",)), ("K4", ("eau",))))
+    return found.groupBy(F.col("passage_id.conv_id").alias("panel"), "feature_id").agg(F.max("value").alias("value"))
 
 
 def tfidf_sql(counts: str, key: str = "passage_id") -> str:

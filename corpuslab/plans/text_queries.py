@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..dims import BOOK_RULES, FEATURE_KEYWORDS, GIVEAWAY_TERMS, MASK_TERMS, MODERN_LEXICON, NEIGHBOUR_TERMS, OTHER_PAGES, PAGE_RULES, STRONG_TERMS
 from ..functions import text as T
+from ..operators import lexicon as X
 from ..operators import passages as P
 from ..operators import segments as S
 from ..sources import io
 from . import Registry
-from .views import PASSAGES, passages, role_passages, roles, table
+from .views import PASSAGES, SUBJECT_PASSAGES, passages, role_passages, roles, subject_passages, table
 
 q = Registry()
 
@@ -180,12 +182,12 @@ def anachronism_rows(spark, d):
 WITH t AS (SELECT unnest({_arr(RARE + FREQUENT)}) AS term)
 SELECT passage_id, term, ((length(lower(text)) - length(replace(lower(text), term, ''))) // length(term))::BIGINT AS mentions FROM ({PASSAGES}), t WHERE contains(lower(text), term)""")
 def lexicon_hits(spark, d):
-    return P.lexicon_hits(passages(spark, d), RARE + FREQUENT)
+    return X.term_mentions(passages(spark, d), RARE + FREQUENT)
 
 
 @q(f"SELECT passage_id, round(({' + '.join(f'''(len({_found('text', w)}) > 0)::INT''' for w in WORDS)}) / greatest({_words.format('text')}, 1), 6) AS density FROM ({PASSAGES})")
 def modernization_density(spark, d):
-    return passages(spark, d).select("passage_id", F.round(P.density(F.col("text"), list(WORDS)), 6).alias("density"))
+    return X.whole_word_density(passages(spark, d), list(WORDS)).withColumn("density", F.round("density", 6))
 
 
 @q(f"""
@@ -203,10 +205,9 @@ def source_eligibility(spark, d):
 WITH v(label, term) AS (VALUES ('en', 'tion'), ('en', 'ther'), ('de', 'und'), ('de', 'sch'), ('fr', 'que'), ('fr', 'eau'), ('es', 'ción'), ('es', 'los'))
 SELECT passage_id, tradition, count(DISTINCT label) FILTER (contains(lower(text), term) AND label <> tradition) > 0 AS hard_negative FROM ({PASSAGES}), v GROUP BY ALL""")
 def hard_negative_flag(spark, d):
-    rows = spark.createDataFrame([("en", "tion"), ("en", "ther"), ("de", "und"), ("de", "sch"), ("fr", "que"), ("fr", "eau"), ("es", "ción"), ("es", "los")], "feature_id string, keyword string")
-    hits = P.vocabulary_features(passages(spark, d), rows)
-    flags = passages(spark, d).select("passage_id", "tradition").join(hits, "passage_id").groupBy("passage_id", "tradition")
-    return flags.agg(F.max((F.col("value") == 1) & (F.col("feature_id") != F.col("tradition"))).alias("hard_negative"))
+    terms = {"en": ("tion", "ther"), "de": ("und", "sch"), "fr": ("que", "eau"), "es": ("ción", "los")}
+    others = [(own, [t for other, ts in terms.items() if other != own for t in ts]) for own in terms]
+    return X.neighbour_flag(passages(spark, d), "tradition", others)
 
 
 RULES = (("licence", ("license", "copyright")), ("german", (" der ", " und ")), ("french", (" une ", " les ")), ("english", (" the ", " and ")))
@@ -221,8 +222,63 @@ def rule_label(spark, d):
 WITH k(feature_id, keyword) AS (VALUES ('K1', 'license'), ('K1', 'copyright'), ('K2', 'tion'), ('K3', 'und'), ('K3', 'sch'), ('K4', 'eau'))
 SELECT passage_id, feature_id, max(contains(lower(text), keyword)::INT) AS value FROM ({PASSAGES}), k GROUP BY ALL""")
 def keyword_features(spark, d):
-    k = spark.createDataFrame([("K1", "license"), ("K1", "copyright"), ("K2", "tion"), ("K3", "und"), ("K3", "sch"), ("K4", "eau")], "feature_id string, keyword string")
-    return P.vocabulary_features(passages(spark, d), k)
+    return X.keyword_features(passages(spark, d), (("K1", ("license", "copyright")), ("K2", ("tion",)), ("K3", ("und", "sch")), ("K4", ("eau",))))
+
+
+# The packaged lexicons, over texts that hold their words.
+
+_SP = f"sp AS ({SUBJECT_PASSAGES})"
+_pairs = lambda table: ", ".join(f"('{name}', '{k}')" for name, ks in table for k in ks)
+_has_word = lambda w: f"(len({_found('text', w)}) > 0)::INT"
+#: A class for each passage, by its source.
+_CLASS = [(f"src{i}", name) for i, (name, _) in enumerate(NEIGHBOUR_TERMS)]
+
+
+@q(f"WITH {_SP}, t AS (SELECT unnest({_arr(MODERN_LEXICON)}) AS term) SELECT passage_id, term, ((length(lower(text)) - length(replace(lower(text), term, ''))) // length(term))::BIGINT AS mentions FROM sp, t WHERE contains(lower(text), term)")
+def modern_lexicon_hits(spark, d):
+    return X.term_mentions(subject_passages(spark, d), MODERN_LEXICON)
+
+
+@q(f"WITH {_SP} SELECT passage_id, round(({' + '.join(map(_has_word, MASK_TERMS))}) / greatest({_words.format('text')}, 1), 6) AS density FROM sp")
+def mask_term_density(spark, d):
+    return X.whole_word_density(subject_passages(spark, d), MASK_TERMS).withColumn("density", F.round("density", 6))
+
+
+@q(f"WITH {_SP}, k(feature_id, keyword) AS (VALUES {_pairs(FEATURE_KEYWORDS)}) SELECT passage_id, feature_id, coalesce(max(contains(lower(text), keyword)::INT), 0) AS value FROM sp, k GROUP BY ALL")
+def feature_proxy(spark, d):
+    return X.keyword_features(subject_passages(spark, d), FEATURE_KEYWORDS)
+
+
+@q(f"""WITH {_SP}, c(work, label) AS (VALUES {', '.join(map(str, _CLASS))}), k(label, term) AS (VALUES {_pairs(NEIGHBOUR_TERMS)})
+SELECT passage_id, c.label, coalesce(bool_or(contains(lower(text), term)), false) AS hard_negative FROM sp LEFT JOIN c USING (work) LEFT JOIN k ON k.label = c.label GROUP BY ALL""")
+def neighbour_flags(spark, d):
+    label = F.coalesce(*[F.when(F.col("work") == w, F.lit(name)) for w, name in _CLASS])
+    return X.neighbour_flag(subject_passages(spark, d).withColumn("label", label), "label", NEIGHBOUR_TERMS)
+
+
+_in_page = lambda k: f"starts_with(page, '{k[1:]}')" if k[0] == "^" else f"contains(page, '{k}')"
+_page_case = " ".join(f"WHEN {' OR '.join(map(_in_page, ks))} THEN '{name}'" for name, ks in PAGE_RULES)
+_book_case = " ".join(f"WHEN contains(book, '{ks[0]}') THEN '{name}'" for name, ks in BOOK_RULES)
+_HINT, _BOOK = "CASE passage_id % 5 WHEN 0 THEN 'relativity' WHEN 1 THEN 'unknown' END", "concat('volume-', passage_id % 4)"
+
+
+@q(f"""WITH {_SP}, pg AS (SELECT passage_id, lower(CASE WHEN passage_id % 11 = 0 THEN '11-' ELSE '' END || replace(substr(text, 1, 300), ' ', '-')) AS page, {_HINT} AS hint, {_BOOK} AS book FROM sp)
+SELECT passage_id, CASE {_page_case} WHEN hint IN {tuple(dict(PAGE_RULES))} THEN hint {_book_case} ELSE '{OTHER_PAGES}' END AS label FROM pg""")
+def page_classes(spark, d):
+    # a page's name is made of a text's first words
+    page = F.concat(F.when(F.col("passage_id") % 11 == 0, "11-").otherwise(""), F.replace(F.substring("text", 1, 300), F.lit(" "), F.lit("-")))
+    return subject_passages(spark, d).select("passage_id", X.page_class(page, F.expr(_HINT), F.expr(_BOOK), PAGE_RULES, BOOK_RULES, OTHER_PAGES).alias("label"))
+
+
+_any = sorted({*STRONG_TERMS, *MODERN_LEXICON}, key=lambda t: (-len(t), t))
+
+
+@q(f"""WITH {_SP} SELECT passage_id, sha256({_subst('text', '|'.join(MASK_TERMS), '[MASK]')}) AS terms_hash, sha256({_subst('text', '|'.join(GIVEAWAY_TERMS), '[MASKED]')}) AS giveaway_hash,
+sha256(regexp_replace(text, '(?i)({'|'.join(_any)})', '[MASKED]', 'g')) AS lexicon_hash FROM sp""")
+def packaged_masks(spark, d):
+    text = F.col("text")
+    masks = {"terms_hash": T.mask(text, MASK_TERMS, "[MASK]"), "giveaway_hash": T.mask(text, GIVEAWAY_TERMS), "lexicon_hash": T.mask(text, _any, bounded=False)}
+    return subject_passages(spark, d).select("passage_id", *[F.sha2(c, 256).alias(k) for k, c in masks.items()])
 
 
 @q(f"""

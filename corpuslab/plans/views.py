@@ -26,3 +26,23 @@ def role_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PASSAGES = "SELECT doc_id AS passage_id, lang AS tradition, source AS work, text FROM documents"
 ROLES = "SELECT doc_id AS passage_id, CASE WHEN quality = 1 THEN 'target' ELSE 'control' END AS role FROM labels"
+
+#: Words of the driver's invented texts, and words of the packaged lexicons in their place.
+SUBJECT = (
+    (" is ", " Quantum "), (" to ", " heat flows "), (" with ", " electromagnetic field "), (" by ", " photon "), (" from ", " space-time "), (" be ", " newtonian "),
+    (" und ", " Entropy "), (" der ", " force "), (" que ", " matter "), (" una ", " thermodynamic "), (" les ", " ethereal "), (" une ", " maxwell equation "), (" dans ", " ħ "),
+)
+
+
+def subject_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages with the packaged words in the place of some of their own."""
+    text = F.col("text")
+    for old, new in SUBJECT:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return passages(spark, sf_dir).select("passage_id", "tradition", "work", text.alias("text"))
+
+
+_subject = "text"
+for _old, _new in SUBJECT:
+    _subject = f"replace({_subject}, '{_old}', '{_new}')"
+SUBJECT_PASSAGES = f"SELECT passage_id, tradition, work, {_subject} AS text FROM ({PASSAGES})"
