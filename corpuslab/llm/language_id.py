@@ -7,11 +7,11 @@ its scores are the product of the two.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ MAX_LANGUAGES = 480
 FAN = 64
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -140,7 +140,7 @@ def train_language_id(labelled: DataFrame, max_languages: int = MAX_LANGUAGES) -
 def predict_language(documents: DataFrame, model: NaiveBayes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of each row; only the text is an input.
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learned. Ties go to
+    A text that is null or has no letter (a code point of category L; numerals like ² or Ⅷ are none) is ``und`` with score 0, as is every text if nothing was learned. Ties go to
     the first language by name. Other columns are not read.
     """
     held = documents.sparkSession.sparkContext.broadcast(model)

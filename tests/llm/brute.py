@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -100,7 +101,7 @@ def language_id(docs):
     totals = {lang: [c.total() + 0.5 * SLOTS for c in cs] for lang, cs in count.items()}
     out = {}
     for i, t, _ in docs:
-        if t is None or not re.search(r"[^\W\d_]", t) or not n:
+        if t is None or not any(unicodedata.category(c)[0] == "L" for c in t) or not n:
             out[i] = held[i], "und", 0.0
             continue
         grams = [Counter(s) for s in ngram_slots(t)]
