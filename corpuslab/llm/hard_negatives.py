@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import dense, materialize, release, scratch, trim_memory
-from .topk_search import whole_vectors
+from .topk_search import sign_code, whole_vectors
 
 #: Anchors in a tile, candidates that a task scores together, and tiles that a round broadcasts (2^16 anchors: 32 MB at
 #: 64 dimensions, and for each task as many windows).
@@ -179,7 +179,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, nega
     spark, held = rows.sparkSession, []
     rows = rows.select("vec_id", "label", "v")
     one = anchors.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("x")).select("vec_id", "x.*")
-    one = materialize(one.withColumn("code", F.aggregate(F.slice("v", 1, 12), F.lit(0), lambda a, x: a * 2 + (x > 0).cast("int"))), held)
+    one = materialize(one.withColumn("code", sign_code("v")), held)
     count = one.count()
     near = one.repartitionByRange(max(1, -(-count // (4 * TILE))), "label", "code", "vec_id").sortWithinPartitions("label", "code", "vec_id")
     tiles = materialize(near.select("vec_id", "label", "v").mapInArrow(_tiles, _TILE), held)

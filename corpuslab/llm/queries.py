@@ -18,7 +18,7 @@ from .mixing import mix_sources
 from .spelling import spelling_variants
 from .suffix_dedup import suffix_dedup
 from .token_counts import WordBPE, token_counts
-from .topk_search import exact_top_k, quantize
+from .topk_search import exact_top_k, whole_vectors
 from .toxicity import toxicity
 
 
@@ -36,7 +36,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = materialize(quantize(_read(spark, sf_dir, "embeddings")))
+    items = materialize(whole_vectors(_read(spark, sf_dir, "embeddings")))
     return exact_top_k(items, items.filter("vec_id % 50 = 0"), 5)
 
 

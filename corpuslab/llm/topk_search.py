@@ -1,7 +1,8 @@
 """Exact top-k search by inner product, block at a time.
 
-Vectors are packed into blocks of neighbouring ids, each with a forward index (its matrix) and, for each term
-(dimension), the largest and smallest weight; blocks form groups, which have these too. For a query, the summed term
+Vectors are packed into blocks, in the order of the signs of their first dimensions and then of their ids, so that like
+vectors are neighbours. Each block has a forward index (its matrix) and, for each term (dimension), the largest and
+smallest weight; neighbouring blocks form groups, which have these too. For a query, the summed term
 maxima bound every score in a block or group. First, each query searches the group with its highest bound, which gives
 it a k-th score. From these, tiles of queries and groups are paired only where some query's bound reaches its k-th
 score, before any vector moves. In a group, a query takes the blocks in the order of their bounds and stops once the
@@ -19,12 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize, partitions, trim_memory
+from .common import dense, join_hot, materialize, partitions, trim_memory
 
 #: Vectors in a block; blocks that one task scores; queries in a tile. They bound a task's memory.
 BLOCK, GROUP, TILE = 512, 32, 2048
 #: Groups whose summaries a task looks at together.
 SUMMARIES = 4096
+#: Dimensions whose signs order the vectors.
+SIGNS = 12
 
 _PACKED = "dims int, ids binary, matrix binary, up binary, down binary"
 
@@ -38,24 +41,13 @@ def whole_vectors(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id",
     return vectors.filter(F.col(id_col).isNotNull() & good).select(F.col(id_col).cast("long").alias("vec_id"), *[c.alias(k) for k, c in others.items()], v.alias("v"))
 
 
-def quantize(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v array<long>) with floor(scale * x) of each component.
-
-    A vector that is null or holds null, NaN or an infinity is left out, as is a null id. Of rows that share an id
-    the least vector stands.
-    """
-    x = F.col(vector_col).cast("array<double>")
-    good = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = vectors.filter(F.col(id_col).isNotNull() & good).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale)))).alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+def sign_code(v: str) -> Column:
+    """A number of the signs of a vector's first dimensions."""
+    return F.aggregate(F.slice(v, 1, SIGNS), F.lit(0), lambda a, x: a * 2 + (x > 0).cast("int"))
 
 
-def _matrix(ids: pa.ChunkedArray, vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    own = [x.as_py() for x in vectors]
-    m = np.zeros((len(own), max(map(len, own), default=0)), np.int64)
-    for i, v in enumerate(own):
-        m[i, : len(v)] = v
-    return ids.to_numpy().astype(np.int64), m
+def _matrix(ids: pa.Array | pa.ChunkedArray, vectors: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    return ids.to_numpy(), dense(vectors)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +82,7 @@ def _merge_summaries(table: pa.Table) -> pa.Table:
     short = min(table["dims"].to_pylist())
     up, down = up.max(0), down.min(0)
     up[short:], down[short:] = np.maximum(up[short:], 0), np.minimum(down[short:], 0)
-    return pa.table({"g": pa.array([table["g"][0].as_py()], pa.int32()), "dims": pa.array([len(up)], pa.int32()), "up": [up.tobytes()], "down": [down.tobytes()]})
+    return pa.table({"g": pa.array([table["g"][0].as_py()], pa.int64()), "dims": pa.array([len(up)], pa.int32()), "up": [up.tobytes()], "down": [down.tobytes()]})
 
 
 def _bounds(q: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
@@ -140,20 +132,23 @@ def search_blocks(queries: list, blocks: list, k: int, least: np.ndarray | None
 def exact_top_k(items: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank int from 1, vec_id, score long): each query's k highest inner products with the items.
 
-    Both tables are (vec_id, v array<long>), unique by id. An item with the query's own id is no candidate. Ties go to
-    the smaller id; a query has fewer rows where there are fewer items. Shorter vectors end in zeros. Sums must fit 64
+    Both tables are (vec_id, v array<long>). Every item is a candidate, also where items share an id, but those with the
+    query's own id; of queries that share an id the one of the least vector asks. Ties go to the smaller id; a query has
+    fewer rows where there are fewer items. Shorter vectors end in zeros. Sums must fit 64
     bits. No task holds more than TILE queries and GROUP blocks, or SUMMARIES groups' summaries.
     """
     spark = items.sparkSession
 
-    ranged = items.select("vec_id", "v").repartitionByRange(partitions(spark), "vec_id").sortWithinPartitions("vec_id")
-    blocks = materialize(ranged.mapInArrow(_pack, _PACKED).withColumn("block", F.monotonically_increasing_id()))
-    groups = max(1, -(-blocks.count() // GROUP))
-    blocks = blocks.withColumn("g", F.pmod(F.hash("block"), F.lit(groups)))
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    ranged = items.select("vec_id", "v", sign_code("v").alias("code")).repartitionByRange(partitions(spark), "code", "vec_id").sortWithinPartitions("code", "vec_id")
+    blocks = ranged.select("vec_id", "v").mapInArrow(_pack, _PACKED).withColumn("block", F.monotonically_increasing_id())
+    # GROUP neighbours of a partition: its number is in the upper bits of the block's
+    blocks = materialize(blocks.withColumn("g", F.shiftleft(F.shiftright("block", 33), 28) + F.expr(f"(block & {(1 << 33) - 1}) div {GROUP}")))
     count = queries.count()
     tiles = max(1, -(-count // TILE))
     asked = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int").alias("t"))
-    summary = materialize(blocks.select("g", "dims", "up", "down").groupBy("g").applyInArrow(_merge_summaries, "g int, dims int, up binary, down binary"))
+    summary = materialize(blocks.select("g", "dims", "up", "down").groupBy("g").applyInArrow(_merge_summaries, "g long, dims int, up binary, down binary"))
+    groups = max(1, summary.count())
     shares = F.explode(F.sequence(F.lit(0), F.lit(-(-groups // SUMMARIES) - 1)))
     every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
     told = summary.select(every.alias("t2"), F.pmod(F.hash("g"), F.lit(-(-groups // SUMMARIES))).alias("s2"), "g", "dims", "up", "down")
@@ -165,18 +160,18 @@ def exact_top_k(items: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     def highest(asked: pa.Table, told: pa.Table) -> pa.Table:
         if not asked.num_rows or not told.num_rows:
-            return pa.table({"vec_id": pa.array([], pa.int64()), "g": pa.array([], pa.int32()), "bound": pa.array([], pa.float64())})
+            return pa.table({"vec_id": pa.array([], pa.int64()), "g": pa.array([], pa.int64()), "bound": pa.array([], pa.float64())})
         ids, g, b = bounds(asked, told)
         best = b.argmax(1)
-        return pa.table({"vec_id": ids, "g": pa.array(g[best], pa.int32()), "bound": b[np.arange(len(ids)), best]})
+        return pa.table({"vec_id": ids, "g": pa.array(g[best], pa.int64()), "bound": b[np.arange(len(ids)), best]})
 
     def reached(asked: pa.Table, told: pa.Table) -> pa.Table:
         if not asked.num_rows or not told.num_rows:
-            return pa.table({"t": pa.array([], pa.int32()), "g": pa.array([], pa.int32())})
+            return pa.table({"t": pa.array([], pa.int32()), "g": pa.array([], pa.int64())})
         _, g, b = bounds(asked, told)
         need = (b >= asked["least"].to_numpy()[:, None]) & (asked["own"].to_numpy()[:, None] != g[None, :])
         g = g[need.any(0)]
-        return pa.table({"t": pa.array([asked["t"][0].as_py()] * len(g), pa.int32()), "g": pa.array(g, pa.int32())})
+        return pa.table({"t": pa.array([asked["t"][0].as_py()] * len(g), pa.int32()), "g": pa.array(g, pa.int64())})
 
     def search(asked: pa.Table, stored: pa.Table) -> pa.Table:
         if stored.num_rows:
@@ -190,7 +185,7 @@ def exact_top_k(items: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return pa.table({"query_id": np.repeat(qid, k)[there.ravel()], "vec_id": ids[there], "score": scores[there].astype(np.int64)})
 
     found_schema = "query_id long, vec_id long, score long"
-    best = asked.withColumn("s", shares).groupBy("t", "s").cogroup(told.groupBy("t2", "s2")).applyInArrow(highest, "vec_id long, g int, bound double")
+    best = asked.withColumn("s", shares).groupBy("t", "s").cogroup(told.groupBy("t2", "s2")).applyInArrow(highest, "vec_id long, g long, bound double")
     best = materialize(best.groupBy("vec_id").agg(F.max_by("g", F.struct("bound", "g")).alias("own")))
     # a group that many queries begin with is searched in parts
     size = best.groupBy("own").agg(F.count("*").alias("n"))
@@ -203,7 +198,7 @@ def exact_top_k(items: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     kth = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(low).alias("least"))
     asked = asked.join(best, "vec_id").join(kth, "vec_id", "left").withColumns({"least": F.coalesce("least", low), "first": F.lit(False)})
     asked = materialize(asked)
-    pairs = materialize(asked.withColumn("s", shares).groupBy("t", "s").cogroup(told.groupBy("t2", "s2")).applyInArrow(reached, "t int, g int"))
+    pairs = materialize(asked.withColumn("s", shares).groupBy("t", "s").cogroup(told.groupBy("t2", "s2")).applyInArrow(reached, "t int, g long"))
     again = asked.join(pairs, "t")
     stored = blocks.join(pairs.withColumnRenamed("t", "t2"), "g").select("dims", "ids", "matrix", "g", "t2")
     more = again.groupBy("t", "g").cogroup(stored.groupBy("t2", "g")).applyInArrow(search, found_schema)

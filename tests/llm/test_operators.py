@@ -27,7 +27,7 @@ from corpuslab.llm.minhash import COMPONENTS, near_dedup, signatures
 from corpuslab.llm.mixing import mix_sources
 from corpuslab.llm.queries import ORACLE_SQL, QUERIES
 from corpuslab.llm.token_counts import WordBPE, token_counts
-from corpuslab.llm.topk_search import exact_top_k, quantize
+from corpuslab.llm.topk_search import exact_top_k, whole_vectors
 
 from ..oracle import connection, rows
 
@@ -125,18 +125,15 @@ def test_exact_dedup_cases(odd):
 def test_top_k_against_brute_force(spark):
     rng = random.Random(4)
     data = [(i, [float(rng.randint(-3, 3)) / 8 for _ in range(rng.choice((4, 4, 3)))]) for i in range(300)]
-    data += [(900, None), (901, [0.1, None]), (902, [float("nan")]), (903, [float("inf"), 1.0]), (904, []), (7, [9.0, 9.0, 9.0, 9.0])]
+    data += [(900, None), (901, [0.1, None]), (902, [float("nan")]), (903, [float("inf"), 1.0]), (904, []), (7, [9.0, 9.0, 9.0, 9.0]), (7, [9.0, 9.0, 9.0, 9.0]), (40, [-9.0, 0.0, 0.0, 0.0])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    items = quantize(df)
+    items = whole_vectors(df)
     got = [tuple(r) for r in exact_top_k(items, items.filter("vec_id % 20 = 0"), 5).orderBy("query_id", "rank").collect()]
-    clean = {}
-    for i, v in data:
-        if v is not None and all(x is not None and x == x and abs(x) != float("inf") for x in v):
-            q = [int(np.floor(256 * x)) for x in v]
-            clean[i] = min(clean.get(i, q), q)
+    clean = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in data if v is not None and all(x is not None and x == x and abs(x) != float("inf") for x in v)]
     want = []
-    for q in sorted(x for x in clean if x % 20 == 0):
-        s = sorted((-sum(a * b for a, b in zip(clean[q], v, strict=False)), i) for i, v in clean.items() if i != q)[:5]
+    for q in sorted({i for i, _ in clean if i % 20 == 0}):
+        own = min(v for i, v in clean if i == q)  # of rows that share an id the least asks, and every other row may be found
+        s = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v in clean if i != q)[:5]
         want += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s)]
     assert got == want
     assert exact_top_k(items.limit(0), items.limit(0)).count() == 0
@@ -147,7 +144,7 @@ def test_top_k_cases(spark):
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     for name in ("v", "t", "g", "dims", "s", "n", "own", "least", "first", "block"):
         df = df.withColumn(name, F.lit("clash"))
-    items = quantize(df)
+    items = whole_vectors(df)
     got = exact_top_k(items, items.filter("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect()
     # ties at every rank: the smaller ids
     assert [tuple(r) for r in got] == [(0, r, r, 65536) for r in range(1, 6)] + [(50, r, r - 1, 32768) for r in range(1, 6)]
@@ -160,7 +157,7 @@ def test_top_k_rounds_over_many_groups(spark, monkeypatch):
         monkeypatch.setattr(TK, name, value)
     rng = random.Random(5)
     data = [(i, [float(rng.randint(-9, 9)) for _ in range(rng.choice((3, 4)))]) for i in range(90)]
-    items = quantize(spark.createDataFrame(data, "vec_id long, embedding array<double>"), 1)
+    items = whole_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"), 1)
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in exact_top_k(items, items.filter("vec_id % 4 = 0"), 3).collect()}
     for q, v in data[::4]:
         best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in data if i != q)[:3]
@@ -285,6 +282,11 @@ def test_language_id_cases(odd):
     assert len(got) == 13 and all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1, 2, 3, 12))
     assert got[8].lang_pred != "und" and got[None].held_out
     assert language_id(odd.limit(0)).count() == 0
+    # numerals are no letters, letters of any script are
+    signs = ["½", "² ³", "Ⅷ", "①②", "٣ 4", "_", "a²", "漢", "ª", "ʰ", "\u0301"]
+    marks = odd.select("doc_id", "text", "lang").unionByName(odd.sparkSession.createDataFrame([(100 + i, x, None) for i, x in enumerate(signs)], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in language_id(marks).collect() if (r.doc_id or 0) >= 100}
+    assert [got[100 + i].lang_pred == "und" and got[100 + i].score == 0 for i in range(len(signs))] == [True] * 6 + [False] * 4 + [True]
     assert {r.lang_pred for r in language_id(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
