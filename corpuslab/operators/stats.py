@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..dims import ROBUSTNESS_TESTS
 from ..functions.rng import draw
+from ..sources.scratch import written
 
 
 def cluster_sums(rows: DataFrame, arm: str | None, cluster: str, value: str) -> DataFrame:
@@ -32,13 +33,29 @@ def mean_difference(rows: DataFrame, arm: str, value: str, target: str, control:
     return rows.agg(m(target).alias("mean_target"), m(control).alias("mean_control"), (m(target) - m(control)).alias("delta"))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows with i, their number from 0 in that order, which must be unique: by ranges, without a task that sees all."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = written(rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)))
+    before, total = [], 0
+    for part, n in sorted(map(tuple, rows.groupBy("__part").count().collect())):  # a row for each range
+        before.append((part, total))
+        total += n
+    offsets = rows.sparkSession.createDataFrame(before, "__part long, __before long")
+    place = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(offsets), "__part").withColumn("i", place).drop("__at", "__part", "__before")
+
+
 def drawn_clusters(clusters: DataFrame, n_boot: int, seed: str) -> DataFrame:
-    """(rep, slot, all cluster columns): as many draws with replacement as there are clusters, for each replicate."""
-    order = W.partitionBy(F.lit(0)).orderBy("arm", "cluster")
-    numbered = clusters.withColumns({"i": F.row_number().over(order) - 1, "k": F.count("*").over(W.partitionBy(F.lit(0)))})
-    slots = numbered.select(F.col("i").alias("slot"), "k")
-    draws = replicates(clusters, n_boot).crossJoin(F.broadcast(slots)).withColumn("i", draw(seed, F.col("rep"), F.col("slot")) % F.col("k"))
-    return draws.select("rep", "slot", "i").join(F.broadcast(numbered.drop("k")), "i").drop("i")
+    """(rep, slot, all cluster columns): as many draws with replacement as there are clusters, for each replicate.
+
+    A row for each replicate and cluster; ``splitting`` draws the same distribution without them.
+    """
+    rows = written(numbered(clusters, "arm", "cluster"))
+    k = rows.count()
+    draws = clusters.sparkSession.range(n_boot * k).select(F.expr(f"id div {max(k, 1)}").alias("rep"), F.expr(f"id % {max(k, 1)}").alias("slot"))
+    return draws.withColumn("i", draw(seed, F.col("rep"), F.col("slot")) % k).join(rows, "i").drop("i")
 
 
 def percentile_ci(boots: DataFrame, value: str, alpha: float) -> DataFrame:
@@ -56,7 +73,7 @@ def permuted_deltas(clusters: DataFrame, target: str, n_perm: int, seed: str, by
     """(by, rep, delta): mean of cluster means of as many clusters as the target has, minus the others', after shuffling."""
     groups = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     base = clusters.select(*by, "arm", "cluster", (F.col("total") / F.col("n")).alias("m")).withColumn("n_t", F.count_if(F.col("arm") == target).over(groups))
-    rows = replicates(clusters, n_perm).crossJoin(F.broadcast(base))
+    rows = replicates(clusters, n_perm).crossJoin(base)
     order = W.partitionBy(*by, "rep").orderBy(draw(seed, F.col("rep"), F.col("arm"), F.col("cluster")), "arm", "cluster")
     rows = rows.withColumn("in_t", F.row_number().over(order) <= F.col("n_t"))
     return rows.groupBy(*by, "rep").agg((F.avg(F.when(F.col("in_t"), F.col("m"))) - F.avg(F.when(~F.col("in_t"), F.col("m")))).alias("delta"))
@@ -137,6 +154,54 @@ def binary_bootstrap(rows: DataFrame, by: str, correct: Column, n_boot: int, see
     return counts.join(ci, by).select(by, "n", (F.col("k") / F.col("n")).alias("accuracy"), F.col("__q")[0].alias("lo"), F.col("__q")[1].alias("hi"))
 
 
+#: Bins of a pass of a selection, and values that are sorted at its end.
+BINS, LAST = 4096, 1 << 16
+
+
+def exact_quantiles(rows: DataFrame, value: str, shares: Sequence[float]) -> list[float | None]:
+    """The quantiles of a column, interpolated between neighbours, exactly; null where there is no value.
+
+    Each pass counts the values in BINS between the ends of the bin that holds the rank, and goes on with that bin and
+    its own least and largest value, until it has at most LAST values, which are sorted. No task holds more than that.
+    """
+    x = rows.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    all_ = x.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not all_[0]:
+        return [None] * len(shares)
+
+    def at(rank: int) -> float:
+        below, n, lo, hi = 0, *all_
+        while lo < hi:
+            own = x.filter((F.col("v") >= lo) & (F.col("v") <= hi))
+            if n <= LAST:
+                return sorted(r.v for r in own.collect())[rank - below]
+            width = hi / BINS - lo / BINS
+            bin_ = F.least(F.floor((F.col("v") / 1.0 - lo) / width), F.lit(BINS - 1)) if width > 0 and np.isfinite(hi - lo) else (F.col("v") > lo / 2 + hi / 2).cast("long")
+            for b in sorted(own.groupBy(bin_.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()):
+                if rank < below + b.n:
+                    break
+                below += b.n
+            if (n, lo, hi) == (b.n, b.lo, b.hi):  # all in one bin: its least value apart
+                n_least = own.filter(F.col("v") == lo).count()
+                if rank < below + n_least:
+                    return lo
+                below += n_least
+                rest = own.filter(F.col("v") > lo).agg(F.count("*"), F.min("v"), F.max("v")).first()
+                n, lo, hi = rest
+            else:
+                n, lo, hi = b.n, b.lo, b.hi
+        return lo
+
+    found = {}
+    for share in shares:
+        place = share * (all_[0] - 1)
+        for rank in {int(np.floor(place)), int(np.ceil(place))}:
+            if rank not in found:
+                found[rank] = at(rank)
+    ends = [(found[int(np.floor(s * (all_[0] - 1)))], found[int(np.ceil(s * (all_[0] - 1)))], s * (all_[0] - 1) % 1) for s in shares]
+    return [a if a == b else a + (b - a) * f for a, b, f in ends]
+
+
 def _seeded_multinomial(seed: str):
     """(by, rep, m) of (by, rep, values, counts): the mean of as many values as there are, drawn by their counts."""
 

@@ -10,6 +10,7 @@ from ..operators import audit as U
 from ..operators import passages as P
 from ..operators import score as X
 from ..operators import select as S
+from ..operators import splitting as Sp
 from ..operators import stats as I
 from . import Registry
 from ..dims import ROBUSTNESS_TESTS
@@ -424,6 +425,43 @@ def effect_bundle(spark, d):
     return _r(I.cluster_permutation(c, "target", "control", R, "p1").withColumnRenamed("observed", "delta").crossJoin(ci), "delta", "lo", "hi", "p")
 
 
+# The same inference with draws split down a tree of buckets; its distribution is tested.
+
+
+@q()
+def cluster_bootstrap_split(spark, d):
+    return _r(Sp.split_bootstrap_ci(_clusters(spark, d), R, "s1"), "lo", "hi", "point")
+
+
+@q()
+def f1_bootstrap_split(spark, d):
+    rows = _arms(spark, d).withColumn("f1", (F.col("n_chars") % 100) / 100.0)
+    return _r(Sp.split_bootstrap_ci(I.cluster_sums(rows, None, "passage_id", "f1"), R, "s2"), "lo", "hi", "point")
+
+
+@q()
+def cluster_permutation_split(spark, d):
+    return _r(Sp.split_permutation(_clusters(spark, d), "target", "control", R, "s3"), "observed", "p")
+
+
+@q()
+def passage_permutation_split(spark, d):
+    return _r(Sp.split_permutation(I.cluster_sums(_arms(spark, d), "role", "passage_id", "n_chars"), "target", "control", R, "s4"), "observed", "p")
+
+
+@q()
+def variance_bootstrap_split(spark, d):
+    m = I.cluster_moments(table(spark, d, "documents"), "source", "n_chars")
+    return _r(Sp.split_variance_ci(m, R, "s5"), "between_lo", "between_hi", "within_lo", "within_hi")
+
+
+@q("SELECT 0.025::DOUBLE AS share, round(quantile_cont(n_chars::DOUBLE, 0.025), 6) AS value FROM documents UNION ALL SELECT 0.5, round(quantile_cont(n_chars::DOUBLE, 0.5), 6) FROM documents UNION ALL SELECT 0.95, round(quantile_cont(n_chars::DOUBLE, 0.95), 6) FROM documents UNION ALL SELECT 0.975, round(quantile_cont(n_chars::DOUBLE, 0.975), 6) FROM documents")
+def length_quantiles(spark, d):
+    shares = [0.025, 0.5, 0.95, 0.975]
+    found = I.exact_quantiles(table(spark, d, "documents"), "n_chars", shares)
+    return _r(spark.createDataFrame(list(zip(shares, found, strict=True)), "share double, value double"), "value")
+
+
 _ACC = "(passage_id * 7 % 10 < 6)"
 
 
