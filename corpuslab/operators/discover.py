@@ -9,36 +9,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .stats import exact_quantiles
 
-def frequent_sets(items: DataFrame, key: str, min_support: int, max_size: int, whole: bool = False) -> DataFrame:
-    """(signature, support) of the item sets of size 2..max_size that at least min_support keys hold.
 
-    With whole, also of the longer signatures that at least min_support keys have as they are.
+def frequent_sets(items: DataFrame, key: str, min_support: int, max_size: int = 6, longer: bool = True) -> DataFrame:
+    """(signature, support) of the item sets of size 2..max_size that at least min_support keys hold, and, with
+    ``longer``, of the longer signatures that at least min_support keys have as they are.
 
-    items: (key, signature sorted array). Level by level: only sets all of whose items are frequent grow, each by an
-    item that comes after its last one, so that no set is made twice; items are few, so level tables are small.
+    items: (key, signature sorted array). Equal signatures are one row with their number of keys, so that level tables
+    hold a row for each different signature and set, whatever the keys. Level by level, only frequent sets grow, each by
+    a frequent item that comes after its last one, so that no set is made twice.
     """
-    rows = items.select(key, F.explode("signature").alias("item"))
-    good = rows.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= min_support).select("item")
-    rows = rows.join(good, "item").select(key, "item")
-    own = rows.groupBy(key).agg(F.array_sort(F.collect_set("item")).alias("own"))
-    level = rows.join(own, key).select(key, F.array("item").alias("signature"), "own")
+    distinct = written(items.groupBy("signature").agg(F.count("*").alias("keys")).withColumn("s", F.monotonically_increasing_id()))
+    rows = distinct.select("s", "keys", F.explode(F.array_distinct("signature")).alias("item"))
+    good = rows.groupBy("item").agg(F.sum("keys").alias("n")).filter(F.col("n") >= min_support).select("item")
+    own = rows.join(good, "item").groupBy("s", "keys").agg(F.array_sort(F.collect_set("item")).alias("own"))
+    level = own.select("keys", "own", F.explode("own").alias("x")).select("keys", "own", F.array("x").alias("signature"))
     found = []
     for _ in range(2, max_size + 1):
-        grown = level.select(key, "own", "signature", F.explode(F.filter("own", lambda x: x > F.element_at("signature", -1))).alias("x"))
-        grown = grown.select(key, "own", F.array_append("signature", F.col("x")).alias("signature"))
-        counts = grown.groupBy("signature").agg(F.count("*").alias("support")).filter(F.col("support") >= min_support)
+        grown = level.select("keys", "own", "signature", F.explode(F.filter("own", lambda x: x > F.element_at("signature", -1))).alias("x"))
+        grown = written(grown.select("keys", "own", F.array_append("signature", F.col("x")).alias("signature")))
+        counts = written(grown.groupBy("signature").agg(F.sum("keys").alias("support")).filter(F.col("support") >= min_support))
         found.append(counts)
         level = grown.join(counts.select("signature"), "signature", "left_semi")
-    if whole:
-        longer = items.filter(F.size("signature") > max_size).groupBy("signature").agg(F.count("*").alias("support"))
-        found.append(longer.filter(F.col("support") >= min_support))
+    if longer:
+        found.append(distinct.filter((F.size("signature") > max_size) & (F.col("keys") >= min_support)).select("signature", F.col("keys").alias("support")))
     return reduce(DataFrame.unionByName, found)
 
 
+def _holders(sets: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(signature, own) of the sets and the different signatures that hold them whole: met by each set's rarest item."""
+    owns = written(signatures.select(F.col("signature").alias("own")).distinct())
+    items = owns.select("own", F.explode(F.array_distinct("own")).alias("item"))
+    often = items.groupBy("item").agg(F.count("*").alias("f"))
+    rare = sets.select("signature", F.explode("signature").alias("item")).join(often, "item").groupBy("signature").agg(F.min_by("item", F.struct("f", "item")).alias("item"))
+    return rare.join(items, "item").filter(F.size(F.array_except("signature", "own")) == 0).select("signature", "own")
+
+
 def owners(sets: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """(signature, key) for each key whose own signature holds the whole set. sets is a small mined table."""
-    return items.select(key, F.col("signature").alias("own")).join(F.broadcast(sets.select("signature")), F.size(F.array_except("signature", "own")) == 0).select("signature", key)
+    """(signature, key) for each key whose own signature holds the whole set; only different signatures are compared."""
+    return _holders(sets, items).join(items.select(key, F.col("signature").alias("own")), "own").select("signature", key)
 
 
 def group_counts(owned: DataFrame, meta: DataFrame, key: str, by: str) -> DataFrame:
@@ -124,9 +135,10 @@ def surprisal(signatures: DataFrame, background: DataFrame, meta: DataFrame, flo
     n_nodes = F.size(F.filter("signature", lambda x: F.startswith(x, F.lit("N:"))))
     flags = F.array(flag(F.col("n_chars") < 40, "very_short"), flag(F.col("n_chars") > 4000, "very_long"), flag((n_nodes <= 1) & (n_nodes == F.size("signature")), "sparse_graph"), flag(F.col("same") >= 5, "duplicate_cluster"))
     out = out.withColumn("flags", F.filter(flags, lambda x: x.isNotNull()))
-    cut = out.agg(F.percentile(F.round("surprisal", 9), 0.95).alias("cut"))
-    status = F.when(F.size("flags") > 0, "ARTIFACT_SUSPECTED").when(F.round("surprisal", 9) >= F.col("cut"), "ANOMALY_CANDIDATE").otherwise("TYPICAL")
-    return out.crossJoin(F.broadcast(cut)).select("passage_id", "surprisal", "flags", status.alias("status"))
+    out = written(out)
+    cut = exact_quantiles(out.select(F.round("surprisal", 9).alias("s")), "s", [0.95])[0]
+    status = F.when(F.size("flags") > 0, "ARTIFACT_SUSPECTED").when(F.round("surprisal", 9) >= F.lit(cut), "ANOMALY_CANDIDATE").otherwise("TYPICAL")
+    return out.select("passage_id", "surprisal", "flags", status.alias("status"))
 
 
 def first_appearance(features: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -187,9 +199,8 @@ def atlas(counts: DataFrame, by: str) -> DataFrame:
 
 
 def replication(motifs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(signature, exact, recovered): is it a whole signature of the other half, or within one? motifs is small."""
-    rows = signatures.select(F.col("signature").alias("own")).distinct().join(F.broadcast(motifs.select("signature")), F.size(F.array_except("signature", "own")) == 0)
-    hits = rows.groupBy("signature").agg(F.max(F.size("own") == F.size("signature")).alias("exact"))
+    """(signature, exact, recovered): is it a whole signature of the other half, or within one?"""
+    hits = _holders(motifs, signatures).groupBy("signature").agg(F.max(F.size("own") == F.size("signature")).alias("exact"))
     return motifs.select("signature").join(hits, "signature", "left").select("signature", F.coalesce("exact", F.lit(False)).alias("exact"), F.col("exact").isNotNull().alias("recovered"))
 
 

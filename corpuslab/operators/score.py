@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -126,6 +130,40 @@ def hash_embedding(texts: DataFrame, key: str, dims: int) -> DataFrame:
     return sums.select(key, "dim", F.coalesce(F.try_divide(F.col("v"), norm), F.lit(0.0)).alias("value"))
 
 
+#: Words whose vectors a task remembers.
+REMEMBERED = 1 << 13
+
+
+def token_vector(token: str, dims: int, seed: str) -> np.ndarray:
+    """The normal vector that seed and token name, the same in any task."""
+    key = int.from_bytes(hashlib.sha256(f"{seed}|{token}".encode("utf-8", "surrogatepass")).digest()[:16], "little")
+    return np.random.Generator(np.random.Philox(key=key)).standard_normal(dims)
+
+
+def random_projection(texts: DataFrame, key: str, dims: int = 256, seed: str = "42") -> DataFrame:
+    """(key, vector array<double>): the sum of the normal vectors of a text's words (between white space, in lower case),
+    scaled to length 1; zeros for a text without words. Vectors are drawn in the tasks, by word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            out = np.zeros((batch.num_rows, dims))
+            for i, low in enumerate(batch.column(1).to_pylist()):
+                for token, n in Counter((low or "").split()).items():
+                    if token not in held:
+                        if len(held) >= REMEMBERED:
+                            held.clear()
+                        held[token] = token_vector(token, dims, seed)
+                    out[i] += n * held[token]
+                length = np.linalg.norm(out[i])
+                if length > 0:
+                    out[i] /= length
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(out.ravel(), dims).cast(pa.list_(pa.float64()))], [key, "vector"])
+
+    rows = texts.select(key, F.lower("text").alias("low"))
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, vector array<double>")
+
+
 def attestation(required: DataFrame, records: DataFrame, pattern: str) -> DataFrame:
     """(check_id, ids_ok, pattern_ok, pass_ref) of (check_id, record_id): are all there, and does their text match?"""
     rows = required.join(records, "record_id", "left")

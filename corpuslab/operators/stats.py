@@ -242,19 +242,19 @@ def shuffled(rows: DataFrame, by: Sequence[str], key: str, value: str, seed: str
     return places.join(dealt, [*by, "__i"]).drop("__i")
 
 
-def sum_before(rows: DataFrame, order: str, value: str, parts: int = 256) -> DataFrame:
-    """Add ``below``: the sum of ``value`` over the rows before, in the order of a unique number, null counting as 0.
+def sum_before(rows: DataFrame, order: str, value: str, parts: int = 256, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``below``: the sum of ``value`` over the group's rows before, in the order of a unique number, null as 0.
 
-    Rows are dealt into ranges between approximate quantiles, which are a literal array; the sums of the ranges come
-    before the sums within them, so that no task orders all rows.
+    Rows are dealt into ranges between approximate quantiles of their group; the sums of the ranges come before the sums
+    within them, so that no task orders all rows. The groups (``by``) are few.
     """
-    cuts = rows.agg(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000)).alias("__cuts"))
-    dealt = rows.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
-    sums = dealt.groupBy("__range").agg(F.sum(value).alias("__sum"))
-    earlier = W.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # at most ``parts`` rows
-    sums = sums.select("__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
-    inside = W.partitionBy("__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    out = dealt.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(sums), "__range")
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000)).alias("__cuts"))
+    dealt = (rows.join(cuts, list(by)) if by else rows.crossJoin(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
+    sums = dealt.groupBy(*by, "__range").agg(F.sum(value).alias("__sum"))
+    earlier = W.partitionBy(*(by or [F.lit(0)])).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # at most ``parts`` rows of a group
+    sums = sums.select(*by, "__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
+    inside = W.partitionBy(*by, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    out = dealt.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, [*by, "__range"])
     return out.withColumn("below", F.col("__start") + F.col("__own")).drop("__range", "__own", "__start")
 
 
@@ -267,20 +267,20 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def mann_whitney(rows: DataFrame, arm: str, value: str, target: str, least: int = 3) -> DataFrame:
-    """(n1, n2, u, z, p) of the target arm, from counts by value: average ranks, tie-corrected, with continuity.
+def mann_whitney(rows: DataFrame, arm: str, value: str, target: str, least: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n1, n2, u, z, p) of the target arm, for all groups in one pass: from counts by value: average ranks, tie-corrected, with continuity.
 
     p is one-sided (the target is greater); z and p need ``least`` values on both sides, else p is null.
     """
-    counts = rows.groupBy(value).agg(F.count_if(F.col(arm) == target).alias("a"), F.count_if(F.col(arm) != target).alias("b"))
-    ranked = sum_before(counts.withColumn("t", F.col("a") + F.col("b")), value, "t")
+    counts = rows.groupBy(*by, value).agg(F.count_if(F.col(arm) == target).alias("a"), F.count_if(F.col(arm) != target).alias("b"))
+    ranked = sum_before(counts.withColumn("t", F.col("a") + F.col("b")), value, "t", by=by)
     ranked = ranked.withColumn("rank", F.col("below") + (F.col("t") + 1) / 2)
-    out = ranked.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r"), F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("ties"))
+    out = ranked.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r"), F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("ties"))
     n = F.col("n1") + F.col("n2")
     out = out.withColumn("u", F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2)
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     out = out.withColumn("z", F.try_divide(F.col("u") - F.col("n1") * F.col("n2") / 2 - 0.5, sd))
-    return out.select("n1", "n2", "u", "z", F.when((F.col("n1") >= least) & (F.col("n2") >= least), upper_tail(F.col("z"))).alias("p"))
+    return out.select(*by, "n1", "n2", "u", "z", F.when((F.col("n1") >= least) & (F.col("n2") >= least), upper_tail(F.col("z"))).alias("p"))
 
 
 def robustness_battery(variants: DataFrame, primary: DataFrame, tests: Sequence[str] = ROBUSTNESS_TESTS) -> DataFrame:

@@ -106,7 +106,10 @@ def _order_graphs(spark, d, graph="l_orderkey"):
 MODES = ("A", "N")
 
 
-@q(f"WITH {_GN} SELECT graph_id, source, target, CASE WHEN kind IN {MODES} THEN kind ELSE 'OTHER' END AS kind FROM ed SEMI JOIN nd a ON a.graph_id = ed.graph_id AND a.id = source SEMI JOIN nd b ON b.graph_id = ed.graph_id AND b.id = target")
+@q(f"""SELECT e.graph_id, e.source, e.target, CASE WHEN e.kind IN {MODES} THEN e.kind ELSE 'OTHER' END AS kind
+FROM (SELECT DISTINCT l_orderkey AS graph_id, 's' || l_suppkey % 50 AS source, 'p' || l_partkey % 40 AS target, l_returnflag AS kind FROM lineitem) e
+JOIN (SELECT DISTINCT l_orderkey AS graph_id, 's' || l_suppkey % 50 AS id FROM lineitem WHERE l_suppkey % 50 <> 0) a ON a.graph_id = e.graph_id AND a.id = e.source
+JOIN (SELECT DISTINCT l_orderkey AS graph_id, 'p' || l_partkey % 40 AS id FROM lineitem) b ON b.graph_id = e.graph_id AND b.id = e.target""")
 def valid_edges(spark, d):
     nodes, edges = _order_graphs(spark, d)
     return G.valid_edges(edges, nodes, MODES, "OTHER").select("graph_id", "source", "target", "kind")
@@ -259,13 +262,8 @@ def overlap_links(spark, d):
 _LABELS = ("license", "tion", "und", "que", "ther", "eau", "ción")
 
 
-@q(f"WITH h AS (SELECT passage_id, label, row_number() OVER (PARTITION BY passage_id ORDER BY label) AS n FROM ({PASSAGES}), (VALUES {', '.join(f"('{x}')" for x in _LABELS)}) l(label) WHERE contains(lower(text), label)) SELECT passage_id, n::INT AS n, label, lead(label) OVER (PARTITION BY passage_id ORDER BY label) AS next_label FROM h WHERE n <= 5")
-def lexical_proxy_graph(spark, d):
-    return G.lexical_proxy(passages(spark, d), spark.createDataFrame([(x,) for x in _LABELS], "label string"), 5)
-
-
 @q(f"WITH h AS (SELECT passage_id, label, row_number() OVER (PARTITION BY passage_id ORDER BY label) AS n FROM ({PASSAGES}), (VALUES {', '.join(f"('{x}')" for x in _LABELS)}) l(label) WHERE contains(lower(text), label)) SELECT passage_id, n::INT AS n, label, lead(label) OVER (PARTITION BY passage_id ORDER BY label) AS next_label FROM h WHERE n <= 20")
-def lexical_proxy_graph_whole(spark, d):
+def lexical_proxy_graph(spark, d):
     return G.lexical_proxy(passages(spark, d), spark.createDataFrame([(x,) for x in _LABELS], "label string"))
 
 
@@ -274,51 +272,58 @@ _K2 = "k2 AS (SELECT [a.x, b.x] AS signature, count(*) AS support FROM (SELECT p
 
 @q(f"WITH {GRAPH}, {_K2} SELECT * FROM k2")
 def motif_support(spark, d):
-    return D.frequent_sets(_sig(spark, d), "passage_id", 3, 2)
+    return D.frequent_sets(_sig(spark, d), "passage_id", 3, 2, longer=False)
+
+
+def _sets_sql(most):
+    """SQL for the item sets of size 2..most that at least 3 passages of u hold."""
+    join = lambda a, b: f" JOIN u {b} ON {a}.passage_id = {b}.passage_id AND {a}.x < {b}.x"
+    one = lambda n: f"SELECT [{', '.join(f'{c}.x' for c in n)}] AS signature, count(*) AS support FROM u a{''.join(map(join, n, n[1:]))} GROUP BY ALL HAVING count(*) >= 3"
+    return " UNION ALL ".join(one("abcdef"[:k]) for k in range(2, most + 1))
 
 
-_U = "u AS (SELECT passage_id, unnest(signature) AS x FROM sg)"
-_K3 = f"{_K2}, {_U}, k3 AS (SELECT [a.x, b.x, c.x] AS signature, count(*) AS support FROM u a JOIN u b ON a.passage_id = b.passage_id AND a.x < b.x JOIN u c ON a.passage_id = c.passage_id AND b.x < c.x GROUP BY ALL HAVING count(*) >= 3), mo AS (SELECT * FROM k2 UNION ALL SELECT * FROM k3)"
+_LONGER = "SELECT signature, count(*) AS support FROM {} WHERE len(signature) > 6 GROUP BY signature HAVING count(*) >= 3"
+_MO = f"u AS (SELECT passage_id, unnest(signature) AS x FROM sg), mo AS ({_sets_sql(6)} UNION ALL {_LONGER.format('sg')})"
 
 
-def _motifs(spark, d, whole=False):
-    return D.frequent_sets(_sig(spark, d), "passage_id", 3, 6 if whole else 3, whole)
+def _motifs(spark, d):
+    return D.frequent_sets(_sig(spark, d), "passage_id", 3)
 
 
-@q(f"WITH {GRAPH}, {_K3} SELECT * FROM mo")
-def motif_mining(spark, d, whole=False):
-    return _motifs(spark, d, whole)
+@q(f"WITH {GRAPH}, {_MO} SELECT * FROM mo")
+def motif_mining(spark, d):
+    return _motifs(spark, d)
 
 
-@q(f"WITH {ANN}, u AS (SELECT passage_id, feature_id AS x FROM ann WHERE label = '1') SELECT [a.x, b.x] AS signature, count(*) AS support FROM u a JOIN u b ON a.passage_id = b.passage_id AND a.x < b.x GROUP BY ALL HAVING count(*) >= 3 UNION ALL SELECT [a.x, b.x, c.x], count(*) FROM u a JOIN u b ON a.passage_id = b.passage_id AND a.x < b.x JOIN u c ON a.passage_id = c.passage_id AND b.x < c.x GROUP BY ALL HAVING count(*) >= 3")
-def feature_combos(spark, d, whole=False):
+@q(f"WITH {ANN}, u AS (SELECT passage_id, feature_id AS x FROM ann WHERE label = '1') {_sets_sql(4)}")
+def feature_combos(spark, d):
     items = _pos(spark, d).groupBy("passage_id").agg(F.array_sort(F.collect_set("feature_id")).alias("signature"))
-    return D.frequent_sets(items, "passage_id", 3, 4 if whole else 3)
+    return D.frequent_sets(items, "passage_id", 3, 4, longer=False)
 
 
 _FAM = """CASE WHEN list_has_any(signature, ['N:substrate', 'N:disturbance', 'N:space']) AND list_has_any(signature, ['E:pervades', 'E:propagates_through', 'E:manifests_as']) THEN 'field_like'
 WHEN list_contains(signature, 'E:cannot_be_reduced_to') AND list_contains(signature, 'N:whole') THEN 'unknown' WHEN list_has_any(signature, ['N:matter', 'N:motion', 'N:cause', 'N:effect']) THEN 'classical' ELSE 'unrelated' END"""
 
 
-@q(f"WITH {GRAPH}, {_K3} SELECT signature, support, {_FAM} AS family FROM mo")
-def motif_family(spark, d, whole=False):
-    return D.structural_family(_motifs(spark, d, whole))
+@q(f"WITH {GRAPH}, {_MO} SELECT signature, support, {_FAM} AS family FROM mo")
+def motif_family(spark, d):
+    return D.structural_family(_motifs(spark, d))
 
 
-_OWN = f"{_K3}, ow AS (SELECT mo.signature, sg.passage_id, tradition, work FROM mo JOIN sg ON list_has_all(sg.signature, mo.signature) JOIN p USING (passage_id))"
+_OWN = f"{_MO}, ow AS (SELECT mo.signature, sg.passage_id, tradition, work FROM mo JOIN sg ON list_has_all(sg.signature, mo.signature) JOIN p USING (passage_id))"
 _ENR = f"""{_OWN}, tot AS (SELECT count(*) FILTER (tradition = 'en') AS nt, count(*) FILTER (tradition IN ('fr', 'de')) AS nc FROM p),
 en0 AS (SELECT signature, count(*) FILTER (tradition = 'en') AS n_target, count(*) FILTER (tradition IN ('fr', 'de')) AS n_control, count(DISTINCT work) AS n_works FROM ow GROUP BY signature),
 en AS (SELECT *, CASE WHEN n_target = 0 AND n_control = 0 THEN 1.0 WHEN n_control = 0 AND n_target > 0 THEN NULL WHEN n_control = 0 THEN 1.0 ELSE (n_target / greatest(nt, 1)) / (n_control / greatest(nc, 1)) END::DOUBLE AS e,
  n_control = 0 AND n_target > 0 AS infinite, sqrt((1 / greatest(n_target, 1) - 1 / greatest(nt, 1)) + (1 / greatest(n_control, 1) - 1 / greatest(nc, 1))) AS se FROM en0, tot)"""
 
 
-def _owned(spark, d, whole=False):
-    return D.owners(_motifs(spark, d, whole), _sig(spark, d), "passage_id")
+def _owned(spark, d):
+    return D.owners(_motifs(spark, d), _sig(spark, d), "passage_id")
 
 
-def _enrichment(spark, d, whole=False):
+def _enrichment(spark, d):
     p = passages(spark, d)
-    counts = D.group_counts(_owned(spark, d, whole), p, "passage_id", "tradition")
+    counts = D.group_counts(_owned(spark, d), p, "passage_id", "tradition")
     totals = p.groupBy("tradition").agg(F.count("*").alias("n"))
     return D.enrichment(counts, totals, ["en"], ["fr", "de"], "tradition")
 
@@ -327,16 +332,16 @@ _ci = lambda s: f"CASE WHEN n_control > 0 THEN round(exp(CASE WHEN e > 0 THEN ln
 
 
 @q(f"WITH {GRAPH}, {_ENR} SELECT signature, n_target, n_control, round(e, 6) AS enrichment, infinite, {_ci('-')} AS lo, {_ci('+')} AS hi FROM en")
-def motif_enrichment(spark, d, whole=False):
-    return _r(_enrichment(spark, d, whole), "enrichment", "lo", "hi")
+def motif_enrichment(spark, d):
+    return _r(_enrichment(spark, d), "enrichment", "lo", "hi")
 
 
 @q(f"""WITH {GRAPH}, {_ENR}, m AS (SELECT mo.signature, support, n_works, e, infinite, {_FAM.replace('signature', 'mo.signature')} AS family FROM mo JOIN en ON en.signature = mo.signature),
 s AS (SELECT *, round(0.25 * least(CASE WHEN infinite THEN 5.0 ELSE coalesce(e, 0) END / 5.0, 1.0) + 0.2 * least(n_works / 5.0, 1.0) + 0.15 * least(support / 20.0, 1.0) + 0.15 * CASE WHEN family = 'field_like' THEN 1.0 WHEN family = 'unrelated' THEN 0.2 ELSE 0.4 END + 0.1 * CASE WHEN family = 'field_like' THEN 1.0 ELSE 0.5 END + 0.075, 9)::DOUBLE AS rank_score FROM m)
 SELECT signature, family, round(rank_score, 6) AS rank_score, row_number() OVER (ORDER BY rank_score DESC, len(signature), signature)::INT AS rank FROM s""")
-def motif_ranking(spark, d, whole=False):
-    works = _owned(spark, d, whole).join(passages(spark, d).select("passage_id", "work"), "passage_id").groupBy("signature").agg(F.countDistinct("work").alias("n_works"))
-    m = D.structural_family(_motifs(spark, d, whole)).join(_enrichment(spark, d, whole).select("signature", "enrichment", "infinite"), "signature").join(works, "signature")
+def motif_ranking(spark, d):
+    works = _owned(spark, d).join(passages(spark, d).select("passage_id", "work"), "passage_id").groupBy("signature").agg(F.countDistinct("work").alias("n_works"))
+    m = D.structural_family(_motifs(spark, d)).join(_enrichment(spark, d).select("signature", "enrichment", "infinite"), "signature").join(works, "signature")
     return _r(D.rank_motifs(m).select("signature", "family", "rank_score", "rank"), "rank_score")
 
 
@@ -353,17 +358,17 @@ def surprisal(spark, d):
 
 
 @q(f"WITH {GRAPH}, {_OWN}, c AS (SELECT signature, tradition, count(*) OVER (PARTITION BY signature) AS g FROM ow GROUP BY signature, tradition) SELECT tradition, count(*) AS n_motifs, count(*) FILTER (g = 1) AS n_unique, count(*) FILTER (g > 1) AS n_shared FROM c GROUP BY tradition")
-def motif_atlas(spark, d, whole=False):
-    return D.atlas(D.group_counts(_owned(spark, d, whole), passages(spark, d), "passage_id", "tradition"), "tradition")
+def motif_atlas(spark, d):
+    return D.atlas(D.group_counts(_owned(spark, d), passages(spark, d), "passage_id", "tradition"), "tradition")
 
 
-@q(f"""WITH {GRAPH}, h AS (SELECT sg.*, work FROM sg JOIN p USING (passage_id)), a AS (SELECT passage_id, unnest(signature) AS x FROM h WHERE work IN ('src1', 'src2', 'src3', 'src4')), r AS (SELECT DISTINCT signature FROM h WHERE work NOT IN ('src1', 'src2', 'src3', 'src4')),
-m AS (SELECT [a.x, b.x] AS signature FROM a JOIN a b ON a.passage_id = b.passage_id AND a.x < b.x GROUP BY ALL HAVING count(*) >= 3)
-SELECT signature, (SELECT coalesce(bool_or(r.signature = m.signature), false) FROM r) AS exact, (SELECT coalesce(bool_or(list_has_all(r.signature, m.signature)), false) FROM r) AS recovered FROM m""")
-def motif_replication(spark, d, whole=False):
+@q(f"""WITH {GRAPH}, h AS (SELECT sg.*, work FROM sg JOIN p USING (passage_id)), o AS (SELECT * FROM h WHERE work IN ('src1', 'src2', 'src3', 'src4')), u AS (SELECT passage_id, unnest(signature) AS x FROM o), r AS (SELECT DISTINCT signature FROM h WHERE work NOT IN ('src1', 'src2', 'src3', 'src4')),
+m AS ({_sets_sql(6)} UNION ALL {_LONGER.format('o')}), b AS (SELECT m.signature, bool_or(r.signature = m.signature) AS exact FROM m JOIN r ON list_has_all(r.signature, m.signature) GROUP BY ALL)
+SELECT signature, coalesce(exact, false) AS exact, exact IS NOT NULL AS recovered FROM m LEFT JOIN b USING (signature)""")
+def motif_replication(spark, d):
     s = _sig(spark, d).join(passages(spark, d).select("passage_id", "work"), "passage_id")
     own = F.col("work").isin("src1", "src2", "src3", "src4")
-    return D.replication(D.frequent_sets(s.filter(own), "passage_id", 3, 6 if whole else 2, whole), s.filter(~own))
+    return D.replication(D.frequent_sets(s.filter(own), "passage_id", 3), s.filter(~own))
 
 
 _BI = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda w: length(w) >= 4)"
@@ -404,8 +409,8 @@ def first_pair_appearance(spark, d):
 
 
 @q(f"WITH {GRAPH}, {_OWN}, m AS (SELECT signature, (date_lo + date_hi) / 2 AS mid FROM (SELECT *, {_DATE} FROM ow)), l AS (SELECT signature, count(mid) AS n_dated, min(mid) AS earliest, max(mid) AS latest, list_sort(list(mid) FILTER (mid IS NOT NULL)) AS ms FROM m GROUP BY signature) SELECT signature, n_dated, earliest, latest, ms[n_dated // 2 + 1] AS middle, CASE WHEN n_dated > 0 THEN 'dated' ELSE 'undated' END AS status FROM l")
-def motif_temporal(spark, d, whole=False):
-    return D.motif_dates(_owned(spark, d, whole), _dates(passages(spark, d).select("passage_id")))
+def motif_temporal(spark, d):
+    return D.motif_dates(_owned(spark, d), _dates(passages(spark, d).select("passage_id")))
 
 
 _WR = f"wr AS (SELECT p.work, CASE WHEN avg((role = 'target')::INT) > 0.8 THEN 'target' ELSE 'control' END AS role FROM ({PASSAGES}) p JOIN ({ROLES}) USING (passage_id) GROUP BY p.work)"
@@ -417,8 +422,8 @@ dr AS (SELECT r.range AS rep, c.arm, {_d("'mb'", 'r.range', 'c.arm', 'c.j')} % c
 e AS (SELECT signature, rep, avg(hit) FILTER (arm = 'target') AS pt, avg(hit) FILTER (arm = 'control') AS pc FROM dr JOIN pr USING (arm, j) GROUP BY ALL),
 v AS (SELECT signature, CASE WHEN pc = 0 THEN CASE WHEN pt > 0 THEN 50.0 ELSE 1.0 END ELSE pt / pc END::DOUBLE AS v FROM e)
 SELECT signature, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM v GROUP BY signature""")
-def motif_bootstrap(spark, d, whole=False):
-    owned = _owned(spark, d, whole).join(passages(spark, d).select("passage_id", "work"), "passage_id").select("signature", F.col("work").alias("cluster")).distinct()
+def motif_bootstrap(spark, d):
+    owned = _owned(spark, d).join(passages(spark, d).select("passage_id", "work"), "passage_id").select("signature", F.col("work").alias("cluster")).distinct()
     arm = F.when(F.avg((F.col("role") == "target").cast("double")) > 0.8, "target").otherwise("control")
     works = role_passages(spark, d).groupBy(F.col("work").alias("cluster")).agg(arm.alias("arm"))
     return _r(motif_work_bootstrap(owned, works, 50, "mb"), "lo", "hi")
@@ -641,7 +646,7 @@ def motif_profile(spark, d):
 _THEMES = {"field_like": f"({_FAM}) = 'field_like'", "atomistic": "list_has_any(signature, ['N:constituent', 'N:matter'])", "relational": "len(list_filter(signature, lambda x: starts_with(x, 'E:'))) > 0", "observer": "list_contains(signature, 'N:observer')"}
 
 
-@q(f"WITH {GRAPH}, {_K3} {' UNION ALL '.join(f"SELECT '{t}' AS theme, signature FROM mo WHERE {w}" for t, w in _THEMES.items())}")
+@q(f"WITH {GRAPH}, {_MO} {' UNION ALL '.join(f"SELECT '{t}' AS theme, signature FROM mo WHERE {w}" for t, w in _THEMES.items())}")
 def motif_themes(spark, d):
     return D.themes(D.structural_family(_motifs(spark, d)))
 
@@ -658,7 +663,7 @@ def _feature_items(spark, d):
 @q(f"WITH {_FU}, {_F23}, {_FTOP} SELECT signature, any_value(support) AS support, any_value(rank) AS rank, tradition, count(*) AS n FROM ft JOIN fc USING (signature) GROUP BY signature, tradition")
 def feature_combo_counts(spark, d):
     items = _feature_items(spark, d)
-    sets = D.frequent_sets(items, "passage_id", 3, 4)
+    sets = D.frequent_sets(items, "passage_id", 3, 4, longer=False)
     best = sets.orderBy(F.desc("support"), F.size("signature"), "signature").limit(100)
     return D.top_sets(sets, D.owners(best, items, "passage_id"), passages(spark, d), "tradition")
 
@@ -672,34 +677,7 @@ SELECT signature, support, CASE WHEN j >= 0.25 THEN theory_id END AS nearest, CA
 WHEN len(list_filter(signature, lambda x: starts_with(x, 'F'))) > 0 OR theory_id = 'T3' THEN 'field_like' WHEN theory_id = 'T4' THEN 'classical' WHEN len(list_filter(signature, lambda x: starts_with(x, 'Q'))) > 0 THEN 'quantum_specific' ELSE 'classical' END AS family FROM j""")
 def feature_combo_family(spark, d):
     theories = fingerprints(spark).filter("t = 1").groupBy("theory_id").agg(F.collect_list("feature_id").alias("features"))
-    return D.physics_family(D.frequent_sets(_feature_items(spark, d), "passage_id", 3, 4), theories, ("T1", "T2"), ("T3",), ("T4",))
-
-
-def _sets_sql(most):
-    """SQL for the item sets of size 2..most that at least 3 passages of u hold."""
-    join = lambda a, b: f" JOIN u {b} ON {a}.passage_id = {b}.passage_id AND {a}.x < {b}.x"
-    one = lambda n: f"SELECT [{', '.join(f'{c}.x' for c in n)}] AS signature, count(*) AS support FROM u a{''.join(map(join, n, n[1:]))} GROUP BY ALL HAVING count(*) >= 3"
-    return " UNION ALL ".join(one("abcdef"[:k]) for k in range(2, most + 1))
-
-
-_LONGER = "SELECT signature, count(*) AS support FROM {} WHERE len(signature) > 6 GROUP BY signature HAVING count(*) >= 3"
-_SETS = f"{_U}, mo AS ({_sets_sql(6)} UNION ALL {_LONGER.format('sg')})"
-
-
-def _whole(f, sql):
-    def run(spark, d):
-        return f(spark, d, True)
-
-    run.__name__ = f"{f.__name__}_whole"
-    q(sql)(run)
-
-
-for _f in (motif_mining, motif_family, motif_enrichment, motif_ranking, motif_atlas, motif_temporal, motif_bootstrap):
-    _whole(_f, q.sql[_f.__name__].replace(_K3, _SETS))
-_whole(feature_combos, f"WITH {ANN}, u AS (SELECT passage_id, feature_id AS x FROM ann WHERE label = '1') {_sets_sql(4)}")
-_whole(motif_replication, f"""WITH {GRAPH}, h AS (SELECT sg.*, work FROM sg JOIN p USING (passage_id)), o AS (SELECT * FROM h WHERE work IN ('src1', 'src2', 'src3', 'src4')), u AS (SELECT passage_id, unnest(signature) AS x FROM o), r AS (SELECT DISTINCT signature FROM h WHERE work NOT IN ('src1', 'src2', 'src3', 'src4')),
-m AS ({_sets_sql(6)} UNION ALL {_LONGER.format('o')})
-SELECT signature, (SELECT coalesce(bool_or(r.signature = m.signature), false) FROM r) AS exact, (SELECT coalesce(bool_or(list_has_all(r.signature, m.signature)), false) FROM r) AS recovered FROM m""")
+    return D.physics_family(D.frequent_sets(_feature_items(spark, d), "passage_id", 3, 4, longer=False), theories, ("T1", "T2"), ("T3",), ("T4",))
 
 
 QUERIES, ORACLE_SQL = q.queries, q.sql

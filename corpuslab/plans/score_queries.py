@@ -9,8 +9,11 @@ from ..operators import passages as P
 from ..operators import score as X
 from ..operators.lexicon import keyword_features
 from . import Registry
-from .text_queries import _words
-from .views import PASSAGES, ROLES, passages, role_passages, roles, table
+from ..dims import MASK_TERMS
+from ..functions import text as T
+from ..operators.select import first_n
+from .text_queries import _subst, _words
+from .views import PASSAGES, ROLES, SUBJECT_TEXT, passages, role_passages, roles, subject_passages, table
 
 q = Registry()
 
@@ -287,15 +290,16 @@ def tfidf_similarity(spark, d):
     return _r(X.mean_pair_similarity(w, side, "passage_id"), "mean_similarity")
 
 
-@q(f"""WITH two AS (SELECT work, passage_id, text, row_number() OVER (PARTITION BY work ORDER BY passage_id) AS rn FROM ({PASSAGES}) QUALIFY rn <= 2),
+def _within_sql(text: str) -> str:
+    return f"""WITH two AS (SELECT work, passage_id, {text} AS text, row_number() OVER (PARTITION BY work ORDER BY passage_id) AS rn FROM ({PASSAGES}) QUALIFY rn <= 2),
 tf AS (SELECT work, rn, term, count(*) AS tf FROM (SELECT work, rn, unnest({TOKENS}) AS term FROM two) GROUP BY ALL),
 raw AS (SELECT work, rn, term, tf * (ln(3.0 / (1 + count(*) OVER (PARTITION BY work, term))) + 1) AS raw FROM tf),
 w AS (SELECT *, raw / sqrt(sum(raw * raw) OVER (PARTITION BY work, rn)) AS weight FROM raw)
-SELECT a.work, round(sum(a.weight * b.weight), 6) AS cosine FROM w a JOIN w b ON a.work = b.work AND a.term = b.term AND a.rn = 1 AND b.rn = 2 GROUP BY a.work""")
-def within_work_cosine(spark, d):
-    from ..operators.select import first_n
+SELECT a.work, round(sum(a.weight * b.weight), 6) AS cosine FROM w a JOIN w b ON a.work = b.work AND a.term = b.term AND a.rn = 1 AND b.rn = 2 GROUP BY a.work"""
+
 
-    two = first_n(passages(spark, d), ["work"], ["passage_id"], 2)
+def _within_work(rows):
+    two = first_n(rows, ["work"], ["passage_id"], 2)
     counts = X.terms(two, ["work", "rn"])
     df = counts.groupBy("work", "term").agg(F.count("*").alias("df"))
     raw = counts.join(df, ["work", "term"]).withColumn("raw", F.col("tf") * (F.ln(3.0 / (1 + F.col("df"))) + 1))
@@ -305,6 +309,23 @@ def within_work_cosine(spark, d):
     return _r(both.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("work").agg(F.sum(F.col("a") * F.col("b")).alias("cosine")), "cosine")
 
 
+@q(_within_sql("text"))
+def within_work_cosine(spark, d):
+    return _within_work(passages(spark, d))
+
+
+@q(_within_sql(_subst(f"({SUBJECT_TEXT})", "|".join(MASK_TERMS), "[MASK]")))
+def within_work_cosine_masked(spark, d):
+    return _within_work(subject_passages(spark, d).withColumn("text", T.mask(F.col("text"), MASK_TERMS, "[MASK]")))
+
+
+@q()
+def random_projection_similarity(spark, d):
+    side = roles(spark, d).select("passage_id", F.when(F.col("role") == "target", "A").otherwise("B").alias("side"))
+    e = X.random_projection(passages(spark, d), "passage_id").select("passage_id", F.posexplode("vector").alias("term", "weight"))
+    return _r(X.mean_pair_similarity(e, side, "passage_id"), "mean_similarity")
+
+
 @q(f"""WITH w AS (SELECT passage_id, md5(unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> ''))) AS h FROM ({PASSAGES})),
 v AS (SELECT passage_id, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS dim, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS v FROM w GROUP BY ALL),
 e AS (SELECT passage_id, dim, coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY passage_id)), 0), 0) AS e FROM v),

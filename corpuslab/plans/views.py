@@ -42,7 +42,7 @@ def subject_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(spark, sf_dir).select("passage_id", "tradition", "work", text.alias("text"))
 
 
-_subject = "text"
+SUBJECT_TEXT = "text"
 for _old, _new in SUBJECT:
-    _subject = f"replace({_subject}, '{_old}', '{_new}')"
-SUBJECT_PASSAGES = f"SELECT passage_id, tradition, work, {_subject} AS text FROM ({PASSAGES})"
+    SUBJECT_TEXT = f"replace({SUBJECT_TEXT}, '{_old}', '{_new}')"
+SUBJECT_PASSAGES = f"SELECT passage_id, tradition, work, {SUBJECT_TEXT} AS text FROM ({PASSAGES})"

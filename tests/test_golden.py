@@ -81,7 +81,7 @@ def test_frequent_sets_against_brute_force(spark):
     rng = random.Random(3)
     data = [(i, sorted(rng.sample("abcdef", rng.randint(0, 5)))) for i in range(40)]
     rows = spark.createDataFrame(data, "passage_id long, signature array<string>")
-    got = {tuple(r.signature): r.support for r in discover.frequent_sets(rows, "passage_id", 3, 4).collect()}
+    got = {tuple(r.signature): r.support for r in discover.frequent_sets(rows, "passage_id", 3, 4, longer=False).collect()}
     want = {}
     for _, items in data:
         for k in (2, 3, 4):
@@ -90,6 +90,17 @@ def test_frequent_sets_against_brute_force(spark):
     assert got == {c: n for c, n in want.items() if n >= 3}
 
 
+def test_owners_and_replication_against_brute_force(spark):
+    rng = random.Random(4)
+    data = [(i, sorted(rng.sample("abcdef", rng.randint(0, 5)))) for i in range(60)]
+    sets = [list(c) for k in (1, 2, 3) for c in itertools.combinations("abcdefg", k)]
+    rows, motifs = spark.createDataFrame(data, "passage_id long, signature array<string>"), spark.createDataFrame([(x, 1) for x in sets], "signature array<string>, support long")
+    got = {(tuple(r.signature), r.passage_id) for r in discover.owners(motifs, rows, "passage_id").collect()}
+    assert got == {(tuple(x), i) for x in sets for i, own in data if set(x) <= set(own)}
+    got = {tuple(r.signature): (r.exact, r.recovered) for r in discover.replication(motifs, rows).collect()}
+    assert got == {tuple(x): (any(own == x for _, own in data), any(set(x) <= set(own) for _, own in data)) for x in sets}
+
+
 def test_whole_motifs_lose_no_frequent_set(spark, monkeypatch):
     from corpuslab.plans import discover_queries as Q
 
@@ -97,10 +108,10 @@ def test_whole_motifs_lose_no_frequent_set(spark, monkeypatch):
     want = {c: 7 if set(c) <= set("abcde") else 3 for k in range(2, 7) for c in itertools.combinations(long, k)} | {tuple(long): 3}
     rows = spark.createDataFrame(data, "passage_id long, signature array<string>")
     monkeypatch.setattr(Q, "_sig", lambda *_: rows)
-    assert {tuple(r.signature): r.support for r in Q.QUERIES["motif_mining_whole"](spark, "").collect()} == want
+    assert {tuple(r.signature): r.support for r in Q.QUERIES["motif_mining"](spark, "").collect()} == want
     features = rows.withColumnRenamed("signature", "f").select("passage_id", F.explode("f").alias("feature_id"))
     monkeypatch.setattr(Q, "_pos", lambda *_: features)
-    got = {tuple(r.signature): r.support for r in Q.QUERIES["feature_combos_whole"](spark, "").collect()}
+    got = {tuple(r.signature): r.support for r in Q.QUERIES["feature_combos"](spark, "").collect()}
     assert got == {c: n for c, n in want.items() if len(c) <= 4}
 
 
@@ -327,3 +338,18 @@ def test_retrieval_scores(spark):
     aligned = spark.createDataFrame([(1, 1, 0.8), (2, 1, 0.4)], "a long, b long, alignment double")
     got = {(r.a, r.b): round(r.score, 9) for r in graph.retrieval_scores(typed, aligned, 0.25, 0.75).collect()}
     assert got == {(1, 1): 0.725, (1, 2): 0.05, (2, 1): 0.3}
+
+
+def test_random_projection(spark):
+    from corpuslab.operators.score import random_projection, token_vector
+
+    texts_ = [(1, "The cat the CAT dog"), (2, ""), (3, None), (4, "dog  cat\tthe")]
+    df = spark.createDataFrame(texts_, "passage_id long, text string")
+    got = {r.passage_id: np.array(r.vector) for r in random_projection(df.repartition(3), "passage_id", 64, "s").collect()}
+    for i, t in texts_:
+        want = sum((token_vector(w, 64, "s") for w in (t or "").lower().split()), np.zeros(64))
+        want = want / np.linalg.norm(want) if want.any() else want
+        assert np.allclose(got[i], want)
+    many = np.stack([token_vector(str(i), 256, "s") for i in range(400)])
+    gram = many @ many.T / 256
+    assert abs(np.diag(gram) - 1).max() < 0.5 and abs(gram - np.diag(np.diag(gram))).mean() < 0.08
