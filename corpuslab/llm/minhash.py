@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize, one_row_per_id, partitions, slices, small_batches, trim_memory
+from .common import dense, join_hot, materialize, one_row_per_id, partitions, slices, small_batches, trim_memory
 from .components import components
 from .shingles import mix, shingle_counts
 
@@ -32,8 +32,10 @@ COMPONENTS = BANDS * ROWS
 THRESHOLD = (4, 5)
 #: Pairs that agree in fewer components are not similar: 80 % agree in 100 +- 4.5, so 80 are 4.5 deviations less.
 LEAST_AGREEING = 80
-#: Ids of texts to compare are broadcast only if they are no more than this (8 MB); more are joined by a shuffle.
+#: Ids of texts to compare are broadcast only if they are no more than this (8 MB); of more, a filter of at most
+#: FILTER_BITS (32 MB) is. Texts are never shuffled: what the filter lets through besides is not asked for later.
 BROADCAST_IDS = 1 << 20
+FILTER_BITS, FILTER_CHUNK = 1 << 28, 1 << 20
 #: Processes that are followed at a time.
 ITEMS = 1 << 16
 #: Shingles that one side of a comparison holds in a task, if one text alone does not have more.
@@ -142,6 +144,29 @@ def multisets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_multisets, texts.select("doc_id", F.lit(b"").alias("shingles"), F.lit(b"").alias("counts")).schema)
 
 
+def _chunk(table: pa.Table) -> pa.Table:
+    bits = np.zeros(FILTER_CHUNK, bool)
+    bits[table["at"].to_numpy()] = True
+    return pa.table({"chunk": pa.array([table["chunk"][0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def multisets_of(texts: DataFrame, needed: DataFrame, count: int) -> DataFrame:
+    """The multisets of the texts whose ids are among the ``count`` needed ones, and of a few others; no text moves."""
+    size = max(FILTER_CHUNK, min(FILTER_BITS, 1 << (16 * count).bit_length()))
+    places = F.array(*[F.pmod(F.xxhash64(F.lit(i), "doc_id"), F.lit(size)) for i in (1, 2)])
+    marks = needed.select(F.explode(places).alias("p")).select(F.expr(f"cast(p div {FILTER_CHUNK} as int)").alias("chunk"), F.expr(f"cast(p % {FILTER_CHUNK} as int)").alias("at"))
+    chunks = {r.chunk: bytes(r.bits) for r in marks.groupBy("chunk").applyInArrow(_chunk, "chunk int, bits binary").collect()}  # FILTER_BITS at most
+    sent = texts.sparkSession.sparkContext.broadcast(np.frombuffer(b"".join(chunks.get(i, bytes(FILTER_CHUNK // 8)) for i in range(size // FILTER_CHUNK)), np.uint8))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = dense(batch.column(2))
+            yield batch.filter(pa.array((sent.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).all(1))).select([0, 1])
+
+    rows = texts.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", places.alias("places"))
+    return rows.mapInArrow(lambda batches: _multisets(wanted(batches)), rows.select("doc_id", F.lit(b"").alias("shingles"), F.lit(b"").alias("counts")).schema)
+
+
 def _overlaps(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The overlap, counted with multiplicity, of one multiset with each of some."""
     s, c = one
@@ -309,10 +334,10 @@ def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = join_hot(members.join(sizes.withColumnsRenamed({"doc_id": "a", "n_shingles": "n_a"}), "a"), materialize(firsts), ["b"], "pairs", members.count())
     members = materialize(members.select("a", "b", "n_a", "n_b"))
     needed = materialize(members.select(F.col("a").alias("doc_id")).unionByName(members.select(F.col("b").alias("doc_id"))).distinct())
-    # where few texts are needed, no other text moves
-    few = needed.count() <= BROADCAST_IDS
+    count = needed.count()
     with small_batches(spark):
-        sets = materialize(multisets(source.join(F.broadcast(needed) if few else needed.hint("merge"), "doc_id", "left_semi")))
+        few = count <= BROADCAST_IDS
+        sets = materialize(multisets(source.join(F.broadcast(needed), "doc_id", "left_semi")) if few else multisets_of(source, needed, count))
     links = materialize(verify(members.filter(compatible("n_a", "n_b")), sets))
     first = components(links)
     more = materialize(links_between_classes(members, first, reps, sets))

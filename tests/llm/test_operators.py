@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpuslab.llm import line_dedup as LD
+from corpuslab.llm import minhash as MH
 from corpuslab.llm import suffix_dedup as SD
 from corpuslab.llm import topk_search as TK
 from corpuslab.llm.bpe import ByteBPE, PerfectHash, bpe_decode, bpe_encode
@@ -344,6 +345,14 @@ def test_near_dedup_cases(odd):
     assert near_dedup(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("name", "value"), [("BROADCAST_IDS", 0), ("PART", 64)])
+def test_near_dedup_branches(spark, monkeypatch, name, value):
+    df = spark.createDataFrame(corpus(7, 200), "doc_id long, text string")
+    want = sorted(map(tuple, near_dedup(df).collect()))
+    monkeypatch.setattr(MH, name, value)  # a filter in place of the ids; many tiles around one text
+    assert sorted(map(tuple, near_dedup(df).collect())) == want
+
+
 def test_near_dedup_takes_one_text_of_a_shared_id(spark):
     a, b = " ".join(f"zz{i}" for i in range(300)), " ".join(f"b{i}" for i in range(300))
     data = [(1, a), (1, b), (2, b), (3, None), (3, ""), (None, a), (None, a)]
