@@ -10,6 +10,7 @@ from ..operators import annotate as A
 from ..operators import discover as D
 from ..operators import graph as G
 from ..operators import learn as L
+from ..operators import linear as Ln
 from ..operators import score as X
 from ..operators import select as Sel
 from ..operators import setjoin as J
@@ -610,6 +611,23 @@ def group_cv_summary(spark, d):
     return _r(L.group_summary(_noisy(spark, d), "work", 3), "mean_top1", "mean_macro_f1")
 
 
+def _group_texts(spark, d):
+    return passages(spark, d).select(F.col("passage_id").alias("key"), F.col("tradition").alias("label"), F.col("work").alias("fold"), "text")
+
+
+@q()
+def logo_linear(spark, d):
+    """Means over trained folds, one for each work that is left out."""
+    return _r(Ln.fold_summary(Ln.leave_group_out_linear(_group_texts(spark, d))), "mean_top1", "mean_macro_f1")
+
+
+@q()
+def linear_predict(spark, d):
+    rows = Ln.hashed_terms(_group_texts(spark, d))
+    model = Ln.fit_folds(rows.filter("key % 5 <= 2"), [None])
+    return Ln.predict_folds(model, rows.filter("key % 5 > 2"), [None]).select(F.col("key").alias("passage_id"), "truth", "predicted")
+
+
 GRID = ((0.0, 1.0), (0.25, 0.75), (0.5, 0.5), (0.75, 0.25), (1.0, 0.0))
 
 
