@@ -45,7 +45,7 @@ def _row(slots: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_part(rows: Sequence[tuple[np.ndarray, int, int]], idf: np.ndarray, weights: np.ndarray, passes: int) -> np.ndarray:
     """Mean weights (folds, classes, WIDTH) over the steps of (slots, class, fold left out or -1), from the given ones."""
-    w, total, steps = weights.copy(), np.zeros_like(weights), 0
+    w, steps = weights.copy(), 0
     lag = np.zeros_like(weights)  # steps times what was added then: the mean is w - lag / steps
     prepared = [(*_row(slots, idf), y, out) for slots, y, out in rows]
     sign = -np.ones((w.shape[1], w.shape[1])) + 2 * np.eye(w.shape[1])
@@ -59,7 +59,7 @@ def fit_part(rows: Sequence[tuple[np.ndarray, int, int]], idf: np.ndarray, weigh
             w[:, :, own] = part + change
             lag[:, :, own] += steps * change
             steps += 1
-    return w - lag / steps if steps else w + total
+    return w - lag / steps if steps else w
 
 
 class HashedModel:

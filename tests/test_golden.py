@@ -213,13 +213,13 @@ def test_windows_reach_the_end_of_a_long_text(spark):
     assert [r.window.split() for r in got] == [[f"w{i}" for i in range(s, min(s + 120, 5000))] for s in range(0, 4961, 100)]
 
 
-def test_registered_whole_forms_lose_nothing(spark, tmp_path):
+def test_registered_forms_lose_nothing(spark, tmp_path):
     from corpuslab.plans import discover_queries, text_queries
 
     text = " ".join(discover_queries._LABELS) + " w" * 4993
     spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert text_queries.QUERIES["word_windows_whole"](spark, str(tmp_path)).agg(F.max("start")).first()[0] == 4900
-    got = discover_queries.QUERIES["lexical_proxy_graph_whole"](spark, str(tmp_path)).orderBy("n").collect()
+    assert text_queries.QUERIES["word_windows"](spark, str(tmp_path)).agg(F.max("start")).first()[0] == 4900
+    got = discover_queries.QUERIES["lexical_proxy_graph"](spark, str(tmp_path)).orderBy("n").collect()
     labels = sorted(discover_queries._LABELS)
     assert [(r.label, r.next_label) for r in got] == list(zip(labels, labels[1:] + [None], strict=True))
 
