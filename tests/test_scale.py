@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.operators import discover as D
+from corpuslab.operators import graph as G
 from corpuslab.operators import learn as L
 
 
@@ -36,3 +37,16 @@ def test_owners_are_counted_by_signature(spark):
         assert (r.n_dated, r.earliest, r.latest, r.middle) == (len(ms), ms[0], ms[-1], ms[len(ms) // 2])
     for r in D.motif_ranges(sets, df, meta, 4).collect():
         assert [x[0] + 0.5 for x in r.ranges] == [mid(i) for i in held[tuple(r.signature)] if i % 5][:4]
+
+
+def test_alignment_once_for_each_class(spark, monkeypatch):
+    rng = random.Random(5)
+    nodes = [(g, f"n{i}", rng.choice("xy")) for g in range(40) for i in range(rng.randint(1, 4))]
+    edges = [(g, f"n{rng.randrange(4)}", f"n{rng.randrange(4)}", rng.choice("AB")) for g in range(40) for _ in range(3)]
+    nodes += [(g + 100, i, k) for g, i, k in nodes]  # a copy of each graph
+    edges += [(g + 100, s, t, k) for g, s, t, k in edges]
+    p = G.node_profiles(spark.createDataFrame(nodes, "graph_id long, id string, kind string"), spark.createDataFrame(edges, "graph_id long, source string, target string, kind string")).cache()
+    right = p.filter("graph_id < 5")
+    assert G.profile_classes(p)[0].count() <= 40
+    want = {(r.a, r.b): round(r.alignment, 9) for r in G.alignment(G.node_distances(p, right)).collect()}
+    assert {(r.a, r.b): round(r.alignment, 9) for r in G.profile_alignment(p, right).collect()} == want and len(want) == 400
