@@ -90,7 +90,10 @@ def word_windows(passages: DataFrame, size: int, step: int, min_words: int, most
 
 
 def parse_records(passages: DataFrame, pattern: str, first_wins: bool = False) -> DataFrame:
-    """(passage_id, record_id, body) of records whose pattern has the groups body and id; the last body of an id wins."""
+    """(passage_id, record_id, body) of records whose pattern has the groups body and id; the last body of an id wins.
+
+    A pattern whose body is a run of characters should begin with what tells a run's beginning, as it is sought everywhere.
+    """
     pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("body"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("record_id"))
     rows = passages.select("passage_id", F.posexplode(pairs).alias("n", "r")).select("passage_id", "n", F.col("r.body").alias("body"), F.col("r.record_id").alias("record_id"))
     pick = F.min_by if first_wins else F.max_by

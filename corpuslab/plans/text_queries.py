@@ -61,7 +61,8 @@ e AS (SELECT passage_id, unnest(b) AS body, unnest(i) AS record_id, generate_sub
 SELECT passage_id, record_id, trim(arg_max(body, n)) AS body FROM e GROUP BY ALL""")
 def parse_records(spark, d):
     rows = passages(spark, d).withColumn("text", F.regexp_replace("text", "[.] ([A-Z])[a-z]*", " | $1 |\n"))
-    return S.parse_records(rows, r"([^|\n]+)[|] ([A-Z]) [|]")
+    # a body begins where its run begins: sought from each place within the run, a text without records took the square of its length
+    return S.parse_records(rows, r"(?<![^|\n])([^|\n]++)[|] ([A-Z]) [|]")
 
 
 @q(r"""
