@@ -45,21 +45,29 @@ def _row(slots: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_part(rows: Sequence[tuple[np.ndarray, int, int]], idf: np.ndarray, weights: np.ndarray, passes: int) -> np.ndarray:
     """Mean weights (folds, classes, WIDTH) over the steps of (slots, class, fold left out or -1), from the given ones."""
-    w, steps = weights.copy(), 0
-    lag = np.zeros_like(weights)  # steps times what was added then: the mean is w - lag / steps
-    prepared = [(*_row(slots, idf), y, out) for slots, y, out in rows]
-    sign = -np.ones((w.shape[1], w.shape[1])) + 2 * np.eye(w.shape[1])
+    folds, classes, width = weights.shape
+    # a slot's weights lie together, and single precision is what tasks send
+    w = np.ascontiguousarray(weights.transpose(2, 0, 1), np.float32)
+    lag, steps = np.zeros_like(w), 0  # lag: steps times what was added then; the mean is w - lag / steps
+    prepared = []
+    for slots, y, out in rows:
+        own, x = _row(slots, idf)
+        prepared.append((own, np.ascontiguousarray(x.T, np.float32)[:, :, None], y, out))
+    sign = (-np.ones((classes, classes)) + 2 * np.eye(classes)).astype(np.float32)
     for _ in range(passes):
         for own, x, y, out in prepared:
-            part = w[:, :, own]
-            loss = np.maximum(0, 1 - sign[y] * np.einsum("fcs,fs->fc", part, x))
+            part = w[own]
+            loss = np.maximum(0, 1 - sign[y] * (part * x).sum(0))
             if out >= 0:
                 loss[out] = 0
-            change = (np.minimum(1, loss) * sign[y])[:, :, None] * x[:, None, :]
-            w[:, :, own] = part + change
-            lag[:, :, own] += steps * change
+            if loss.any():
+                change = (np.minimum(1, loss) * sign[y]) * x
+                part += change
+                w[own] = part
+                change *= steps
+                lag[own] += change
             steps += 1
-    return w - lag / steps if steps else w
+    return (w - lag / steps if steps else w).transpose(1, 2, 0).astype(float)
 
 
 class HashedModel:
