@@ -10,6 +10,7 @@ from pyspark.sql import Row
 import __spark_entry__ as entry
 from corpuslab.operators import graph as G
 from corpuslab.operators import linear as Ln
+from corpuslab.operators import score as X
 from corpuslab.operators import setjoin as SJ
 
 
@@ -99,3 +100,20 @@ def test_steps_of_all_folds():
         times.append((min(best), got))
     assert np.allclose(times[0][1], times[1][1], atol=1e-4)
     assert times[1][0] < 0.75 * times[0][0]
+
+
+def test_frequent_words_are_drawn_once():
+    """Between ever new words, the words of all texts are not drawn again; each vector is the word's own."""
+    drawn = []
+    draw = X.token_vectors(8, "s")
+    held = X.Remembered(lambda t: drawn.append(t) or draw(t), 8, 64)
+    for i in range(50):
+        words = ["the", "of"] + [f"w{i}.{j}" for j in range(20)]
+        assert np.array_equal(held.rows(words), np.stack([X.token_vector(w, 8, "s") for w in words]))
+    assert drawn.count("the") == drawn.count("of") == 1 and len(drawn) == 2 + 50 * 20
+
+
+def test_vectors_of_labelled_texts_only(spark):
+    """The labels meet the texts, not 256 rows of each vector."""
+    plan = entry.queries()["random_projection_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("MapInArrow") < plan.index("Join Inner")
