@@ -1,6 +1,9 @@
 """TF-IDF by blocks of texts: rows as in SQL on odd tables, and a term is sent to a block once."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -42,3 +45,17 @@ def test_a_block_has_a_term_once(spark):
     assert len(blocks) == 1 and len(blocks[0].terms) == 503 and len(blocks[0].codes) == 2000
     sums = B.tag_sums(spark.createDataFrame(blocks, B.tfidf_blocks(B.whole_texts(texts.selectExpr("k", "text", "k % 2 AS side"), "k", ["side"]), "k").schema), ["side"])
     assert sums.count() == 506  # 2 x 3 common terms and 500 own ones, in place of 2000 rows
+
+
+def test_pairs_of_words_are_terms_too(spark, tmp_path):
+    """The mean cosine of TF-IDF vectors of words and of two that follow each other, from each text alone."""
+    texts = {1: "Red house a red door", 2: "red  house, red house", 3: "a", 4: "door; house red", 5: "blue red"}
+    spark.createDataFrame([(i, "en", "s", t) for i, t in texts.items()], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (4, 0, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    words = {i: [w for w in re.findall(r"\w+", t.lower()) if len(w) > 1] for i, t in texts.items()}
+    tf = {i: Counter([*w, *map(" ".join, zip(w, w[1:], strict=False))]) for i, w in words.items() if w}
+    assert tf[1]["house red"] == 1 and tf[2]["red house"] == 2
+    raw = {i: {t: n * (math.log((1 + len(tf)) / (1 + sum(t in x for x in tf.values()))) + 1) for t, n in c.items()} for i, c in tf.items()}
+    cosine = lambda a, b: sum(v * raw[b].get(t, 0) for t, v in raw[a].items()) / math.hypot(*raw[a].values()) / math.hypot(*raw[b].values())
+    got = entry.queries()["tfidf_similarity"](spark, str(tmp_path)).first().mean_similarity
+    assert abs(got - (cosine(1, 2) + cosine(1, 4)) / 2) < 1e-6
