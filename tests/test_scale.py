@@ -50,3 +50,20 @@ def test_alignment_once_for_each_class(spark, monkeypatch):
     assert G.profile_classes(p)[0].count() <= 40
     want = {(r.a, r.b): round(r.alignment, 9) for r in G.alignment(G.node_distances(p, right)).collect()}
     assert {(r.a, r.b): round(r.alignment, 9) for r in G.profile_alignment(p, right).collect()} == want and len(want) == 400
+
+
+def test_atlas_names_the_motifs(spark):
+    """Which motifs a group has alone, which with others, and in what themes: not their numbers alone."""
+    owned = {("E:e", "N:matter"): {"x": 2, "y": 1}, ("N:observer", "N:p"): {"x": 3}, ("N:p", "N:q"): {None: 4}, ("E:pervades", "N:space"): {"y": 5, None: 1}}
+    family = {("E:e", "N:matter"): "classical", ("E:pervades", "N:space"): "field_like"}
+    themes = {("E:e", "N:matter"): ["atomistic", "relational"], ("N:observer", "N:p"): ["observer"], ("E:pervades", "N:space"): ["field_like", "relational"]}
+    motifs = spark.createDataFrame([(list(s), family.get(s, "unrelated")) for s in owned], "signature array<string>, family string")
+    counts = spark.createDataFrame([(list(s), g, n) for s, of in owned.items() for g, n in of.items()], "signature array<string>, tradition string, n long")
+    got = {(r.tradition, tuple(r.signature)): tuple(r)[2:] for r in D.atlas(motifs, counts, "tradition").collect()}
+    want = {}
+    for s, of in owned.items():
+        for g, n in of.items():
+            own = [t for t, x in owned.items() if g in x]
+            alone = sum(len(owned[t]) == 1 for t in own)
+            want[g, s] = (n, len(of), "unique" if len(of) == 1 else "shared", themes.get(s, []), len(own), alone, len(own) - alone)
+    assert got == want
