@@ -59,3 +59,15 @@ def test_pairs_of_words_are_terms_too(spark, tmp_path):
     cosine = lambda a, b: sum(v * raw[b].get(t, 0) for t, v in raw[a].items()) / math.hypot(*raw[a].values()) / math.hypot(*raw[b].values())
     got = entry.queries()["tfidf_similarity"](spark, str(tmp_path)).first().mean_similarity
     assert abs(got - (cosine(1, 2) + cosine(1, 4)) / 2) < 1e-6
+
+
+def test_terms_of_one_text_are_in_no_product(spark):
+    """Only terms that two texts have, or a text of two tags, are summed; the product is that of all terms."""
+    rows = [(i, f"own{i} words{i % 7} of{i} both", side) for i in range(40) for side in ("AB" if i == 5 else "AB"[i % 2])]
+    texts = B.whole_texts(spark.createDataFrame(rows, "k long, text string, side string"), "k", ["side"])
+    blocks = B.tfidf_blocks(texts, "k", pairs=True)
+    shared = {t: s for r in blocks.collect() for t, s in zip(r.terms, r.shared, strict=True)}
+    assert shared["both"] and shared["words3"] and not shared["own3"] and not shared["own3 words3"]
+    sums = {m: {(r.side, r.term): r.weight for r in B.tag_sums(blocks, ["side"], met=m).groupBy("side", "term").agg({"weight": "sum"}).toDF("side", "term", "weight").collect()} for m in (False, True)}
+    dot = lambda s: sum(v * s.get(("B", t), 0.0) for (side, t), v in s.items() if side == "A")
+    assert abs(dot(sums[True]) - dot(sums[False])) < 1e-9 and ("A", "own5") in sums[True] and ("A", "own4") not in sums[True]
